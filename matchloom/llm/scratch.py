@@ -1,0 +1,25 @@
+"""Shared scratch space: lineage is cut by writing tables where every executor can read them again."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir; only where that is unset, as in local tests, a new temporary one."""
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = "file://" + tempfile.mkdtemp(prefix="matchloom-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The same rows, written as Parquet in the shared scratch folder and read back: lineage ends here."""
+    path = f"{scratch_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
