@@ -22,6 +22,8 @@ from matchloom.session import table
 REMEMBERED_WORDS = 400_000
 #: Shares into which the pieces of one length are dealt to be numbered.
 SHARES = 64
+#: Of what the linear program asks for, the share that is taken; the rest leaves best fit the freedom to end evenly.
+SHARE_BY_PROGRAM = 0.5
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -122,7 +124,7 @@ def best_configuration(prices: np.ndarray, sizes: np.ndarray, capacity: int) ->
     return taken
 
 
-def configuration_lp(counts: np.ndarray, sizes: np.ndarray, capacity: int, rounds: int = 1000, rate: float = 0.25) -> list[tuple[dict[int, int], float]]:
+def configuration_lp(counts: np.ndarray, sizes: np.ndarray, capacity: int, rounds: int = 2000, rate: float = 0.5) -> list[tuple[dict[int, int], float]]:
     """Fractional solution of the configuration linear program by multiplicative weights.
 
     Minimise the number of sequences such that the configurations used cover every type's count. Each round prices
@@ -194,7 +196,7 @@ def pack_histogram(histogram: dict[int, int], capacity: int = 2048, grain: int =
         np.add.at(counts, at, left[lengths])
         for config, x in configuration_lp(counts, sizes, capacity // grain):
             slots = sorted(((int(sizes[t]) * grain - grain + 1, int(sizes[t]) * grain) for t, n in config.items() for _ in range(n)), reverse=True)
-            fill(slots, int(x), 0)
+            fill(slots, int(SHARE_BY_PROGRAM * x), 0)
         while left.any():  # best fit decreasing on what rounding left
             fill([(1, capacity), (1, capacity)], int(left.sum()), capacity)
     return patterns

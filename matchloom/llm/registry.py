@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 from matchloom.llm.exact_dedup import OP1_SQL, op1_exact_dedup
+from matchloom.llm.packing import op4_best_fit_packing
+from matchloom.llm.piece_codec import op6_piece_codec
+from matchloom.llm.token_counts import op10_token_counts
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op4_best_fit_packing": op4_best_fit_packing,
+    "op6_piece_codec": op6_piece_codec,
+    "op10_token_counts": op10_token_counts,
 }
 ORACLES = {
     "op1_exact_dedup": OP1_SQL,
