@@ -34,31 +34,24 @@ def chosen_paths(messages: DataFrame, paths: int = 1) -> DataFrame:
     score: 0). A path's score is the sum of its messages'. The paths best paths of a tree are numbered from 1, ties
     to the smaller leaf. Self-joins double the reach of every message's pointer until all point past their roots; the
     pointers' powers of two then enumerate each path, and its score, in as many joins as the depth has binary
-    digits. Messages on a circle of parents have no root and are on no path. Empty table: no rows.
+    digits. Messages whose parents form a circle have no root and are on no path. Empty table: no rows.
     """
     own = messages.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).cast("double").alias("score"))
-    known = own.select("tree", F.col("node").alias("parent"), F.lit(True).alias("known"))
-    links = own.join(known, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("known"), F.col("parent")).alias("up"), "score")
-    reach = [written(links)]  # per power of two: the message so far up, and the scores of those before it
-    while reach[-1].filter("up is not null").limit(1).count():
-        if len(reach) > 40:
-            raise ValueError("parents form a circle")
-        at = reach[-1]
-        above = at.select("tree", F.col("node").alias("up"), F.col("up").alias("far"), F.col("score").alias("more"))
-        reach.append(
-            written(at.filter("up is not null").join(above, ["tree", "up"]).select("tree", "node", F.col("far").alias("up"), (F.col("score") + F.col("more")).alias("score")))
-        )
-        if reach[-1].isEmpty():
-            break
-    inner = links.filter("up is not null").select("tree", F.col("up").alias("node")).distinct()
-    leaves = reach[0].join(inner, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"))
-    path = leaves.select("tree", "leaf", F.col("leaf").alias("node"), F.lit(0).alias("from_leaf"))
-    for power in range(len(reach) - 1, -1, -1):
-        hops = reach[power].filter("up is not null").select("tree", "node", "up")
-        path = path.unionByName(path.join(hops, ["tree", "node"]).select("tree", "leaf", F.col("up").alias("node"), (F.col("from_leaf") + (1 << power)).alias("from_leaf")))
-    path = written(path)
+    nodes = written(own)
+    known = nodes.select("tree", F.col("node").alias("parent"))
+    reach = [written(nodes.join(known, ["tree", "parent"]).select("tree", "node", F.col("parent").alias("up")))]
+    most = nodes.count()
+    while not reach[-1].isEmpty() and 2 ** (len(reach) - 1) <= most:  # per power of two, the message so far up
+        above = reach[-1].select("tree", F.col("node").alias("up"), F.col("up").alias("far"))
+        reach.append(written(reach[-1].join(above, ["tree", "up"]).select("tree", "node", F.col("far").alias("up"))))
+    inner, endless = reach[0].select("tree", F.col("up").alias("node")).distinct(), reach[-1].select("tree", "node")
+    leaves = nodes.select("tree", "node").join(inner, ["tree", "node"], "left_anti").join(endless, ["tree", "node"], "left_anti")
+    path = leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).alias("from_leaf"))
+    for power in range(len(reach) - 2, -1, -1):
+        higher = path.join(reach[power], ["tree", "node"])
+        path = written(path.unionByName(higher.select("tree", "leaf", F.col("up").alias("node"), (F.col("from_leaf") + (1 << power)).alias("from_leaf"))))
     ranked = (
-        path.join(reach[0].select("tree", "node", "score"), ["tree", "node"])
+        path.join(nodes.select("tree", "node", "score"), ["tree", "node"])
         .groupBy("tree", "leaf")
         .agg(F.sum("score").alias("score"), F.max("from_leaf").alias("depth"))
         .withColumn("path", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "leaf")))
