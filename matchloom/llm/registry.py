@@ -7,6 +7,7 @@ from matchloom.llm.exact_dedup import OP1_SQL, op1_exact_dedup
 from matchloom.llm.packing import op4_best_fit_packing
 from matchloom.llm.page_text import op9_page_text
 from matchloom.llm.piece_codec import op6_piece_codec
+from matchloom.llm.substring_dedup import op7_substring_dedup
 from matchloom.llm.token_counts import op10_token_counts
 from matchloom.llm.topk import OP3_SQL, op3_top_k
 from matchloom.llm.toxicity import op5_toxicity
@@ -18,6 +19,7 @@ QUERIES = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_toxicity": op5_toxicity,
     "op6_piece_codec": op6_piece_codec,
+    "op7_substring_dedup": op7_substring_dedup,
     "op9_page_text": op9_page_text,
     "op10_token_counts": op10_token_counts,
 }
