@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from matchloom.llm.chat import OP2_SQL, op2_chat
 from matchloom.llm.exact_dedup import OP1_SQL, op1_exact_dedup
+from matchloom.llm.near_dedup import op8_near_dedup
 from matchloom.llm.packing import op4_best_fit_packing
 from matchloom.llm.page_text import op9_page_text
 from matchloom.llm.piece_codec import op6_piece_codec
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_piece_codec": op6_piece_codec,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_near_dedup": op8_near_dedup,
     "op9_page_text": op9_page_text,
     "op10_token_counts": op10_token_counts,
 }
