@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,8 +23,10 @@ LONGEST_RUN = 256
 BYTES_AT_A_TIME = 1 << 21
 #: Words of the passages that share an automaton; the last anchor may exceed it by HOT_ANCHOR passages at most.
 SHARD_WORDS = 40_000
-#: Anchors with more different passages than these are settled window by window instead.
+#: Anchors with more different passages than these are dealt anew by other anchors, and then settled by windows.
 HOT_ANCHOR = 1000
+#: Passages of a hot anchor, the first by id, that tell which word sequences are common to it.
+REFERENCES = 64
 MARK_BITS, COUNT_BITS = 20, 10
 
 OCCURRENCES = "anchor long, digest long, doc_id long, place long"
@@ -58,19 +61,27 @@ def word_hashes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndar
     return mixed((total[stops] - total[starts]) * down[starts] + (stops - starts).astype(np.uint64)), np.searchsorted(ends, starts, side="right")
 
 
-def runs(data: np.ndarray, ends: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+def gram_hashes(words: np.ndarray) -> np.ndarray:
+    """The hash of each sequence of ANCHOR words."""
+    grams = np.zeros(max(0, len(words) - ANCHOR + 1), dtype=np.uint64)
+    for j in range(ANCHOR):
+        grams = grams * np.uint64(0xD6E8FEB86659FD93) + words[j : j + len(grams)]
+    return mixed(grams)
+
+
+def runs(data: np.ndarray, ends: np.ndarray, window: int, common: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """Runs of consecutive windows that have the same anchor: anchor, digest of the run's words, text, first word, windows.
 
     A window's anchor is the smallest hash of the ANCHOR-word sequences in it, so equal windows have equal anchors.
+    Hashes in common count as larger than all others.
     """
     words, text = word_hashes(data, ends)
     n = len(words) - window + 1
     if n <= 0:
         return tuple(np.zeros(0, dtype=np.int64) for _ in range(5))
-    grams = np.zeros(len(words) - ANCHOR + 1, dtype=np.uint64)
-    for j in range(ANCHOR):
-        grams = grams * np.uint64(0xD6E8FEB86659FD93) + words[j : j + len(grams)]
-    low, reach, width = mixed(grams), 1, window - ANCHOR + 1
+    low, reach, width = gram_hashes(words), 1, window - ANCHOR + 1
+    if common is not None:
+        low = (low >> np.uint64(1)) | (np.isin(low, common).astype(np.uint64) << np.uint64(63))
     while 2 * reach <= width:
         low = np.minimum(low[:-reach], low[reach:])
         reach *= 2
@@ -268,14 +279,73 @@ def matched_windows(passages: DataFrame, window: int) -> DataFrame:
     return later.groupBy("anchor", "digest").agg(F.flatten(F.transform(F.array_sort(F.collect_set("at")), lambda i: F.array(i, F.lit(1)))).alias("parts"))
 
 
+def matched_anew(passages: DataFrame, window: int) -> DataFrame:
+    """What matched_passages() returns, for passages of hot anchors: dealt anew by anchors that avoid common words.
+
+    The word sequences that the first REFERENCES passages of an anchor share are common to it. Windows that reach
+    beyond a common passage thus get anchors from outside it, which few others have, and those inside are the same
+    words everywhere. Anchors that are hot even then are settled window by window.
+    """
+
+    @F.pandas_udf("array<long>")
+    def shared_grams(groups):
+        out = []
+        for texts in groups:
+            seen = [np.unique(gram_hashes(word_hashes(d, np.array([len(d)]))[0])) for d in (np.frombuffer(t.encode(), dtype=np.uint8) for t in texts)]
+            grams, n = np.unique(np.concatenate(seen), return_counts=True)
+            out.append(grams[n > 1].view(np.int64))
+        return pd.Series(out)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, anew, texts = [], [], []
+            numbers: list[tuple[int, int, int, int]] = []
+            for row, (anchor, words, common) in enumerate(zip(*(batch.column(i).to_pylist() for i in (0, 3, 4)))):
+                data = np.frombuffer(words.encode(), dtype=np.uint8)
+                found = runs(data, np.array([len(data)]), window, np.array(common, dtype=np.int64).view(np.uint64))
+                own = mixed(found[0].view(np.uint64) ^ np.array([anchor], dtype=np.int64).view(np.uint64)).view(np.int64)
+                split = words.split(" ")
+                for a, g, start, count in zip(own.tolist(), found[1].tolist(), found[3].tolist(), found[4].tolist()):
+                    rows.append(row)
+                    numbers.append((a, g, start, count))
+                    texts.append(" ".join(split[start : start + count + window - 1]))
+            take = pa.array(rows, pa.int64())
+            anew, again, start, count = zip(*numbers) if numbers else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(i).take(take) for i in range(3)), pa.array(anew, pa.int64()), pa.array(again, pa.int64()), pa.array(start, pa.int32()), pa.array(count, pa.int32()), pa.array(texts, pa.string())],
+                ["anchor", "digest", "doc_id", "anew", "again", "start", "count", "words"],
+            )
+
+    nth = F.row_number().over(Window.partitionBy("anchor").orderBy("doc_id", "digest"))
+    first = passages.select("anchor", "doc_id", "digest", "words", nth.alias("nth")).filter(F.col("nth") <= REFERENCES)
+    common = first.groupBy("anchor").agg(F.collect_list("words").alias("texts")).select("anchor", shared_grams("texts").alias("common"))
+    schema = "anchor long, digest long, doc_id long, anew long, again long, start int, count int, words string"
+    found = passages.join(common, "anchor").select("anchor", "digest", "doc_id", "words", "common").mapInArrow(cut, schema)
+    anchors = found.groupBy("anew").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min("again").alias("g0"), F.max("again").alias("g1")).filter("low < high")
+    shared = written(found.join(anchors.select("anew", (F.col("g0") != F.col("g1")).alias("varied")), "anew"))
+    firsts = written(shared.groupBy("anew", "again", "words", "varied").agg(F.min("doc_id").alias("first")))
+    members = shared.drop("words", "varied").join(firsts.select("anew", "again", "first"), ["anew", "again"])
+    apart = firsts.filter("varied").select(F.col("anew").alias("anchor"), F.col("again").alias("digest"), F.col("first").alias("doc_id"), "words")
+    hot = apart.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT_ANCHOR).select("anchor")
+    parts = matched_passages(apart.join(hot, "anchor", "left_anti"), window).unionByName(matched_windows(apart.join(hot, "anchor", "left_semi"), window))
+    partial = (
+        members.filter("doc_id = first")
+        .join(parts.select(F.col("anchor").alias("anew"), F.col("digest").alias("again"), "parts"), ["anew", "again"])
+        .withColumn("k", F.explode(F.expr("sequence(0, size(parts) - 2, 2)")))
+        .select("anchor", "digest", (F.col("start") + F.expr("parts[k]")).alias("start"), F.expr("parts[k + 1]").alias("count"))
+    )
+    whole = members.filter("doc_id > first").select("anchor", "digest", "start", "count")
+    return whole.unionByName(partial).groupBy("anchor", "digest").agg(F.flatten(F.array_sort(F.collect_list(F.array("start", "count")))).alias("parts"))
+
+
 def repeated_windows(rows: DataFrame, window: int) -> DataFrame:
     """doc_id, mark, windows: per row that has any, the array of (first window, number of windows) to remove.
 
     1. Every row's windows are dealt into runs by anchor; anchors that one document alone has are done with.
     2. Where all runs of an anchor are the same words, every document but the smallest loses its run.
     3. Otherwise equal runs are combined first: documents after the first that has a run lose it whole. The first
-       documents' runs are read by the suffix automaton of their shard, or, for anchors with very many different
-       runs, compared window by window, so that no anchor is gathered in one task.
+       documents' runs are read by the suffix automaton of their shard. Runs of anchors with very many different
+       ones are dealt anew first, by anchors that avoid what they share, so that no anchor is gathered in one task.
     """
     found = occurrences(rows, window)
     anchors = (
@@ -317,7 +387,7 @@ def repeated_windows(rows: DataFrame, window: int) -> DataFrame:
         parts = matched_passages(passages, window)
     else:
         passages = written(passages)
-        parts = matched_passages(passages.join(hot, "anchor", "left_anti"), window).unionByName(matched_windows(passages.join(hot, "anchor", "left_semi"), window))
+        parts = matched_passages(passages.join(hot, "anchor", "left_anti"), window).unionByName(matched_anew(passages.join(hot, "anchor", "left_semi"), window))
     partial = (
         members.filter("doc_id = first")
         .join(parts, ["anchor", "digest"])
