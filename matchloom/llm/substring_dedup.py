@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -402,10 +402,10 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_mark(F.col(text_col)).alias("mark"), F.col(text_col).alias("text"))
 
 
-def kept_words(words: list[bytes], windows: list[dict] | None, window: int) -> tuple[np.ndarray, list[bytes]]:
+def kept_words(words: list[bytes], windows: Sequence | None, window: int) -> tuple[np.ndarray, list[bytes]]:
     """Which words stay, and those words."""
     edges = np.zeros(len(words) + 1, dtype=np.int64)
-    for w in windows or ():
+    for w in () if windows is None else windows:
         edges[w["start"]] += 1
         edges[w["start"] + w["count"] + window - 1] -= 1
     stays = np.cumsum(edges[:-1]) == 0
@@ -428,7 +428,7 @@ def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", t
             total, gone, digests = [], [], []
             for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 words = (text or "").encode().split()
-                kept = kept_words(words, found, window)[1] if found else words
+                kept = kept_words(words, found, window)[1] if found is not None else words
                 total.append(len(words))
                 gone.append(len(words) - len(kept))
                 digests.append(hashlib.sha256(b" ".join(kept)).hexdigest())
@@ -456,7 +456,7 @@ def strip_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", tex
     return joined.select(*(new.alias(c) if c == text_col else F.col(c) for c in docs.columns))
 
 
-def _without(text: str, windows: list[dict], window: int) -> str:
+def _without(text: str, windows: Sequence, window: int) -> str:
     data = text.encode()
     raw = np.frombuffer(data, dtype=np.uint8)
     gap = np.concatenate([[True], (raw == 32) | ((raw >= 9) & (raw <= 13)), [True]])
