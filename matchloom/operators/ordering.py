@@ -18,3 +18,18 @@ def numbered(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     ends = placed.groupBy("__part").agg(F.max("__own").alias("__n"))
     before = ends.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
     return placed.join(F.broadcast(before), "__part").withColumn(name, (F.col("__own") + F.col("__before")).cast("long")).drop("__part", "__own", "__before")
+
+
+def average_rank(df: DataFrame, column: str, name: str) -> DataFrame:
+    """Adds the rank of a column's value among all rows, ties sharing their mean rank.
+
+    Equal values are counted first; only one row per value is numbered, over range partitions.
+    """
+    counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("__c"))
+    dealt = counts.repartitionByRange(column).withColumn("__part", F.spark_partition_id())
+    own = dealt.withColumn("__upto", F.sum("__c").over(Window.partitionBy("__part").orderBy(column)))
+    ends = own.groupBy("__part").agg(F.max("__upto").alias("__n"))
+    before = ends.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
+    placed = own.join(F.broadcast(before), "__part")
+    ranks = placed.select(column, (F.col("__before") + F.col("__upto") - (F.col("__c") - 1) / 2.0).alias(name))
+    return df.join(ranks, column)
