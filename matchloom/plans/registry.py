@@ -41,4 +41,4 @@ def query(name: str, sql: str | None = None) -> Callable:
 
 
 # every module registers its queries when imported
-from matchloom.plans import aggregates, filters, joins, models, windows  # noqa: E402, F401
+from matchloom.plans import aggregates, filters, ingest, joins, models, surfaces, windows  # noqa: E402, F401
