@@ -26,7 +26,7 @@ def quantised(vector: Column) -> Column:
 
 
 def matrix(vectors: pd.Series, width: int) -> np.ndarray:
-    """Rows of equal width; a shorter vector's missing components are 0. Python integers where products could overflow."""
+    """Rows of equal width; a shorter vector's missing components are 0."""
     out = np.zeros((len(vectors), width), dtype=np.int64)
     for i, v in enumerate(vectors):
         out[i, : len(v)] = v
@@ -39,37 +39,41 @@ class SortedLists:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], vectors[order]
-        self.lists = np.argsort(self.vectors, axis=0, kind="stable")  # ascending; read from the end for positive weights
+        columns = np.ascontiguousarray(self.vectors.T)
+        self.lists = np.argsort(columns, axis=1, kind="stable")  # ascending; read from the end for positive weights
+        self.values = np.take_along_axis(columns, self.lists, axis=1)
 
     def search(self, query_id: int, query: np.ndarray, k: int) -> list[tuple[int, int]]:
         """The k best (vec_id, score) other than the query's own rows, ties to the smaller id.
 
         Every list is read to the same depth. What an unseen vector can score at most is the sum of the contributions
-        at that depth; reading stops when that is below the kth best score, or when the lists end.
+        at that depth; reading stops when that is below the kth best score, or when every vector has been seen.
         """
         n = len(self.ids)
-        dims = np.flatnonzero(query)
-        lists = [self.lists[:, d] if query[d] < 0 else self.lists[::-1, d] for d in dims]
-        seen = np.zeros(n, dtype=bool)
+        up, down = np.flatnonzero(query > 0), np.flatnonzero(query < 0)
+        seen = self.ids == query_id
+        if not len(up) + len(down):
+            return [(int(i), 0) for i in self.ids[~seen][:k]]
         best: list[tuple[int, int]] = []
         depth, step = 0, FIRST_DEPTH
-        if not len(dims):
-            rows = np.flatnonzero(self.ids != query_id)[:k]
-            return [(int(self.ids[r]), 0) for r in rows]
         while depth < n:
             upto = min(n, depth + step)
-            fresh = np.unique(np.concatenate([rows[depth:upto] for rows in lists]))
-            fresh = fresh[~seen[fresh]]
-            seen[fresh] = True
-            fresh = fresh[self.ids[fresh] != query_id]
-            scores = self.vectors[fresh] @ query
-            if len(fresh) > k:
-                floor = np.partition(scores, -k)[-k]
-                fresh, scores = fresh[scores >= floor], scores[scores >= floor]
-            best = sorted(best + list(zip((-scores).tolist(), self.ids[fresh].tolist())))[:k]
+            met = np.zeros(n, dtype=bool)
+            met[self.lists[up, n - upto : n - depth].ravel()] = True
+            met[self.lists[down, depth:upto].ravel()] = True
+            fresh = np.flatnonzero(met & ~seen)
+            if len(fresh):
+                seen |= met
+                scores = self.vectors[fresh] @ query
+                if len(fresh) > k:
+                    floor = np.partition(scores, -k)[-k]
+                    fresh, scores = fresh[scores >= floor], scores[scores >= floor]
+                    if len(fresh) > k:  # equal scores: rows stand by id
+                        fresh, scores = (x[np.argsort(-scores, kind="stable")[:k]] for x in (fresh, scores))
+                best = sorted(best + [(-int(s), int(i)) for s, i in zip(scores, self.ids[fresh])])[:k]
             depth, step = upto, 2 * step
-            bound = sum(int(self.vectors[rows[depth - 1], d]) * int(query[d]) for rows, d in zip(lists, dims))
-            if len(best) == k and bound < -best[-1][0]:
+            bound = self.values[up, n - depth] @ query[up] + self.values[down, depth - 1] @ query[down]
+            if len(best) == k and bound < -best[-1][0] or seen.all():
                 break
         return [(i, -s) for s, i in best]
 
@@ -90,7 +94,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
         return df.select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col)).alias("v")).filter("id is not null and v is not null")
 
     n_vectors, n_queries = vectors.count(), queries.count()
-    v_blocks = max(1, -(-n_vectors // VECTORS_PER_BLOCK), min(16, n_vectors // 1024))
+    v_blocks = max(1, -(-n_vectors // VECTORS_PER_BLOCK), min(6, n_vectors // 1024))
     q_blocks = max(1, -(-n_queries // QUERIES_PER_BLOCK))
     all_blocks = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     base = usable(vectors).select("*", F.pmod(F.xxhash64("id"), F.lit(v_blocks)).cast("int").alias("vb"), all_blocks(q_blocks).alias("qb"))
@@ -101,8 +105,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
         if len(base_rows) and len(query_rows):
             width = max(map(len, (*base_rows.v, *query_rows.v)))
             own, wanted = matrix(base_rows.v, width), matrix(query_rows.v, width)
-            if width * float(np.abs(own).max(initial=0)) * float(np.abs(wanted).max(initial=0)) >= 2**62:
-                own, wanted = own.astype(object), wanted.astype(object)
+            largest = width * float(np.abs(own).max(initial=0)) * float(np.abs(wanted).max(initial=0))
+            exact = float if largest < 2**52 else np.int64 if largest < 2**62 else object  # whole numbers in each
+            own, wanted = own.astype(exact), wanted.astype(exact)
             lists = SortedLists(base_rows.id.to_numpy(), own)
             for query_id, query in zip(query_rows.id.tolist(), wanted):
                 out += [(query_id, i, s) for i, s in lists.search(query_id, query, k)]
