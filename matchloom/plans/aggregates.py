@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from matchloom.plans.registry import Tables, query
+from matchloom.plans.base import Tables, query
 
 K, D = "l_quantity", "l_linenumber"
 

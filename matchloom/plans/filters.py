@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from matchloom.functions.values import age_in_years, handle_key, number_or_null, season_year, slug
-from matchloom.plans.registry import Tables, query
+from matchloom.plans.base import Tables, query
 
 
 @query("flt_cmp", """SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem

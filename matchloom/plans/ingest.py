@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from matchloom.functions.values import cell_number, season_year
-from matchloom.plans.registry import Tables, query
+from matchloom.plans.base import Tables, query
 from matchloom.sources import records
 
 

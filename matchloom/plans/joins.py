@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from matchloom.operators.intervals import as_of, overlaps, within
-from matchloom.plans.registry import Tables, query
+from matchloom.plans.base import Tables, query
 
 
 @query("jn_chain", """SELECT r_name, CAST(year(l_shipdate) AS INTEGER) AS season, CAST(count(*) AS BIGINT) AS n_lines, round(sum(l_quantity), 2) AS kills

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from matchloom.operators import feed, metrics, ratings
 from matchloom.plans.aggregates import LINES, lines
-from matchloom.plans.registry import Tables, query
+from matchloom.plans.base import Tables, query
 
 # --- metric layer -------------------------------------------------------------------------------------------------
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from matchloom.operators import findings, quality, reports, runs
 from matchloom.plans.aggregates import LINES, lines
 from matchloom.plans.models import _SCORED, metric_layer
-from matchloom.plans.registry import Tables, query
+from matchloom.plans.base import Tables, query
 from matchloom.plans.windows import COHORT, kd_scored
 
 ROWS = f"{_SCORED}, w AS (SELECT player, season, mode, metric, round(value, 6) AS value, denom, qualified, CASE WHEN n >= 15 AND sd > 0 THEN round((value - m) / sd, 4) END AS z, CASE WHEN n >= 2 AND sd > 0 THEN round(below / n, 6) END AS pctl FROM c)"

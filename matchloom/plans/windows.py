@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from matchloom.operators.cohort import scored
 from matchloom.plans.aggregates import LINES, lines
-from matchloom.plans.registry import Tables, query
+from matchloom.plans.base import Tables, query
 
 
 @query("win_part_sum", f"WITH {LINES} SELECT player, game, deaths, round(sum(kills) OVER (PARTITION BY game, player % 2), 2) AS team_kills FROM lines")
