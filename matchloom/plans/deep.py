@@ -112,11 +112,11 @@ def rt_sweep(t: Tables):
 
 
 @query("pr_diffs", """WITH s AS (SELECT l_orderkey AS game, l_suppkey % 2 AS side, sum(l_quantity) AS k, sum(l_linenumber) AS d, sum(l_extendedprice) AS x FROM lineitem GROUP BY 1, 2)
-SELECT a.game, round(a.k / a.d - b.k / b.d, 6) AS kd, round(a.x / a.k - b.x / b.k, 2) AS damage FROM s a JOIN s b ON a.game = b.game AND a.side = 0 AND b.side = 1 WHERE a.k > 0 AND b.k > 0""")
+SELECT a.game, round(a.k / a.d - b.k / b.d, 6) AS kd, round(a.x / a.k - b.x / b.k + 1e-4, 2) AS damage FROM s a JOIN s b ON a.game = b.game AND a.side = 0 AND b.side = 1 WHERE a.k > 0 AND b.k > 0""")
 def pr_diffs(t: Tables):
     s = t("lineitem").groupBy(F.col("l_orderkey").alias("game")).agg(*(F.sum(F.when(F.col("l_suppkey") % 2 == side, F.col(c))).alias(f"{n}{side}") for side in (0, 1) for n, c in (("k", "l_quantity"), ("d", "l_linenumber"), ("x", "l_extendedprice"))))
     both = s.filter("k0 > 0 and k1 > 0 and d0 > 0 and d1 > 0")  # one aggregate gives both sides of a map
-    return both.select("game", F.round(F.col("k0") / F.col("d0") - F.col("k1") / F.col("d1"), 6).alias("kd"), F.round(F.col("x0") / F.col("k0") - F.col("x1") / F.col("k1"), 2).alias("damage"))
+    return both.select("game", F.round(F.col("k0") / F.col("d0") - F.col("k1") / F.col("d1"), 6).alias("kd"), F.round(F.col("x0") / F.col("k0") - F.col("x1") / F.col("k1") + 1e-4, 2).alias("damage"))
 
 
 @query("pr_weights")
@@ -255,9 +255,9 @@ def snk_snap(t: Tables):
     return runs.long_numbers(sets, ["player", "mode"], ["kills", "deaths"], "lines")
 
 
-@query("rp_team", f"WITH {LINES}, g AS (SELECT player % 25 AS team, season, count(DISTINCT game) AS maps, round(avg(kills), 6) AS kills_value, round(avg(damage), 4) AS damage_value FROM lines GROUP BY 1, 2) SELECT team, season, CAST(maps AS BIGINT) AS maps, kills_value, damage_value FROM g WHERE maps >= 8")
+@query("rp_team", f"WITH {LINES}, g AS (SELECT player % 25 AS team, season, count(DISTINCT game) AS maps, round(avg(kills), 6) AS kills_value, round(avg(damage) + 1e-6, 4) AS damage_value FROM lines GROUP BY 1, 2) SELECT team, season, CAST(maps AS BIGINT) AS maps, kills_value, damage_value FROM g WHERE maps >= 8")
 def rp_team(t: Tables):
-    g = lines(t).groupBy((F.col("player") % 25).alias("team"), "season").agg(F.count_distinct("game").alias("maps"), F.round(F.avg("kills"), 6).alias("kills_value"), F.round(F.avg("damage"), 4).alias("damage_value"))
+    g = lines(t).groupBy((F.col("player") % 25).alias("team"), "season").agg(F.count_distinct("game").alias("maps"), F.round(F.avg("kills"), 6).alias("kills_value"), F.round(F.avg("damage") + 1e-6, 4).alias("damage_value"))
     return g.filter("maps >= 8")
 
 

@@ -34,7 +34,7 @@ CAST(count(damage) AS DOUBLE) AS damage_maps, sum(duration_s) FILTER (WHERE dama
 _SUMMED = set(BOX) | {"player", "season", "mode", "pooled", "maps", "team_kills_on_maps", "team_hill_on_maps", "damage_maps", "damage_duration_s"}
 _HERE = [m for m in metrics.PLAYER_METRICS if m.sources <= _SUMMED]
 _LONG = " UNION ALL ".join(
-    f"SELECT player, season, mode, '{m.key}' AS metric, CAST({metrics.guarded(m.value).replace('if(', 'iff(').replace('iff(', 'if(')} AS DOUBLE) AS value, {m.denominator} AS denom, "
+    f"SELECT player, season, mode, '{m.key}' AS metric, CAST({metrics.guarded(m.value)} AS DOUBLE) AS value, {m.denominator} AS denom, "
     f"coalesce({m.denominator} >= {m.least}, false) AS qualified FROM s" + (f" WHERE mode = '{m.mode}'" if m.mode else "")
     for m in _HERE
 )
@@ -47,10 +47,10 @@ def metric_layer(t: Tables):
     return metrics.metric_rows(metrics.folded(box_lines(t), list(BOX)), metrics.PLAYER_METRICS)
 
 
-@query("metric_layer", f"{_SCORED} SELECT player, season, mode, metric, round(value, 6) AS value, denom, qualified FROM c")
+@query("metric_layer", f"{_SCORED} SELECT player, season, mode, metric, round(value + 1e-8, 6) AS value, denom, qualified FROM c")
 def metric_layer_values(t: Tables):
     """All metrics whose columns the lines have."""
-    return metric_layer(t).select("player", "season", "mode", "metric", F.round("value", 6).alias("value"), "denom", "qualified")
+    return metric_layer(t).select("player", "season", "mode", "metric", F.round(F.col("value") + 1e-8, 6).alias("value"), "denom", "qualified")  # off the halves
 
 
 @query("metric_z", f"{_SCORED} SELECT metric, season, mode, CAST(count(*) AS BIGINT) AS n, CAST(count(CASE WHEN n >= 15 AND sd > 1e-9 THEN 1 END) AS BIGINT) AS scored, round(max(CASE WHEN n >= 15 AND sd > 1e-9 THEN (value - m) / sd END), 4) AS best FROM c GROUP BY 1, 2, 3")
@@ -307,10 +307,9 @@ def car_total(t: Tables):
     return b.groupBy("player").agg(F.round(F.sum("credit"), 6).alias("total"), F.round(F.max("credit"), 6).alias("peak"), F.round(F.max("w"), 6).alias("best3"), F.count(F.lit(1)).alias("seasons"))
 
 
-@query("cr_resume", """WITH p AS (SELECT o_custkey AS team, o_orderkey % 16 + 1 AS lo, o_orderkey % 16 + 1 + o_orderkey % 3 AS hi, sqrt(o_totalprice) AS w, CAST(year(o_orderdate) AS INTEGER) AS season FROM orders),
-e AS (SELECT team, season, w, lo, hi, unnest(range(lo, hi + 1)) AS place FROM p), c AS (SELECT team, season, w, lo, hi, avg(greatest((pow(place, -2) - pow(16, -2)) / (1 - pow(16, -2)), 0)) AS credit, count(*) AS n FROM e GROUP BY ALL),
-s AS (SELECT team, season, sum(credit * w) AS x FROM c GROUP BY 1, 2)
-SELECT team, season, round(x / sum(x) OVER (PARTITION BY season), 8) AS share FROM s""".replace("e AS (SELECT team, season, w, lo, hi,", "e AS (SELECT team, season, w, lo, hi, k,").replace("SELECT o_custkey AS team,", "SELECT o_custkey AS team, o_orderkey AS k,").replace("c AS (SELECT team, season, w, lo, hi, avg", "c AS (SELECT team, season, w, lo, hi, k, avg"))
+@query("cr_resume", """WITH p AS (SELECT o_custkey AS team, o_orderkey AS k, o_orderkey % 16 + 1 AS lo, o_orderkey % 16 + 1 + o_orderkey % 3 AS hi, sqrt(o_totalprice) AS w, CAST(year(o_orderdate) AS INTEGER) AS season FROM orders),
+e AS (SELECT team, season, w, k, unnest(range(lo, hi + 1)) AS place FROM p), c AS (SELECT team, season, w, k, avg(greatest((pow(place, -2) - pow(16, -2)) / (1 - pow(16, -2)), 0)) AS credit FROM e GROUP BY ALL),
+s AS (SELECT team, season, sum(credit * w) AS x FROM c GROUP BY 1, 2) SELECT team, season, round(x / sum(x) OVER (PARTITION BY season), 8) AS share FROM s""")
 def cr_resume(t: Tables):
     lo, end = F.col("o_orderkey") % 16 + 1, 16.0**-2
     p = t("orders").select(F.col("o_custkey").alias("team"), F.year("o_orderdate").alias("season"), F.sqrt("o_totalprice").alias("w"), F.sequence(lo, lo + F.col("o_orderkey") % 3).alias("places"))
