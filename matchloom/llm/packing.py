@@ -15,13 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from matchloom.llm.scratch import written
+from matchloom.operators.scratch import written
 from matchloom.session import table
 
 #: Words whose ids a worker remembers in each of two generations.
 REMEMBERED_WORDS = 400_000
-#: Shares into which the pieces of one length are dealt to be numbered.
-SHARES = 64
+#: Shares, at least, into which the pieces of one length are dealt to be numbered, and the pieces for which one more is made.
+SHARES, PIECES_PER_SHARE = 64, 500_000
 #: Of what the linear program asks for, the share that is taken; the rest leaves best fit the freedom to end evenly.
 SHARE_BY_PROGRAM = 0.5
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -212,6 +212,7 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     Ties: pieces of equal length take their numbers by doc_id, piece and checksum. Empty table: no rows.
     """
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    shares = max(SHARES, sum(histogram.values()) // PIECES_PER_SHARE)
     starts, firsts, eachs, bases, uppers = [], [], [], [], []
     used: dict[int, int] = {}
     sequence = 0
@@ -236,7 +237,7 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
         nth = number.to_numpy() - lo_at[k]
         return pd.DataFrame({"sequence_id": first_at[k] + nth // each_at[k], "offset": base_at[k] + nth % each_at[k] * length.to_numpy()})
 
-    dealt = pieces.withColumn("share", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SHARES)).cast("int"))
+    dealt = pieces.withColumn("share", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shares)).cast("int"))
     before = (
         dealt.groupBy("length", "share")
         .agg(F.count(F.lit(1)).alias("n"))
