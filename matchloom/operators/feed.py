@@ -35,7 +35,7 @@ def trades(deaths: DataFrame, teams: DataFrame, window_ms: int = TRADE_MS) -> Da
     one side) this death is traded. The feed is read up to the first death without a time after this one.
     """
     feed = in_order(deaths)
-    gap = F.min(F.when(F.col("time_ms").isNull(), F.col("ord"))).over(Window.partitionBy("game", "round").orderBy("ord").rowsBetween(1, Window.unboundedFollowing))
+    gap = F.min(F.when(F.col("time_ms").isNull(), F.col("ord"))).over(Window.partitionBy("game", "round"))  # unknown times come last
     a = feed.withColumn("stop", gap)
     b = feed.select("game", "round", F.col("victim").alias("killer"), F.col("ord").alias("ord_b"), F.col("time_ms").alias("time_b"), F.col("killer").alias("avenger"))
     after = (F.col("ord_b") > F.col("ord")) & (F.col("time_b") - F.col("time_ms") <= window_ms) & (F.col("stop").isNull() | (F.col("ord_b") < F.col("stop")))

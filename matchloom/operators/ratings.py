@@ -229,7 +229,8 @@ def adjusted_p(tests: DataFrame, family: list[str], tie: list[str]) -> DataFrame
     rank = Window.partitionBy(*family).orderBy("p", *tie)
     n = F.count(F.lit(1)).over(Window.partitionBy(*family))
     ranked = tests.withColumns({"__i": F.row_number().over(rank), "__n": n})
-    later = rank.rowsBetween(0, Window.unboundedFollowing)
+    # from the last rank back, so that the frame only grows
+    later = Window.partitionBy(*family).orderBy(F.desc("__i")).rowsBetween(Window.unboundedPreceding, 0)
     q = F.min(F.col("p") * F.col("__n") / F.col("__i")).over(later)
     harmonic = F.sum(1.0 / F.col("__i")).over(Window.partitionBy(*family))
     return ranked.withColumns({"q_bh": F.least(q, F.lit(1.0)), "q_by": F.least(q * harmonic, F.lit(1.0))}).drop("__i", "__n")
