@@ -86,19 +86,20 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
     copied once per block of queries and the queries once per block of vectors.
 
     Left out: vectors that are null or hold null or non-finite components. Own rows: those with the query's id, so
-    repeated rows of an id never answer it. A null id is neither query nor candidate. Vectors of different lengths:
+    repeated rows of an id never answer it. Repeated rows of another id each take a rank, as do the answers of each
+    repeated row of a query, all ranked together; equal rows are combined with their number before blocks are dealt. A null id is neither query nor candidate. Vectors of different lengths:
     missing components count as 0. Ties: smaller id. Fewer than k candidates: all. Empty tables: no rows.
     """
 
     def usable(df: DataFrame) -> DataFrame:
-        return df.select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col)).alias("v")).filter("id is not null and v is not null")
+        return df.select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col)).alias("v")).filter("id is not null and v is not null").groupBy("id", "v").agg(F.least(F.count(F.lit(1)), F.lit(k)).alias("n"))
 
     n_vectors, n_queries = vectors.count(), queries.count()
     v_blocks = max(1, -(-n_vectors // VECTORS_PER_BLOCK), min(6, n_vectors // 1024))
     q_blocks = max(1, -(-n_queries // QUERIES_PER_BLOCK))
     all_blocks = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    base = usable(vectors).select("*", F.pmod(F.xxhash64("id"), F.lit(v_blocks)).cast("int").alias("vb"), all_blocks(q_blocks).alias("qb"))
-    asked = usable(queries).select("*", F.pmod(F.xxhash64("id"), F.lit(q_blocks)).cast("int").alias("qb"), all_blocks(v_blocks).alias("vb"))
+    base = usable(vectors).select("*", F.pmod(F.xxhash64("id", "v"), F.lit(v_blocks)).cast("int").alias("vb"), all_blocks(q_blocks).alias("qb"))
+    asked = usable(queries).select("*", F.pmod(F.xxhash64("id", "v"), F.lit(q_blocks)).cast("int").alias("qb"), all_blocks(v_blocks).alias("vb"))
 
     def search(base_rows: pd.DataFrame, query_rows: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int, int]] = []
@@ -108,12 +109,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
             largest = width * float(np.abs(own).max(initial=0)) * float(np.abs(wanted).max(initial=0))
             exact = float if largest < 2**52 else np.int64 if largest < 2**62 else object  # whole numbers in each
             own, wanted = own.astype(exact), wanted.astype(exact)
-            lists = SortedLists(base_rows.id.to_numpy(), own)
-            for query_id, query in zip(query_rows.id.tolist(), wanted):
-                out += [(query_id, i, s) for i, s in lists.search(query_id, query, k)]
+            copies = base_rows.n.to_numpy()
+            lists = SortedLists(np.repeat(base_rows.id.to_numpy(), copies), np.repeat(own, copies, axis=0))
+            for query_id, n, query in zip(query_rows.id.tolist(), query_rows.n.tolist(), wanted):
+                out += [(query_id, i, s) for i, s in lists.search(query_id, query, k) for _ in range(n)]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
-    found = base.groupBy("vb", "qb").cogroup(asked.groupBy("vb", "qb")).applyInPandas(search, RESULT).distinct()
+    found = base.groupBy("vb", "qb").cogroup(asked.groupBy("vb", "qb")).applyInPandas(search, RESULT)
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
         found.withColumn("rank", F.row_number().over(ranked).cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -46,3 +46,12 @@ def test_reading_stops_before_the_lists_end():
     v[:, 0] = np.arange(1000)
     lists = topk.SortedLists(np.arange(1000), v)
     assert lists.search(-1, np.array([1.0, 0.0]), 2) == [(999, 999), (998, 998)]
+
+
+def test_repeated_rows_each_take_a_rank(spark):
+    rows = [(0, [1.0]), (7, [9.0]), (7, [9.0]), (7, [8.0]), (3, [5.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted(map(tuple, topk.top_k(df, df.filter("vec_id = 0"), 4).collect()))
+    assert got == [(0, 1, 7, 256 * 2304), (0, 2, 7, 256 * 2304), (0, 3, 7, 256 * 2048), (0, 4, 3, 256 * 1280)]
+    five = spark.createDataFrame([(0, [1.0])] * 2 + [(7, [9.0])] * 5, "vec_id long, embedding array<float>")
+    assert sorted(map(tuple, topk.top_k(five, five.filter("vec_id = 0")).collect())) == [(0, r, 7, 256 * 2304) for r in range(1, 6)]
