@@ -39,17 +39,18 @@ def report(checks: list[Check], tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, counts)
 
 
-def identity_candidates(names: DataFrame, block: int = 4) -> DataFrame:
+def identity_candidates(names: DataFrame) -> DataFrame:
     """a, b, reason: pairs of players whose handles are equal but for case and marks, or one edit apart.
 
-    names: player, handle. Handles are compared within blocks: the key itself, and its first and its last letters with
-    the length it may have, one of which an edit leaves as it was.
+    names: player, handle. Keys that are one edit apart share a key or what is left of it without one letter, so only keys
+    that meet in these are compared; keys are compared once, whatever the number of players that have them.
     """
     from matchloom.functions.values import handle_key
 
-    keyed = names.select("player", handle_key(F.col("handle")).alias("key")).filter("key <> ''")
-    n = F.length("key")
-    blocks = keyed.select("player", "key", F.explode(F.array(*(F.concat(F.lit(side), part, (n + d).cast("string")) for d in (0, 1) for side, part in (("<", F.substring("key", 1, block)), (">", F.substring("key", -block, block)))), *(F.concat(F.lit(side), part, n.cast("string")) for side, part in (("<", F.substring("key", 1, block)), (">", F.substring("key", -block, block)))))).alias("at")).distinct()
-    a, b = blocks.withColumnsRenamed({"player": "a", "key": "ka"}), blocks.withColumnsRenamed({"player": "b", "key": "kb"})
-    pairs = a.join(b, "at").filter("a < b and abs(length(ka) - length(kb)) <= 1").select("a", "b", "ka", "kb").distinct()
-    return pairs.filter(F.levenshtein("ka", "kb") <= 1).select("a", "b", F.when(F.col("ka") == F.col("kb"), "same key").otherwise("one edit").alias("reason"))
+    keyed = names.select("player", handle_key(F.col("handle")).alias("key")).filter("key <> ''").distinct()
+    shorter = F.transform(F.sequence(F.lit(1), F.length("key")), lambda i: F.concat(F.substr(F.col("key"), F.lit(1), i - 1), F.substr(F.col("key"), i + 1)))
+    near = keyed.select("key").distinct().select("key", F.explode(F.array_distinct(F.array_append(shorter, F.col("key")))).alias("at"))
+    a, b = near.withColumnRenamed("key", "ka"), near.withColumnRenamed("key", "kb")
+    keys = a.join(b, "at").select("ka", "kb").distinct().filter(F.levenshtein("ka", "kb") <= 1)
+    pairs = keys.join(keyed.select(F.col("player").alias("a"), F.col("key").alias("ka")), "ka").join(keyed.select(F.col("player").alias("b"), F.col("key").alias("kb")), "kb").filter("a < b")
+    return pairs.select("a", "b", F.when(F.col("ka") == F.col("kb"), "same key").otherwise("one edit").alias("reason"))

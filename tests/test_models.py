@@ -174,3 +174,11 @@ def test_archives_tarballs_and_linkage(spark, tmp_path):
     assert [tuple(r) for r in records.linked(a, b).collect()] == [("a1", "b1")]
     s = spark.createDataFrame([(1, "x", "p", "2020-01-01"), (2, "y", "p", "2020-01-02"), (3, "y", "p", "2020-01-05"), (4, "x", "p", "2020-01-01")], "id int, catalogue string, pair string, day string").withColumn("day", F.to_date("day"))
     assert sorted(r.id for r in records.without_repeats(s, {"x": 0, "y": 1}).collect()) == [1, 3, 4]
+
+
+def test_identity_candidates_of_short_handles(spark):
+    from matchloom.operators.quality import identity_candidates
+
+    names = spark.createDataFrame([(1, "scump"), (2, "skump"), (3, "scum"), (4, "scump"), (5, "other"), (6, "a"), (7, "b")], "player int, handle string")
+    got = sorted(tuple(r) for r in identity_candidates(names).collect())
+    assert got == [(1, 2, "one edit"), (1, 3, "one edit"), (1, 4, "same key"), (2, 4, "one edit"), (3, 4, "one edit"), (6, 7, "one edit")]
