@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+from matchloom.llm import exact_dedup as x
 from matchloom.llm.exact_dedup import exact_dedup, keep_one_of_each
 
 SCHEMA = "doc_id long, text string, keep_id string, salt int"
@@ -33,3 +34,19 @@ def test_kept_rows_have_all_columns(spark):
     out = keep_one_of_each(df)
     assert out.columns == df.columns and sorted((r.doc_id for r in out.collect()), key=str) == [1, None]
     assert exact_dedup(df.filter("false")).count() == 0
+
+
+def test_one_row_of_each_group_stays(spark):
+    # a winning null id keeps no other row without an id; a row that shares a winner's id is judged by its own text
+    rows = [(None, "a"), (None, "a"), (None, "b"), (1, "b"), (5, "z"), (5, "b"), (7, "q"), (7, "q "), (8, None), (9, "  ")]
+    df = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, keep_id string")
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in x.keep_one_of_each(df).collect())
+    assert got == sorted([(True, 0, "a"), (False, 1, "b"), (False, 5, "z"), (False, 7, "q "), (False, 9, "  ")])
+    assert x.keep_one_of_each(df).columns == df.columns
+    assert x.keep_one_of_each(df.filter("false")).count() == 0
+
+
+def test_very_long_texts_are_compared_whole(spark):
+    long = "word " * 400_000
+    df = spark.createDataFrame([(1, long + "a"), (2, long + "b"), (3, long + " b")], "doc_id long, text string")
+    assert {(r.doc_id, r.keep_id, r.kept) for r in x.exact_dedup(df).collect()} == {(1, 1, True), (2, 3, False), (3, 3, True)}
