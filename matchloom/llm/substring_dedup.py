@@ -9,7 +9,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from matchloom.operators.scratch import written
@@ -21,15 +21,25 @@ ANCHOR = 6
 LONGEST_RUN = 256
 #: Bytes of text that are hashed at a time; a longer text is hashed alone.
 BYTES_AT_A_TIME = 1 << 21
-#: Words of the passages that share an automaton; the last anchor may exceed it by HOT_ANCHOR passages at most.
+#: Passages that are handed on at a time.
+PASSAGES_AT_A_TIME = 4000
+#: Words of the passages that share an automaton; the last anchor may exceed it by SHARD_PASSAGES passages at most.
 SHARD_WORDS = 40_000
-#: Anchors with more different passages than these are dealt anew by other anchors, and then settled by windows.
-HOT_ANCHOR = 1000
-#: Passages of a hot anchor, the first by id, that tell which word sequences are common to it.
+#: Different passages of one anchor that an automaton holds. Anchors with more are dealt anew by other anchors; if they have
+#: more even then, they are split into several automata, and every passage of the anchor is read by each.
+SHARD_PASSAGES = 1000
+#: Passages of such an anchor, the first by id, that tell which word sequences are common to it.
 REFERENCES = 64
-MARK_BITS, COUNT_BITS = 20, 10
+#: Shares into which the rows of a passage are dealt in joins.
+SALTS = 16
+#: With at most so many anchors that are dealt anew, what is common to each is broadcast; with more it is joined.
+BROADCAST_ANCHORS = 10_000
 
-OCCURRENCES = "anchor long, digest long, doc_id long, place long"
+OCCURRENCES = "anchor long, doc_id long, mark long, start int, count int"
+#: Different passages: the smallest and the largest document that has each.
+PASSAGES = "anchor long, passage binary, first long, last long, words string"
+#: Stretches of a passage's windows that first is the smallest document to have.
+PARTS = "array<struct<start:int,count:int,first:long>>"
 
 
 @lru_cache(maxsize=1)
@@ -70,7 +80,7 @@ def gram_hashes(words: np.ndarray) -> np.ndarray:
 
 
 def runs(data: np.ndarray, ends: np.ndarray, window: int, common: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
-    """Runs of consecutive windows that have the same anchor: anchor, digest of the run's words, text, first word, windows.
+    """Runs of consecutive windows that have the same anchor: anchor, text, first word, windows.
 
     A window's anchor is the smallest hash of the ANCHOR-word sequences in it, so equal windows have equal anchors.
     Hashes in common count as larger than all others.
@@ -78,7 +88,7 @@ def runs(data: np.ndarray, ends: np.ndarray, window: int, common: np.ndarray | N
     words, text = word_hashes(data, ends)
     n = len(words) - window + 1
     if n <= 0:
-        return tuple(np.zeros(0, dtype=np.int64) for _ in range(5))
+        return tuple(np.zeros(0, dtype=np.int64) for _ in range(4))
     low, reach, width = gram_hashes(words), 1, window - ANCHOR + 1
     if common is not None:
         low = (low >> np.uint64(1)) | (np.isin(low, common).astype(np.uint64) << np.uint64(63))
@@ -97,16 +107,13 @@ def runs(data: np.ndarray, ends: np.ndarray, window: int, common: np.ndarray | N
         nth = np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts)
         bounds = np.repeat(bounds, cuts) + nth * LONGEST_RUN
         count = np.minimum(np.repeat(count, cuts) - nth * LONGEST_RUN, LONGEST_RUN)
-    _, up, down = _tables(max(len(data), BYTES_AT_A_TIME))
-    total = np.concatenate([[np.uint64(0)], np.cumsum(mixed(words + np.uint64(77)) * up[: len(words)], dtype=np.uint64)])
-    digest = mixed((total[bounds + count + window - 1] - total[bounds]) * down[bounds] + count.astype(np.uint64))
     first = np.searchsorted(text, text[bounds], side="left")
-    return low[bounds].view(np.int64), digest.view(np.int64), text[bounds], bounds - first, count
+    return low[bounds].view(np.int64), text[bounds], bounds - first, count
 
 
-def text_mark(text: Column) -> Column:
-    """A few bits of the text: they tell rows apart that share an id."""
-    return F.shiftright(F.xxhash64(text), 64 - MARK_BITS).bitwiseAND(F.lit((1 << MARK_BITS) - 1))
+def passage_name(words: bytes) -> bytes:
+    """Equal passages have equal names, others different ones: a cryptographic digest of the words."""
+    return hashlib.blake2b(words, digest_size=16).digest()
 
 
 def occurrences(rows: DataFrame, window: int) -> DataFrame:
@@ -125,9 +132,9 @@ def occurrences(rows: DataFrame, window: int) -> DataFrame:
                 to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + BYTES_AT_A_TIME, side="right")) - 1)
                 part = slice(int(offsets[at]), int(offsets[to]))
                 if part.stop > part.start:
-                    anchor, digest, row, first, count = runs(data[part], offsets[at + 1 : to + 1] - offsets[at], window)
-                    place = (marks[at + row] << (64 - MARK_BITS - 1)) | (first << COUNT_BITS) | count
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (anchor, digest, ids[at + row], place)], ["anchor", "digest", "doc_id", "place"])
+                    anchor, row, first, count = runs(data[part], offsets[at + 1 : to + 1] - offsets[at], window)
+                    numbers = (anchor, ids[at + row], marks[at + row], first.astype(np.int32), count.astype(np.int32))
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in numbers], ["anchor", "doc_id", "mark", "start", "count"])
                 at = to
 
     return rows.filter("doc_id is not null").select("doc_id", "mark", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(scan, OCCURRENCES)
@@ -184,11 +191,10 @@ class SuffixAutomaton:
             if up > 0 and first[state] is not None and (first[up] is None or first[state] < first[up]):
                 first[up] = first[state]
 
-    def earlier(self, words: list[int], doc_id: int, window: int) -> list[int]:
-        """Streams a passage: the starts of its windows that a smaller document has."""
+    def matches(self, words: list[int], window: int) -> Iterator[tuple[int, int]]:
+        """Streams a passage: the start of each of its windows that the automaton knows, and the smallest document that has it."""
         follow, link, length, first = self.next, self.link, self.length, self.first
         state = matched = 0
-        out = []
         for i, word in enumerate(words):
             while state and word not in follow[state]:
                 state = link[state]
@@ -199,54 +205,56 @@ class SuffixAutomaton:
             while state and length[link[state]] >= window:
                 state = link[state]
                 matched = length[state]
-            if matched >= window and first[state] is not None and first[state] < doc_id:
-                out.append(i - window + 1)
-        return out
-
-
-def spans(starts: list[int]) -> list[int]:
-    """First window and number of windows of each stretch, in turn."""
-    out: list[int] = []
-    for s in starts:
-        if out and s == out[-2] + out[-1]:
-            out[-1] += 1
-        else:
-            out += [s, 1]
+            if matched >= window:
+                yield i - window + 1, first[state]
+
+
+def stretches(windows: Iterator[tuple[int, int]], below: int) -> list[dict[str, int]]:
+    """Start, count and first of each stretch of consecutive windows with one smallest document, if that is below the given one."""
+    out: list[dict[str, int]] = []
+    for start, first in windows:
+        if first < below:
+            if out and start == out[-1]["start"] + out[-1]["count"] and first == out[-1]["first"]:
+                out[-1]["count"] += 1
+            else:
+                out.append({"start": start, "count": 1, "first": first})
     return out
 
 
-def matched_passages(passages: DataFrame, window: int) -> DataFrame:
-    """anchor, digest, parts: of each passage (anchor, digest, doc_id, words) the windows that a smaller document has.
+def streamed(passages: DataFrame, window: int) -> DataFrame:
+    """anchor, passage, parts of passages (PASSAGES) that hold windows which a smaller document than their last has.
 
-    Passages lie by anchor; whole anchors are gathered to shards of about SHARD_WORDS words, whose automaton is built
-    from all their passages and then reads each of them. Equal windows have equal anchors, so a shard holds all that
-    its passages can match, and no automaton need be sent to any other task.
+    Passages lie by anchor, and whole anchors are gathered to reference shards of about SHARD_WORDS words. A shard's
+    suffix automaton is built from its passages, and each of them is then streamed through it for matching statistics.
+    Equal windows have equal anchors, so a passage can match its own shard only: no automaton is sent elsewhere. An
+    anchor of more passages than SHARD_PASSAGES is split into several shards, all of which its passages stream through.
     """
 
-    def settle(batch: list[tuple[int, int, int, str]]) -> list[tuple[int, int, list[int]]]:
+    def settle(shard: list[tuple]) -> list[tuple[int, bytes, list[dict[str, int]]]]:
         numbers: dict[str, int] = {}
-        passages_ = sorted(((d, a, g, [numbers.setdefault(w, len(numbers)) for w in words.split(" ")]) for a, g, d, words in batch), key=lambda p: p[:3])
+        read = sorted(((first, last, a, p, own, [numbers.setdefault(w, len(numbers)) for w in words.split(" ")]) for a, _, own, p, first, last, words in shard), key=lambda r: r[:2])
         automaton = SuffixAutomaton()
-        for d, _, _, words in passages_:
-            automaton.add(words, d)
+        for first, _, _, _, own, words in read:
+            if own:
+                automaton.add(words, first)
         automaton.settle()
-        found = ((a, g, automaton.earlier(words, d, window)) for d, a, g, words in passages_)
-        return [(a, g, spans(starts)) for a, g, starts in found if starts]
+        found = ((a, p, stretches(automaton.matches(words, window), last)) for _, last, a, p, _, words in read)
+        return [f for f in found if f[2]]
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(rows: list[tuple[int, int, list[int]]]) -> pa.RecordBatch:
-            a, g, parts = zip(*rows) if rows else ((), (), ())
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(g, pa.int64()), pa.array(parts, pa.list_(pa.int32()))], ["anchor", "digest", "parts"])
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            a, p, parts = zip(*rows) if rows else ((), (), ())
+            kind = pa.list_(pa.struct([("start", pa.int32()), ("count", pa.int32()), ("first", pa.int64())]))
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(p, pa.binary()), pa.array(parts, kind)], ["anchor", "passage", "parts"])
 
-        shard: list[tuple[int, int, int, str]] = []
-        anchor: list[tuple[int, int, int, str]] = []
+        shard: list[tuple] = []
+        anchor: list[tuple] = []
         size = 0
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                if anchor and row[0] != anchor[-1][0]:
-                    if len(anchor) > 1:
-                        shard += anchor
-                        size += sum(r[3].count(" ") + 1 for r in anchor)
+            for row in zip(*(batch.column(i).to_pylist() for i in range(7))):
+                if anchor and row[:2] != anchor[-1][:2]:
+                    shard += anchor
+                    size += sum(r[6].count(" ") + 1 for r in anchor)
                     anchor = []
                     if size >= SHARD_WORDS:
                         yield out(settle(shard))
@@ -254,37 +262,19 @@ def matched_passages(passages: DataFrame, window: int) -> DataFrame:
                 anchor.append(row)
         yield out(settle(shard + anchor))
 
-    dealt = passages.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "digest")
-    return dealt.select("anchor", "digest", "doc_id", "words").mapInArrow(match, "anchor long, digest long, parts array<int>")
-
-
-def matched_windows(passages: DataFrame, window: int) -> DataFrame:
-    """What matched_passages() returns, for passages of hot anchors: window by window, by a digest of its words."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, at, marks = [], [], []
-            for row, words in enumerate(batch.column(3).to_pylist()):
-                words = words.split(" ")
-                for i in range(len(words) - window + 1):
-                    rows.append(row)
-                    at.append(i)
-                    marks.append(hashlib.blake2b(" ".join(words[i : i + window]).encode(), digest_size=16).digest())
-            take = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(take) for i in range(3)), pa.array(at, pa.int32()), pa.array(marks, pa.binary())], ["anchor", "digest", "doc_id", "at", "mark"])
-
-    cuts = passages.select("anchor", "digest", "doc_id", "words").mapInArrow(cut, "anchor long, digest long, doc_id long, at int, mark binary")
-    smallest = cuts.groupBy("mark").agg(F.min("doc_id").alias("first"))
-    later = cuts.join(smallest, "mark").filter("first < doc_id")
-    return later.groupBy("anchor", "digest").agg(F.flatten(F.transform(F.array_sort(F.collect_set("at")), lambda i: F.array(i, F.lit(1)))).alias("parts"))
+    several = passages.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > SHARD_PASSAGES).select("anchor", F.ceil(F.col("n") / F.lit(0.5 * SHARD_PASSAGES)).cast("int").alias("shards"))
+    split = passages.join(several, "anchor", "left").withColumn("shards", F.coalesce("shards", F.lit(1)))
+    dealt = split.withColumn("shard", F.explode(F.expr("sequence(0, shards - 1)"))).withColumn("own", F.col("shard") == F.pmod(F.xxhash64("passage"), F.col("shards")))
+    lying = dealt.repartition("anchor", "shard").sortWithinPartitions("anchor", "shard")
+    return lying.select("anchor", "shard", "own", "passage", "first", "last", "words").mapInArrow(match, f"anchor long, passage binary, parts {PARTS}")
 
 
-def matched_anew(passages: DataFrame, window: int) -> DataFrame:
-    """What matched_passages() returns, for passages of hot anchors: dealt anew by anchors that avoid common words.
+def streamed_anew(passages: DataFrame, window: int) -> DataFrame:
+    """What streamed() returns, for anchors of very many passages: dealt anew by anchors that avoid common words.
 
     The word sequences that the first REFERENCES passages of an anchor share are common to it. Windows that reach
     beyond a common passage thus get anchors from outside it, which few others have, and those inside are the same
-    words everywhere. Anchors that are hot even then are settled window by window.
+    words everywhere.
     """
 
     @F.pandas_udf("array<long>")
@@ -298,108 +288,96 @@ def matched_anew(passages: DataFrame, window: int) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, anew, texts = [], [], []
-            numbers: list[tuple[int, int, int, int]] = []
-            for row, (anchor, words, common) in enumerate(zip(*(batch.column(i).to_pylist() for i in (0, 3, 4)))):
+            rows, numbers, names, texts = [], [], [], []
+            for row, (anchor, words, common) in enumerate(zip(*(batch.column(i).to_pylist() for i in (0, 4, 5)))):
                 data = np.frombuffer(words.encode(), dtype=np.uint8)
                 found = runs(data, np.array([len(data)]), window, np.array(common, dtype=np.int64).view(np.uint64))
                 own = mixed(found[0].view(np.uint64) ^ np.array([anchor], dtype=np.int64).view(np.uint64)).view(np.int64)
                 split = words.split(" ")
-                for a, g, start, count in zip(own.tolist(), found[1].tolist(), found[3].tolist(), found[4].tolist()):
+                for a, start, count in zip(own.tolist(), found[2].tolist(), found[3].tolist()):
                     rows.append(row)
-                    numbers.append((a, g, start, count))
+                    numbers.append((a, start))
                     texts.append(" ".join(split[start : start + count + window - 1]))
+                    names.append(passage_name(texts[-1].encode()))
             take = pa.array(rows, pa.int64())
-            anew, again, start, count = zip(*numbers) if numbers else ((), (), (), ())
+            anew, start = zip(*numbers) if numbers else ((), ())
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i).take(take) for i in range(3)), pa.array(anew, pa.int64()), pa.array(again, pa.int64()), pa.array(start, pa.int32()), pa.array(count, pa.int32()), pa.array(texts, pa.string())],
-                ["anchor", "digest", "doc_id", "anew", "again", "start", "count", "words"],
+                [*(batch.column(i).take(take) for i in range(4)), pa.array(anew, pa.int64()), pa.array(names, pa.binary()), pa.array(start, pa.int32()), pa.array(texts, pa.string())],
+                ["anchor", "passage", "first", "last", "anew", "part", "at", "words"],
             )
 
-    nth = F.row_number().over(Window.partitionBy("anchor").orderBy("doc_id", "digest"))
-    first = passages.select("anchor", "doc_id", "digest", "words", nth.alias("nth")).filter(F.col("nth") <= REFERENCES)
-    common = first.groupBy("anchor").agg(F.collect_list("words").alias("texts")).select("anchor", shared_grams("texts").alias("common"))
-    schema = "anchor long, digest long, doc_id long, anew long, again long, start int, count int, words string"
-    found = passages.join(common, "anchor").select("anchor", "digest", "doc_id", "words", "common").mapInArrow(cut, schema)
-    anchors = found.groupBy("anew").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min("again").alias("g0"), F.max("again").alias("g1")).filter("low < high")
-    shared = written(found.join(anchors.select("anew", (F.col("g0") != F.col("g1")).alias("varied")), "anew"))
-    firsts = written(shared.groupBy("anew", "again", "words", "varied").agg(F.min("doc_id").alias("first")))
-    members = shared.drop("words", "varied").join(firsts.select("anew", "again", "first"), ["anew", "again"])
-    apart = firsts.filter("varied").select(F.col("anew").alias("anchor"), F.col("again").alias("digest"), F.col("first").alias("doc_id"), "words")
-    hot = apart.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT_ANCHOR).select("anchor")
-    parts = matched_passages(apart.join(hot, "anchor", "left_anti"), window).unionByName(matched_windows(apart.join(hot, "anchor", "left_semi"), window))
-    partial = (
-        members.filter("doc_id = first")
-        .join(parts.select(F.col("anchor").alias("anew"), F.col("digest").alias("again"), "parts"), ["anew", "again"])
-        .withColumn("k", F.explode(F.expr("sequence(0, size(parts) - 2, 2)")))
-        .select("anchor", "digest", (F.col("start") + F.expr("parts[k]")).alias("start"), F.expr("parts[k + 1]").alias("count"))
-    )
-    whole = members.filter("doc_id > first").select("anchor", "digest", "start", "count")
-    return whole.unionByName(partial).groupBy("anchor", "digest").agg(F.flatten(F.array_sort(F.collect_list(F.array("start", "count")))).alias("parts"))
+    nth = F.row_number().over(Window.partitionBy("anchor").orderBy("first", "passage"))
+    some = passages.select("anchor", "first", "passage", "words", nth.alias("nth")).filter(F.col("nth") <= REFERENCES)
+    common = some.groupBy("anchor").agg(F.collect_list("words").alias("texts")).select("anchor", shared_grams("texts").alias("common"))
+    schema = "anchor long, passage binary, first long, last long, anew long, part binary, at int, words string"
+    found = passages.join(F.broadcast(common) if common.count() <= BROADCAST_ANCHORS else common, "anchor").select("anchor", "passage", "first", "last", "words", "common")
+    found = written(found.mapInArrow(cut, schema))
+    again = different(found.select(F.col("anew").alias("anchor"), F.col("part").alias("passage"), "first", "last", "words"))
+    parts = streamed(again, window).select(F.col("anchor").alias("anew"), F.col("passage").alias("part"), F.explode("parts").alias("in"))
+    back = dealt_parts(found.drop("words"), parts, ["anew", "part"], "passage").filter(F.col("in.first") < F.col("last"))
+    moved = F.struct((F.col("at") + F.col("in.start")).alias("start"), F.col("in.count").alias("count"), F.col("in.first").alias("first"))
+    return back.groupBy("anchor", "passage").agg(F.collect_list(moved).alias("parts"))
+
+
+def different(rows: DataFrame) -> DataFrame:
+    """The different passages (PASSAGES) among rows of the same columns, of anchors that more than one document has."""
+    passages = rows.groupBy("anchor", "passage").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.first("words").alias("words"))
+    shared = passages.groupBy("anchor").agg(F.min("first").alias("low"), F.max("last").alias("high")).filter("low < high").select("anchor")
+    return passages.join(shared, "anchor")
+
+
+def dealt_parts(rows: DataFrame, parts: DataFrame, keys: list[str], spread: str) -> DataFrame:
+    """rows joined with the parts of their passages; a passage's rows are dealt over SALTS tasks by the column spread."""
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    return salted.join(parts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*keys, "salt"]).drop("salt")
 
 
 def repeated_windows(rows: DataFrame, window: int) -> DataFrame:
-    """doc_id, mark, windows: per row that has any, the array of (first window, number of windows) to remove.
+    """doc_id, mark, windows: per row that has any, the array of (start, count) of windows to remove.
 
     1. Every row's windows are dealt into runs by anchor; anchors that one document alone has are done with.
-    2. Where all runs of an anchor are the same words, every document but the smallest loses its run.
-    3. Otherwise equal runs are combined first: documents after the first that has a run lose it whole. The first
-       documents' runs are read by the suffix automaton of their shard. Runs of anchors with very many different
-       ones are dealt anew first, by anchors that avoid what they share, so that no anchor is gathered in one task.
+    2. The words of the other runs are cut from the texts. Equal passages are combined: they are one reference, with its
+       smallest and its largest document. A passage that a third of all rows have is a row a map task.
+    3. The references make shards by anchor; each shard's suffix automaton reads the passages for matching statistics:
+       the stretches of windows that it knows, each with the smallest document that has them.
+    4. Every row whose passage holds a stretch loses it if that document is smaller than the row's own.
     """
     found = occurrences(rows, window)
-    anchors = (
-        found.groupBy("anchor")
-        .agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min("digest").alias("g0"), F.max("digest").alias("g1"))
-        .filter("low < high")
-        .select("anchor", "low", (F.col("g0") != F.col("g1")).alias("varied"))
-    )
-    shared = written(found.join(anchors, "anchor"))
-    first_runs = written(shared.filter("varied").groupBy("anchor", "digest").agg(F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "place")).alias("one")))
-    members = shared.filter("varied").join(first_runs.select("anchor", "digest", "first"), ["anchor", "digest"])
-    unpacked = [
-        "doc_id",
-        F.shiftright("place", 64 - MARK_BITS - 1).alias("mark"),
-        F.shiftright("place", COUNT_BITS).bitwiseAND(F.lit((1 << (64 - MARK_BITS - 1 - COUNT_BITS)) - 1)).cast("int").alias("start"),
-        F.col("place").bitwiseAND(F.lit((1 << COUNT_BITS) - 1)).cast("int").alias("count"),
-    ]
-    whole = shared.filter("not varied and doc_id > low").select(*unpacked).unionByName(members.filter("doc_id > first").select(*unpacked))
-
-    wanted = first_runs.select("anchor", "digest", "one.doc_id", "one.place").select("anchor", "digest", *unpacked)
-    per_row = wanted.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("anchor", "digest", "start", "count")).alias("runs"))
+    several = found.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("anchor")
+    per_row = found.join(several, "anchor").groupBy("doc_id", "mark").agg(F.collect_list(F.struct("anchor", "start", "count")).alias("runs"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows_: list[tuple[int, int, int, int, bytes, str]] = []
+
+        def out() -> pa.RecordBatch:
+            schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("anchor", pa.int64()), ("start", pa.int32()), ("passage", pa.binary()), ("words", pa.string())])
+            columns = zip(*rows_) if rows_ else ((),) * 6
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
         for batch in batches:
-            a, g, d, words = [], [], [], []
-            for doc_id, text, wanted_runs in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                split = text.encode().split()
-                for r in wanted_runs:
-                    a.append(r["anchor"])
-                    g.append(r["digest"])
-                    d.append(doc_id)
-                    words.append(b" ".join(split[r["start"] : r["start"] + r["count"] + window - 1]).decode())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(g, pa.int64()), pa.array(d, pa.int64()), pa.array(words, pa.string())], ["anchor", "digest", "doc_id", "words"])
-
-    passages = rows.join(per_row, ["doc_id", "mark"]).select("doc_id", "text", "runs").mapInArrow(cut, "anchor long, digest long, doc_id long, words string")
-    sizes = first_runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
-    hot = written(sizes.filter(F.col("n") > HOT_ANCHOR).select("anchor"))
-    if hot.isEmpty():
-        parts = matched_passages(passages, window)
-    else:
-        passages = written(passages)
-        parts = matched_passages(passages.join(hot, "anchor", "left_anti"), window).unionByName(matched_anew(passages.join(hot, "anchor", "left_semi"), window))
-    partial = (
-        members.filter("doc_id = first")
-        .join(parts, ["anchor", "digest"])
-        .select(*unpacked, "parts")
-        .withColumn("k", F.explode(F.expr("sequence(0, size(parts) - 2, 2)")))
-        .select("doc_id", "mark", (F.col("start") + F.expr("parts[k]")).alias("start"), F.expr("parts[k + 1]").alias("count"))
-    )
-    return whole.unionByName(partial).groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "count")).alias("windows"))
+            for doc_id, mark, text, wanted in zip(*batch.columns):
+                split = text.as_py().encode().split()
+                for r in wanted.as_py():
+                    words = b" ".join(split[r["start"] : r["start"] + r["count"] + window - 1])
+                    rows_.append((doc_id.as_py(), mark.as_py(), r["anchor"], r["start"], passage_name(words), words.decode()))
+                    if len(rows_) >= PASSAGES_AT_A_TIME:
+                        yield out()
+                        rows_.clear()
+        yield out()
+
+    texts = rows.join(per_row, ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"]).select("doc_id", "mark", "text", "runs")
+    streams = written(texts.mapInArrow(cut, "doc_id long, mark long, anchor long, start int, passage binary, words string"))
+    passages = written(different(streams.select("anchor", "passage", F.col("doc_id").alias("first"), F.col("doc_id").alias("last"), "words")))
+    many = written(passages.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > SHARD_PASSAGES).select("anchor"))
+    parts = streamed(passages.join(many, "anchor", "left_anti"), window)
+    if not many.isEmpty():
+        parts = parts.unionByName(streamed_anew(passages.join(many, "anchor", "left_semi"), window))
+    gone = dealt_parts(streams.drop("words"), parts.select("anchor", "passage", F.explode("parts").alias("in")), ["anchor", "passage"], "doc_id").filter(F.col("in.first") < F.col("doc_id"))
+    return written(gone.groupBy("doc_id", "mark").agg(F.collect_list(F.struct((F.col("start") + F.col("in.start")).alias("start"), F.col("in.count").alias("count"))).alias("windows")))
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_mark(F.col(text_col)).alias("mark"), F.col(text_col).alias("text"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("mark"), F.col(text_col).alias("text"))
 
 
 def kept_words(words: list[bytes], windows: Sequence | None, window: int) -> tuple[np.ndarray, list[bytes]]:
@@ -451,7 +429,7 @@ def strip_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", tex
     def stripped(texts, found):
         return texts.combine(found, lambda text, w: text if w is None or text is None else _without(text, w, window))
 
-    joined = docs.join(windows, (F.col(id_col) == F.col("__id")) & (text_mark(F.col(text_col)) == F.col("__mark")), "left")
+    joined = docs.join(windows, (F.col(id_col) == F.col("__id")) & (F.xxhash64(F.col(text_col)) == F.col("__mark")), "left")
     new = F.when(F.col("windows").isNull(), F.col(text_col)).otherwise(stripped(F.col(text_col), F.col("windows")))
     return joined.select(*(new.alias(c) if c == text_col else F.col(c) for c in docs.columns))
 

@@ -44,10 +44,10 @@ def corpus(seed):
     return rows + [(200, None), (201, ""), (202, " \x0b\n"), (3, rows[3][1]), (None, rows[4][1]), (203, "é ü " * 80), (204, "é ü " * 80)]
 
 
-@pytest.mark.parametrize("hot", [1000, 2])
-def test_against_brute_force(spark, monkeypatch, hot):
-    monkeypatch.setattr(s, "HOT_ANCHOR", hot)
-    rows = corpus(hot)
+@pytest.mark.parametrize("most", [1000, 2])
+def test_against_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(s, "SHARD_PASSAGES", most)
+    rows = corpus(most)
     df = spark.createDataFrame([(*r, "clash") for r in rows], SCHEMA)
     got = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in s.substring_dedup(df).collect()), key=repr)
     assert got == brute(rows, 50)
@@ -69,11 +69,25 @@ def test_empty_table(spark):
     assert s.substring_dedup(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def test_automaton_finds_what_a_smaller_document_has():
+def test_long_texts_repeated_ids_and_a_passage_in_a_third_of_all_rows(spark, monkeypatch):
+    rng = random.Random(3)
+    word = lambda: rng.choice("abcdefgh") + str(rng.randint(0, 3000))
+    everywhere = " ".join(word() for _ in range(55))
+    rows = [(i, " ".join(word() for _ in range(60)) + (" " + everywhere if i % 3 == 0 else "")) for i in range(120)]
+    long = [word() for _ in range(6000)]
+    rows += [(300, " ".join(long)), (301, " ".join(long[2000:4000] + [word()] + long[:500])), (302, "z " * 5000)]
+    rows += [(303, " ".join(long[100:170])), (303, " ".join(long[3000:3100] + [word() for _ in range(70)])), (303, " ".join(long[100:170]))]
+    monkeypatch.setattr(s, "BYTES_AT_A_TIME", 20_000)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in s.substring_dedup(df).collect()), key=repr)
+    assert got == brute(rows, 50)
+
+
+def test_automaton_tells_the_smallest_document_of_each_window():
     a = s.SuffixAutomaton()
     a.add([1, 2, 3, 4, 5], 7)
     a.add([9, 2, 3, 4, 8], 9)
     a.settle()
-    assert a.earlier([9, 2, 3, 4, 8], 9, 3) == [1]
-    assert a.earlier([1, 2, 3, 4, 5], 7, 3) == []
-    assert s.spans([1, 2, 3, 7]) == [1, 3, 7, 1]
+    assert list(a.matches([9, 2, 3, 4, 8], 3)) == [(0, 9), (1, 7), (2, 9)]
+    assert s.stretches(a.matches([1, 2, 3, 4, 5], 3), 7) == []
+    assert s.stretches(iter([(1, 4), (2, 4), (3, 5), (7, 4)]), 9) == [{"start": 1, "count": 2, "first": 4}, {"start": 3, "count": 1, "first": 5}, {"start": 7, "count": 1, "first": 4}]
