@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import base64
-import re
-import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -12,63 +10,32 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from matchloom.operators.scratch import written
 from matchloom.session import table
 
-#: Words whose ids a worker remembers in each of two generations.
-REMEMBERED_WORDS = 400_000
 #: Shares, at least, into which the pieces of one length are dealt to be numbered, and the pieces for which one more is made.
 SHARES, PIECES_PER_SHARE = 64, 500_000
-#: Of what the linear program asks for, the share that is taken; the rest leaves best fit the freedom to end evenly.
-SHARE_BY_PROGRAM = 0.5
+#: Rounds of multiplicative weights of the first program, and of each later one on what rounding down has left.
+ROUNDS, ROUNDS_LEFT = 1200, 250
+#: Ways to use the rounded configurations: the tokens of a sequence that may stay free, whether the smallest slot is left to
+#: best fit, and the share of the program that is used. The whole histogram is packed in each way; the fewest sequences win,
+#: and of equals the way that stands first. Where small pieces abound, half of the program leaves best fit those it ends with.
+WAYS = ((2048, False, 1.0), (0, True, 1.0), (0, False, 0.5))
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-class WordIds(dict):
-    """Token ids, as little-endian 32-bit bytes, of a text's parts between single spaces."""
-
-    def __init__(self, ranks_path: str):
-        import public_tokenizers
-        import tiktoken
-
-        with open(ranks_path, "rb") as f:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-        self.older: dict[str, bytes] = {}
-        end = {"<|endoftext|>": len(ranks)}
-        self._encode = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=end).encode
-
-    def __missing__(self, part: str) -> bytes:
-        if len(self) >= REMEMBERED_WORDS:
-            self.older = dict(self)
-            self.clear()
-        ids = self.older.get(part)
-        if ids is None:
-            found = self._encode(part, allowed_special="all")
-            ids = struct.pack(f"<{len(found)}I", *found)
-        if len(part) < 64:
-            self[part] = ids
-        return ids
-
-    #: A space that has white space beside it belongs to a run, which must stay in one part.
-    _run = re.compile(r"\s | \s|^ | $")
-    _cut = re.compile(r"(?<=\S)(?= \S)")
-
-    def of(self, text: str) -> bytes:
-        """The ids of the whole text. No token spans the place before a lone space, so parts are encoded apart."""
-        if self._run.search(text):
-            parts = self._cut.split(text)
-        else:
-            first, *rest = text.split(" ")
-            parts = [first, *(" " + part for part in rest)] if rest else [first]
-        return b"".join(map(self.__getitem__, parts))
-
-
 @lru_cache(maxsize=2)
-def word_ids(ranks_path: str) -> WordIds:
-    return WordIds(ranks_path)
+def encoder(ranks_path: str) -> tiktoken.Encoding:
+    """The byte-pair encoding of a rank file; a text's literal <|endoftext|> is the one id after the ranks."""
+    import public_tokenizers
+
+    with open(ranks_path, "rb") as f:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": len(ranks)})
 
 
 def token_pieces(docs: DataFrame, ranks_path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -80,11 +47,11 @@ def token_pieces(docs: DataFrame, ranks_path: str, capacity: int = 2048, end_id:
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, end = word_ids(ranks_path), np.array([end_id], dtype="<u4").tobytes()
+        encode, end = encoder(ranks_path).encode_to_numpy, np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             rows, piece, start, length, crc = [], [], [], [], []
             for row, text in enumerate(batch.column(1)):
-                ids = memoryview(ids_of.of(text.as_py() or "") + end)
+                ids = memoryview(encode(text.as_py() or "", allowed_special="all").astype("<u4").tobytes() + end)
                 total = len(ids) // 4
                 at, size, k = 0, total % capacity or capacity, 0
                 while at < total:
@@ -144,22 +111,19 @@ def configuration_lp(counts: np.ndarray, sizes: np.ndarray, capacity: int, round
     return sorted(((dict(key), x / scale) for key, x in use.items()), key=lambda c: (-c[1], sorted(c[0].items())))
 
 
-def pack_histogram(histogram: dict[int, int], capacity: int = 2048, grain: int = 8) -> list[tuple[dict[int, int], int]]:
-    """Patterns (count by length) and how often each is used; together they hold every piece exactly once.
+def pack_by_program(left: np.ndarray, capacity: int, grain: int, waste: int, spare_last: bool, share: float, first: list | None) -> tuple[list[tuple[dict[int, int], int]], int]:
+    """Patterns that hold the pieces left (by length), and how many sequences of them the program has made.
 
-    Lengths are grouped into grains for the linear program. Its configurations are rounded down and filled with
-    exact lengths, the largest of a grain first and the last place by best fit, as long as they fill the sequences
-    wholly; the rest is packed by best fit decreasing. Work and result depend on the number of distinct lengths (at most capacity), not on the rows.
+    Each configuration of the program is used as often as its share, rounded down, with the largest exact lengths of its
+    slots; what room is left is filled by best fit, and a sequence of which more than waste tokens stay free is not made.
+    Then the program of the pieces that are left is solved and used likewise, as long as that makes any; not if only a
+    share of the first one is used. The rest is packed by best fit, largest first. first: the configurations to begin with;
+    None: best fit alone.
     """
-    left = np.zeros(capacity + 1, dtype=np.int64)
-    for length, count in histogram.items():
-        left[length] = count
+    left = left.copy()
     patterns: list[tuple[dict[int, int], int]] = []
-    if left[capacity]:
-        patterns.append(({capacity: 1}, int(left[capacity])))
-        left[capacity] = 0
 
-    def largest(limit: int, low: int, taken: dict[int, int]) -> int:
+    def largest(low: int, limit: int, taken: dict[int, int]) -> int:
         """The largest length in low..limit of which one is left beside those taken; 0 if there is none."""
         free = left[low : limit + 1].copy()
         for length, times in taken.items():
@@ -169,15 +133,15 @@ def pack_histogram(histogram: dict[int, int], capacity: int = 2048, grain: int =
         return int(found[-1]) + low if len(found) else 0
 
     def fill(slots: list[tuple[int, int]], quota: int, waste: int) -> None:
-        """Uses one configuration up to quota times, as long as no more than waste tokens of a sequence stay free."""
+        """Uses slots (shortest and longest length) up to quota times."""
         while quota > 0:
             taken: dict[int, int] = {}
             room = capacity
-            for low, high in slots[:-1]:
-                if length := largest(min(high, room), low, taken) if room >= low else 0:
+            for low, high in slots:
+                if length := largest(low, min(high, room), taken) if room >= low else 0:
                     taken[length] = taken.get(length, 0) + 1
                     room -= length
-            while room and (length := largest(room, 1, taken)):
+            while room and (length := largest(1, room, taken)):
                 taken[length] = taken.get(length, 0) + 1
                 room -= length
             if not taken or room > waste:
@@ -188,18 +152,53 @@ def pack_histogram(histogram: dict[int, int], capacity: int = 2048, grain: int =
                 left[length] -= n * times
             quota -= times
 
+    configurations = first or []
+    while configurations:
+        made = len(patterns)
+        for slots, x in configurations:
+            fill(slots[:-1] if spare_last else slots, int(share * x), waste)
+        configurations = configured(left, capacity, grain, ROUNDS_LEFT) if len(patterns) > made and share == 1 else []
+    by_program = sum(times for _, times in patterns)
+    while left.any():
+        fill([], int(left.sum()), capacity)
+    return patterns, by_program
+
+
+def configured(left: np.ndarray, capacity: int, grain: int, rounds: int) -> list[tuple[list[tuple[int, int]], float]]:
+    """The program's configurations for the pieces left, each as slots of a grain of lengths, largest first, and its use."""
     lengths = np.flatnonzero(left)
-    if len(lengths):
-        units = -(-lengths // grain)
-        sizes, at = np.unique(units, return_inverse=True)
-        counts = np.zeros(len(sizes))
-        np.add.at(counts, at, left[lengths])
-        for config, x in configuration_lp(counts, sizes, capacity // grain):
-            slots = sorted(((int(sizes[t]) * grain - grain + 1, int(sizes[t]) * grain) for t, n in config.items() for _ in range(n)), reverse=True)
-            fill(slots, int(SHARE_BY_PROGRAM * x), 0)
-        while left.any():  # best fit decreasing on what rounding left
-            fill([(1, capacity), (1, capacity)], int(left.sum()), capacity)
-    return patterns
+    if not len(lengths):
+        return []
+    sizes, at = np.unique(-(-lengths // grain), return_inverse=True)
+    counts = np.zeros(len(sizes))
+    np.add.at(counts, at, left[lengths])
+    found = configuration_lp(counts, sizes, capacity // grain, rounds)
+    return [(sorted(((int(sizes[t]) * grain - grain + 1, int(sizes[t]) * grain) for t, n in config.items() for _ in range(n)), reverse=True), x) for config, x in found]
+
+
+def pack_histogram(histogram: dict[int, int], capacity: int = 2048, grain: int = 8) -> list[tuple[dict[int, int], int]]:
+    """Patterns (count by length) and how often each is used; together they hold every piece exactly once.
+
+    Lengths are grouped into grains for the linear program, whose solution is rounded and used by pack_by_program() in each
+    of WAYS; best fit alone is tried as well. The fewest sequences win. Work and result depend on the number of distinct
+    lengths (at most capacity), not on the rows.
+    """
+    left = np.zeros(capacity + 1, dtype=np.int64)
+    for length, count in histogram.items():
+        left[length] = count
+    full = [({capacity: 1}, int(left[capacity]))] if left[capacity] else []
+    left[capacity] = 0
+    program = configured(left, capacity, grain, ROUNDS)
+    least = -(-int(left @ np.arange(capacity + 1)) // capacity)
+    best = None
+    for waste, spare_last, share, first in (*((*way, program) for way in WAYS), (capacity, False, 0.0, None)):
+        patterns, _ = pack_by_program(left, capacity, grain, waste, spare_last, share, first)
+        used = sum(times for _, times in patterns)
+        if best is None or used < best[0]:
+            best = used, patterns
+        if used == least:
+            break
+    return full + best[1]
 
 
 def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:

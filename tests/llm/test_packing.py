@@ -66,3 +66,22 @@ def test_program_prices_and_patterns():
 
 def test_empty_table(spark):
     assert packing.pack_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_program_packs_what_best_fit_loses():
+    # best fit decreasing needs 110 sequences, 90 are enough
+    histogram = {1032: 60, 528: 60, 520: 60, 496: 120}
+    left = np.zeros(2049, dtype=np.int64)
+    for length, n in histogram.items():
+        left[length] = n
+    alone, _ = packing.pack_by_program(left, 2048, 8, 2048, False, 0.0, None)
+    _, by_program = packing.pack_by_program(left, 2048, 8, 2048, False, 1.0, packing.configured(left, 2048, 8, packing.ROUNDS))
+    patterns = packing.pack_histogram(histogram)
+    assert sum(n for _, n in alone) == 110 and sum(n for _, n in patterns) <= 91 and by_program >= 85
+    rng = np.random.default_rng(4)
+    lengths, counts = np.unique(rng.integers(400, 1100, 3000), return_counts=True)
+    histogram = dict(zip(lengths.tolist(), counts.tolist()))
+    left[:] = 0
+    left[lengths] = counts
+    alone, _ = packing.pack_by_program(left, 2048, 8, 2048, False, 0.0, None)
+    assert sum(n for _, n in packing.pack_histogram(histogram)) < sum(n for _, n in alone)
