@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from matchloom.operators.scratch import written
 from matchloom.session import table
 
 #: Vectors and queries that one task holds at a time.
@@ -43,18 +44,20 @@ class SortedLists:
         self.lists = np.argsort(columns, axis=1, kind="stable")  # ascending; read from the end for positive weights
         self.values = np.take_along_axis(columns, self.lists, axis=1)
 
-    def search(self, query_id: int, query: np.ndarray, k: int) -> list[tuple[int, int]]:
-        """The k best (vec_id, score) other than the query's own rows, ties to the smaller id.
+    def search(self, query_id: int, query: np.ndarray, k: int, floor: float = -np.inf) -> tuple[list[tuple[int, int]], int]:
+        """The k best (vec_id, score) other than the query's own rows, ties to the smaller id; and the vectors scored.
 
         Every list is read to the same depth. What an unseen vector can score at most is the sum of the contributions
-        at that depth; reading stops when that is below the kth best score, or when every vector has been seen.
+        at that depth; reading stops when that is below the kth best score or the floor, or when every vector has been
+        seen. floor: a score that k other vectors are known to reach; answers below it may be left out.
         """
         n = len(self.ids)
         up, down = np.flatnonzero(query > 0), np.flatnonzero(query < 0)
         seen = self.ids == query_id
         if not len(up) + len(down):
-            return [(int(i), 0) for i in self.ids[~seen][:k]]
+            return [(int(i), 0) for i in self.ids[~seen][:k]], 0
         best: list[tuple[int, int]] = []
+        own = int(seen.sum())
         depth, step = 0, FIRST_DEPTH
         while depth < n:
             upto = min(n, depth + step)
@@ -66,24 +69,25 @@ class SortedLists:
                 seen |= met
                 scores = self.vectors[fresh] @ query
                 if len(fresh) > k:
-                    floor = np.partition(scores, -k)[-k]
-                    fresh, scores = fresh[scores >= floor], scores[scores >= floor]
+                    kth = np.partition(scores, -k)[-k]
+                    fresh, scores = fresh[scores >= kth], scores[scores >= kth]
                     if len(fresh) > k:  # equal scores: rows stand by id
                         fresh, scores = (x[np.argsort(-scores, kind="stable")[:k]] for x in (fresh, scores))
                 best = sorted(best + [(-int(s), int(i)) for s, i in zip(scores, self.ids[fresh])])[:k]
             depth, step = upto, 2 * step
             bound = self.values[up, n - depth] @ query[up] + self.values[down, depth - 1] @ query[down]
-            if len(best) == k and bound < -best[-1][0] or seen.all():
+            if bound < floor or len(best) == k and bound < -best[-1][0] or seen.all():
                 break
-        return [(i, -s) for s, i in best]
+        return [(i, -s) for s, i in best], int(seen.sum()) - own
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Each query's k highest integer inner products among all vectors but its own: query_id, rank, vec_id, score.
 
     Vectors and queries are dealt into blocks of bounded size; a task holds one block of each, searches it with the
-    threshold algorithm, and returns at most k rows per query; the best k of those are the answer. The vectors are
-    copied once per block of queries and the queries once per block of vectors.
+    threshold algorithm, and returns at most k rows per query; the best k of those are the answer. The first block of
+    vectors is searched first: the kth score that a query finds there is its floor in all other blocks, which stop reading
+    once they cannot reach it. The vectors are copied once per block of queries and the queries once per block of vectors.
 
     Left out: vectors that are null or hold null or non-finite components. Own rows: those with the query's id, so
     repeated rows of an id never answer it. Repeated rows of another id each take a rank, as do the answers of each
@@ -111,14 +115,22 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
             own, wanted = own.astype(exact), wanted.astype(exact)
             copies = base_rows.n.to_numpy()
             lists = SortedLists(np.repeat(base_rows.id.to_numpy(), copies), np.repeat(own, copies, axis=0))
-            for query_id, n, query in zip(query_rows.id.tolist(), query_rows.n.tolist(), wanted):
-                out += [(query_id, i, s) for i, s in lists.search(query_id, query, k) for _ in range(n)]
+            for query_id, n, floor, query in zip(query_rows.id.tolist(), query_rows.n.tolist(), query_rows.floor.tolist(), wanted):
+                least = -np.inf if floor is None or floor != floor else int(floor)
+                out += [(query_id, i, s) for i, s in lists.search(query_id, query, k, least)[0] for _ in range(n)]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
-    found = base.groupBy("vb", "qb").cogroup(asked.groupBy("vb", "qb")).applyInPandas(search, RESULT)
-    ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    def searched(vectors: DataFrame, queries: DataFrame) -> DataFrame:
+        return vectors.groupBy("vb", "qb").cogroup(queries.groupBy("vb", "qb")).applyInPandas(search, RESULT)
+
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = searched(base.filter("vb = 0"), asked.filter("vb = 0").withColumn("floor", F.lit(None).cast("long")))
+    if v_blocks > 1:
+        found = written(found)
+        kth = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("floor"))
+        found = found.unionByName(searched(base.filter("vb > 0"), asked.filter("vb > 0").join(kth, "id", "left")))
     return (
-        found.withColumn("rank", F.row_number().over(ranked).cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        found.withColumn("rank", F.row_number().over(best).cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
     )
 
 

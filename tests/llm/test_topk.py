@@ -20,8 +20,9 @@ def floors(v):
     return [int(np.floor(256.0 * float(np.float32(x)))) for x in v]
 
 
-@pytest.mark.parametrize("kind", ["normal", "ties", "zeros", "large"])
-def test_against_brute_force(spark, kind):
+@pytest.mark.parametrize("kind, block", [("normal", 8192), ("ties", 8192), ("zeros", 8192), ("large", 64), ("ties", 50)])
+def test_against_brute_force(spark, monkeypatch, kind, block):
+    monkeypatch.setattr(topk, "VECTORS_PER_BLOCK", block)
     rng = np.random.default_rng(len(kind))
     rows = []
     for i in range(400):
@@ -42,10 +43,17 @@ def test_small_and_empty_tables(spark):
 
 
 def test_reading_stops_before_the_lists_end():
-    v = np.zeros((1000, 2), dtype=float)
-    v[:, 0] = np.arange(1000)
-    lists = topk.SortedLists(np.arange(1000), v)
-    assert lists.search(-1, np.array([1.0, 0.0]), 2) == [(999, 999), (998, 998)]
+    rng = np.random.default_rng(3)
+    v = rng.integers(0, 20, (4000, 8)).astype(float)
+    v[:40, :2] += 5000  # few vectors are large, and in the same dimensions
+    lists = topk.SortedLists(np.arange(4000), v)
+    query = np.array([3.0, 2.0, 0, 0, 1, 0, 0, 0])
+    best, seen = lists.search(-1, query, 5)
+    order = np.lexsort((np.arange(4000), -(v @ query)))[:5]
+    assert best == [(int(i), int(v[i] @ query)) for i in order] and seen < 400
+    _, with_floor = topk.SortedLists(np.arange(3000), v[1000:]).search(-1, query, 5, best[-1][1])
+    _, without = topk.SortedLists(np.arange(3000), v[1000:]).search(-1, query, 5)
+    assert with_floor < 200 < without
 
 
 def test_repeated_rows_each_take_a_rank(spark):
