@@ -32,32 +32,40 @@ def chosen_paths(messages: DataFrame, paths: int = 1) -> DataFrame:
 
     messages: tree, node, parent, score (node is unique in its tree; a null or unknown parent makes a root; null
     score: 0). A path's score is the sum of its messages'. The paths best paths of a tree are numbered from 1, ties
-    to the smaller leaf. Self-joins double the reach of every message's pointer until all point past their roots; the
-    pointers' powers of two then enumerate each path, and its score, in as many joins as the depth has binary
-    digits. Messages whose parents form a circle have no root and are on no path. Empty table: no rows.
+    to the smaller leaf. Self-joins double the reach of every message's pointer, and the sum of the scores on its way,
+    until all point past their roots. Each leaf then adds up its path in as many joins as the depth has binary digits;
+    the leaves are ranked, and only the chosen paths are laid out, again by the pointers' powers of two. Messages whose
+    parents form a circle have no root and are on no path. Empty table: no rows.
     """
     own = messages.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).cast("double").alias("score"))
     nodes = written(own)
     known = nodes.select("tree", F.col("node").alias("parent"))
-    reach = [written(nodes.join(known, ["tree", "parent"]).select("tree", "node", F.col("parent").alias("up")))]
+    reach = [written(nodes.join(known, ["tree", "parent"]).select("tree", "node", F.col("parent").alias("up"), F.col("score").alias("gain")))]
     most = nodes.count()
-    while not reach[-1].isEmpty() and 2 ** (len(reach) - 1) <= most:  # per power of two, the message so far up
-        above = reach[-1].select("tree", F.col("node").alias("up"), F.col("up").alias("far"))
-        reach.append(written(reach[-1].join(above, ["tree", "up"]).select("tree", "node", F.col("far").alias("up"))))
+    while not reach[-1].isEmpty() and 2 ** (len(reach) - 1) <= most:  # per power of two, the message so far up, and the scores below it
+        above = reach[-1].select("tree", F.col("node").alias("up"), F.col("up").alias("far"), F.col("gain").alias("more"))
+        reach.append(written(reach[-1].join(above, ["tree", "up"]).select("tree", "node", F.col("far").alias("up"), (F.col("gain") + F.col("more")).alias("gain"))))
     inner, endless = reach[0].select("tree", F.col("up").alias("node")).distinct(), reach[-1].select("tree", "node")
     leaves = nodes.select("tree", "node").join(inner, ["tree", "node"], "left_anti").join(endless, ["tree", "node"], "left_anti")
-    path = leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).alias("from_leaf"))
+    climbed = leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).alias("depth"), F.lit(0.0).alias("sum"))
+    for power in range(len(reach) - 2, -1, -1):
+        higher = climbed.join(reach[power], ["tree", "node"], "left")
+        climbed = written(
+            higher.select(
+                "tree",
+                "leaf",
+                F.coalesce("up", "node").alias("node"),
+                (F.col("depth") + F.when(F.col("up").isNotNull(), 1 << power).otherwise(0)).alias("depth"),
+                (F.col("sum") + F.coalesce("gain", F.lit(0.0))).alias("sum"),
+            )
+        )
+    total = climbed.join(nodes.select("tree", "node", "score"), ["tree", "node"]).select("tree", "leaf", "depth", (F.col("sum") + F.col("score")).alias("score"))
+    ranked = total.withColumn("path", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "leaf"))).filter(F.col("path") <= paths)
+    path = written(ranked.select("tree", "path", "depth", F.col("leaf").alias("node"), F.lit(0).alias("from_leaf")))
     for power in range(len(reach) - 2, -1, -1):
         higher = path.join(reach[power], ["tree", "node"])
-        path = written(path.unionByName(higher.select("tree", "leaf", F.col("up").alias("node"), (F.col("from_leaf") + (1 << power)).alias("from_leaf"))))
-    ranked = (
-        path.join(nodes.select("tree", "node", "score"), ["tree", "node"])
-        .groupBy("tree", "leaf")
-        .agg(F.sum("score").alias("score"), F.max("from_leaf").alias("depth"))
-        .withColumn("path", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "leaf")))
-        .filter(F.col("path") <= paths)
-    )
-    return path.join(ranked, ["tree", "leaf"]).select("tree", "path", (F.col("depth") - F.col("from_leaf")).alias("pos"), "node")
+        path = written(path.unionByName(higher.select("tree", "path", "depth", F.col("up").alias("node"), (F.col("from_leaf") + (1 << power)).alias("from_leaf"))))
+    return path.select("tree", "path", (F.col("depth") - F.col("from_leaf")).alias("pos"), "node")
 
 
 def formatted(turns: DataFrame, learn_role: str = "assistant") -> DataFrame:

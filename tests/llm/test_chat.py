@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from matchloom.llm import chat
@@ -33,3 +35,28 @@ def test_flat_conversations(spark):
     got = {r.tree.id: [(t.role, t.text) for t in r.t] for r in out.select("tree", chat.read_back(F.col("formatted")).alias("t")).collect()}
     assert got == {1: [("user", "a"), ("assistant", "a"), ("assistant", "b")], None: [("", "")], 2: [("user", "x")] * 2, 3: [(r, t) for _, _, r, t in long]}
     assert chat.format_trees(chat.conversations_as_trees(df.filter("false"))).count() == 0
+
+
+def test_paths_against_enumeration(spark):
+    # trees with ties between leaves, chains and bushes; every path by brute force
+    rng = random.Random(7)
+    rows = [(t, n, rng.randint(max(0, n - rng.choice([1, 3, 9])), n - 1) if n else None, rng.choice([0.0, 0.0, 1.0, 2.0])) for t in range(12) for n in range(rng.choice([1, 2, 30, 60]))]
+    want = []
+    for t in range(12):
+        nodes = {n: (p, s) for tree, n, p, s in rows if tree == t}
+        paths = []
+        for leaf in set(nodes) - {p for p, _ in nodes.values()}:
+            path, at = [], leaf
+            while at is not None:
+                path.append(at)
+                at = nodes[at][0]
+            paths.append((-sum(nodes[n][1] for n in path), leaf, path[::-1]))
+        want += [(t, k, pos, n) for k, (_, _, path) in enumerate(sorted(paths)[:3], 1) for pos, n in enumerate(path)]
+    df = spark.createDataFrame(rows, "tree int, node int, parent int, score double")
+    assert sorted(map(tuple, chat.chosen_paths(df, paths=3).select("tree", "path", "pos", "node").collect())) == sorted(want)
+
+
+def test_very_long_texts(spark):
+    rows = [(1, 0, "user", "<|" * 500_000), (1, 1, "assistant", "\\" * 1_000_000)]
+    out = chat.formatted(spark.createDataFrame(rows, "conv int, pos int, role string, text string"))
+    assert [t.text for t in out.select(chat.read_back(F.col("formatted")).alias("t")).first().t] == [t for *_, t in rows]
