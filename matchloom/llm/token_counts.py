@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,8 +22,9 @@ UNKNOWN_PENALTY = 10.0
 class PartCounts(dict):
     """Numbers of tokens of the parts of a text, by the best segmentation of each part.
 
-    No piece spans two parts, so the best segmentation of a text is that of its parts; merge-type vocabularies have
-    whole-number scores, whose sums are exact, so ties fall alike in a part and in the whole text.
+    No piece spans two parts, so the best segmentation of a text is that of its parts. Whole-number scores, as merge-type
+    vocabularies have, add up exactly, so ties fall alike in a part and in the whole text; with any other scores the whole
+    text is one part, and sums are rounded in the tokenizer's own order.
     """
 
     def __init__(self, model: PieceModel):
@@ -35,6 +37,7 @@ class PartCounts(dict):
         self._matches.make_automaton()
         self._single = {p for p in model.pieces if len(p) == 1}
         self._unknown = min(model.scores) - UNKNOWN_PENALTY
+        self._parts = model.parts if all(float(score).is_integer() for score in model.scores) else re.compile("(?s).+")
 
     def __missing__(self, part: str) -> int:
         if len(self) >= REMEMBERED_PARTS:
@@ -73,7 +76,7 @@ class PartCounts(dict):
             score[at + 1], count[at + 1] = score[at] + self._unknown, count[at] + len(char.encode())
 
     def of(self, text: str) -> int:
-        return sum(map(self.__getitem__, self.model.parts.findall(self.model.normalised(text))))
+        return sum(map(self.__getitem__, self._parts.findall(self.model.normalised(text))))
 
 
 @lru_cache(maxsize=2)

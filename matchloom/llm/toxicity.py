@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from matchloom.session import table
 
-#: Most labelled documents that a model is fitted on, per label. More labels than these are left unused.
-SAMPLE_PER_LABEL = 4000
+#: Most labelled documents that a model is fitted on, and their most characters in all, per label; more are left unused.
+SAMPLE_PER_LABEL, SAMPLE_CHARS = 4000, 20_000_000
 #: Evidence must appear in so many toxic sample documents, and be so many standard errors more frequent there.
 LEAST_DOCUMENTS, LEAST_Z, LEAST_LOG_ODDS = 5, 5.0, 2.0
 MOST_EVIDENCE = 20_000
@@ -94,6 +94,22 @@ def without_copies(texts: list[str], labels: list[int]) -> tuple[list[str], list
     return kept
 
 
+def likelihood(theta: np.ndarray, doc: np.ndarray, sen: np.ndarray, fea: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
+    """The documents' mean log likelihood, less a small penalty of the weights, and its gradient.
+
+    theta: weights, bias, log odds of the leak. doc: the document of each sentence; sen, fea: sentence and feature of each hit.
+    """
+    w, bias, leak = theta[:-2], theta[-2], 1 / (1 + np.exp(-theta[-1]))
+    p = 1 / (1 + np.exp(-np.clip(bias + np.bincount(sen, w[fea], minlength=len(doc)), -30, 30)))
+    clean = np.exp(np.log1p(-leak) + np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-9)), minlength=len(y)))
+    toxic = np.clip(1 - clean, 1e-9, 1)
+    pull = np.where(y == 1, clean / toxic, -1.0)  # d log likelihood / d (- log clean)
+    slope = pull[doc] * p
+    gradient = np.concatenate([np.bincount(fea, slope[sen], minlength=len(w)) / len(y) - 1e-4 * w, [slope.sum() / len(y), (pull * leak).sum() / len(y)]])
+    value = np.where(y == 1, np.log(toxic), np.log(np.maximum(clean, 1e-300))).mean() - 0.5e-4 * (w * w).sum()
+    return float(value), gradient
+
+
 def fit_noisy_or(texts: list[str], labels: list[int], shift: float = 0.0, rounds: int = 300) -> NoisyOrModel:
     """Fits weights, bias and leak by gradient ascent of the documents' likelihood.
 
@@ -140,16 +156,7 @@ def fit_noisy_or(texts: list[str], labels: list[int], shift: float = 0.0, rounds
     theta = np.concatenate([np.full(len(names), 1.0), [-1.0, -3.0]])  # weights, bias, log odds of the leak
     m1, m2 = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, rounds + 1):
-        w, bias, leak = theta[:-2], theta[-2], 1 / (1 + np.exp(-theta[-1]))
-        p = 1 / (1 + np.exp(-np.clip(bias + np.bincount(sen, w[fea], minlength=k), -30, 30)))
-        clean = np.exp(np.log1p(-leak) + np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-9)), minlength=len(y)))
-        tox = np.clip(1 - clean, 1e-9, 1)
-        pull = np.where(y == 1, clean / tox, -1.0)  # d log likelihood / d (- log clean)
-        g = np.zeros_like(theta)
-        slope = pull[doc] * p
-        g[:-2] = np.bincount(fea, slope[sen], minlength=len(names)) / len(y) - 1e-4 * w
-        g[-2] = slope.sum() / len(y)
-        g[-1] = (pull * leak).sum() / len(y)
+        _, g = likelihood(theta, doc, sen, fea, y)
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g
         theta = theta + 0.1 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8)
         theta[:-2] = np.maximum(theta[:-2], 0)  # evidence speaks for toxicity only
@@ -166,7 +173,7 @@ def held_out(row_id: Column) -> Column:
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> NoisyOrModel:
     """A model from the labelled rows that are not held out.
 
-    At most SAMPLE_PER_LABEL rows of each label, the first by a hash of their id, come to the driver; the counts that
+    At most SAMPLE_PER_LABEL rows and SAMPLE_CHARS characters of each label, the first by a hash of their id, come to the driver; the counts that
     set the prior are those of all labelled rows. Only ids and labels choose the sample; only texts are inputs.
     """
     usable = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
@@ -177,8 +184,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
         sample = usable.filter(F.col("__y") == y).orderBy(F.xxhash64("__id"), "__id").limit(SAMPLE_PER_LABEL)
         # at most SAMPLE_PER_LABEL ids: a proven bound for the broadcast
         own = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(sample), "__id")
-        for r in own.select("__id", "__text").sort("__id").limit(2 * SAMPLE_PER_LABEL).toLocalIterator():
-            texts.append(r["__text"] or "")
+        chars = 0
+        for r in own.select("__id", "__text").sort(F.xxhash64("__id"), "__id", "__text").limit(2 * SAMPLE_PER_LABEL).toLocalIterator():
+            text = r["__text"] or ""
+            chars += len(text)
+            if chars > SAMPLE_CHARS:
+                break
+            texts.append(text)
             ys.append(y)
     texts, ys = without_copies(texts, ys)
     n1, n0, k1 = counts.get(1, 0), counts.get(0, 0), sum(ys)

@@ -63,3 +63,22 @@ def test_counts_agree_with_a_unigram_tokenizer(docs, texts):
 def test_empty_tables(docs):
     assert piece_codec.encode_and_decode(docs.filter("false"), PATH).count() == 0
     assert token_counts.token_counts(docs.filter("false"), PATH).count() == 0
+
+
+def test_counts_with_fractional_scores():
+    rng = random.Random(11)
+    pieces = ["<unk>", *(f"<0x{b:02X}>" for b in range(256)), *{"".join(rng.choice("▁abc") for _ in range(rng.randint(1, 4))) for _ in range(60)}, "▁", "a", "b"]
+    pieces = list(dict.fromkeys(pieces))
+    scores = [-round(rng.uniform(1, 9), 3) for _ in pieces]
+
+    class Model:
+        normalised = staticmethod(lambda text: "▁" + text.replace(" ", "▁") if text else "")
+        parts = None
+
+    Model.pieces, Model.scores = pieces, scores
+    tokenizer = Tokenizer(models.Unigram(vocab=list(zip(pieces, scores)), unk_id=0, byte_fallback=True))
+    tokenizer.normalizer = normalizers.Sequence([normalizers.Prepend("▁"), normalizers.Replace(" ", "▁")])
+    counts = token_counts.PartCounts(Model)
+    for _ in range(300):
+        text = "".join(rng.choice("abc  é") for _ in range(rng.randint(1, 120)))
+        assert counts.of(text) == len(tokenizer.encode(text).ids), text

@@ -1,6 +1,9 @@
+import math
 import random
+import re
 import zlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from matchloom.llm import toxicity as t
@@ -52,3 +55,38 @@ def test_odd_inputs(spark):
     assert none.select("score").distinct().count() == 1
     assert t.toxicity(docs.filter("false"), labels).count() == 0
     assert t.reject_toxic(docs, labels).columns == docs.columns
+
+
+def test_gradient_of_the_likelihood():
+    rng = np.random.default_rng(2)
+    y = rng.integers(0, 2, 30).astype(float)
+    doc = np.sort(rng.integers(0, 30, 50))
+    sen, fea = np.repeat(np.arange(50), 2), rng.integers(0, 6, 100)
+    theta = rng.normal(size=8) * 0.5
+    _, gradient = t.likelihood(theta, doc, sen, fea, y)
+    for i in range(8):
+        step = np.zeros(8)
+        step[i] = 1e-6
+        rise = (t.likelihood(theta + step, doc, sen, fea, y)[0] - t.likelihood(theta - step, doc, sen, fea, y)[0]) / 2e-6
+        assert abs(rise - gradient[i]) < 1e-6
+
+
+def test_scores_by_the_formula(spark):
+    # every sentence of the whole text by hand, over random texts, very long ones and empty ones
+    rng = random.Random(12)
+    model = t.NoisyOrModel({"bad": 2.0, "awful": 3.0, "meanie": 1.5}, bias=-1.0, leak=0.02, shift=0.3)
+    words = ["good", "bad", "Awful!", "meanie.", "day", "sun,", "rain.", "bad?", "\n"]
+    texts = [" ".join(rng.choice(words) for _ in range(n)) for n in [0, 1, 5, 30, 400] * 8] + [None, "good " * 200_000 + "awful."]
+
+    def by_hand(text):
+        clean = 1 - 0.02
+        for sentence in re.findall(r"[^.!?\n]+[.!?\n]*", (text or "").lower()):
+            hits = {w.strip(".,!?") for w in sentence.split()} & set(model.weights)
+            if hits:
+                clean *= 1 - 1 / (1 + math.exp(-(-1.0 + sum(model.weights[h] for h in hits))))
+        p = min(max(1 - clean, 1e-9), 1 - 1e-9)
+        return 1 / (1 + math.exp(-(math.log(p / (1 - p)) + 0.3)))
+
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.found.score for r in df.select("doc_id", t.scored(df["text"], model).alias("found")).collect()}
+    assert all(abs(got[i] - by_hand(x)) < 1e-9 for i, x in enumerate(texts))
