@@ -37,9 +37,14 @@ def trades(deaths: DataFrame, teams: DataFrame, window_ms: int = TRADE_MS) -> Da
     feed = in_order(deaths)
     gap = F.min(F.when(F.col("time_ms").isNull(), F.col("ord"))).over(Window.partitionBy("game", "round"))  # unknown times come last
     a = feed.withColumn("stop", gap)
-    b = feed.select("game", "round", F.col("victim").alias("killer"), F.col("ord").alias("ord_b"), F.col("time_ms").alias("time_b"), F.col("killer").alias("avenger"))
-    after = (F.col("ord_b") > F.col("ord")) & (F.col("time_b") - F.col("time_ms") <= window_ms) & (F.col("stop").isNull() | (F.col("ord_b") < F.col("stop")))
-    first = a.join(b, ["game", "round", "killer"]).filter(after).groupBy("game", "ord").agg(F.min_by("avenger", "ord_b").alias("avenger"))
+    # a player's kills and deaths in one stream, from the last on: a kill's answer is the nearest death that is later
+    part = lambda who, dies: F.struct(F.col(who).alias("player"), F.lit(dies).alias("dies"))
+    stream = a.select("game", "round", "ord", "time_ms", "stop", "killer", F.inline(F.array(part("victim", True), part("killer", False)))).filter("player is not null")
+    later = Window.partitionBy("game", "round", "player").orderBy(F.desc("ord"), "dies").rowsBetween(Window.unboundedPreceding, -1)
+    death = F.struct(F.col("ord").alias("ord"), F.col("time_ms").alias("time_ms"), F.col("killer").alias("avenger"))
+    next_death = F.last(F.when(F.col("dies"), death), ignorenulls=True).over(later)
+    within = (F.col("next.time_ms") - F.col("time_ms") <= window_ms) & (F.col("stop").isNull() | (F.col("next.ord") < F.col("stop")))
+    first = stream.withColumn("next", next_death).filter("not dies").filter(within).select("game", "ord", F.col("next.avenger").alias("avenger"))
     side = lambda player, name: teams.select("game", F.col("player").alias(player), F.col("team").alias(name))
     joined = feed.join(first.withColumn("answered", F.lit(True)), ["game", "ord"], "left")
     joined = joined.join(side("victim", "victim_team"), ["game", "victim"], "left").join(side("avenger", "avenger_team"), ["game", "avenger"], "left")
@@ -144,3 +149,61 @@ def kill_values(states: DataFrame, table: DataFrame) -> DataFrame:
     joined = states.join(F.broadcast(p), ["own", "opponents"], "left").join(F.broadcast(before), ["own", "opponents"], "left")  # a few dozen states
     edge = F.when(F.col("own") == 0, 0.0).when(F.col("opponents") == 0, 1.0).otherwise(F.coalesce("p", F.lit(0.5)))
     return joined.withColumn("wpa", F.coalesce("p0", F.lit(0.5)) - edge)
+
+
+#: What the feed says of a player on a map; the second list only of maps in search mode whose rounds' winners are known.
+FEED_COLUMNS = ["feed_deaths", "feed_kills", "feed_traded", "feed_trade_kills", "feed_answered", "feed_first_deaths", "feed_first_untraded"]
+ROUND_COLUMNS = ["clutch_tried", "clutch_won", *(f"clutch_{what}_{n}" for n in range(1, CLUTCH_OPPONENTS + 1) for what in ("tried", "won")), "adv_rounds", "adv_won", "disadv_rounds", "disadv_won", "thrown_deaths", "feed_snd_rounds"]
+
+
+def _summed(rows: DataFrame, columns: list[str]) -> DataFrame:
+    return rows.filter("player is not null").groupBy("game", "player").agg(*(F.sum(c).cast("double").alias(c) for c in columns))
+
+
+def trade_counts(deaths: DataFrame, teams: DataFrame) -> DataFrame:
+    """game, player and FEED_COLUMNS: deaths, kills and trades of each player; deaths are the normal ones."""
+    zero, one = F.lit(0), F.lit(1)
+    first = opening_deaths(deaths).select("game", "ord", F.lit(True).alias("opening"))
+    rows = trades(deaths, teams).join(first, ["game", "ord"], "left")
+    traded, answered, opening = (F.coalesce(c, F.lit(False)).cast("int") for c in ("traded", "answered", "opening"))
+    part = lambda player, *values: F.struct(F.col(player).alias("player"), *(v.alias(c) for v, c in zip(values, FEED_COLUMNS)))
+    parts = F.array(
+        part("victim", one, zero, traded, zero, zero, opening, opening * (1 - traded)),
+        part("killer", zero, one, zero, zero, answered, zero, zero),
+        part("trader", zero, zero, zero, one, zero, zero, zero),
+    )
+    return _summed(rows.select("game", F.inline(parts)), FEED_COLUMNS)
+
+
+def round_counts(deaths: DataFrame, teams: DataFrame, winners: DataFrame) -> DataFrame:
+    """game, player and ROUND_COLUMNS: clutches, man advantages, thrown deaths and rounds played, on games with winners.
+
+    Every player of a side has the side's advantage; thrown deaths and rounds need no winner of their own round.
+    """
+    games = winners.select("game").distinct()
+    deaths, teams = deaths.join(games, "game", "left_semi"), teams.join(games, "game", "left_semi")
+    zero, won = F.lit(0), F.col("won").cast("int")
+    row = lambda rows, **values: rows.select("game", "player", *(values.get(c, zero).cast("int").alias(c) for c in ROUND_COLUMNS))
+    by_opponents = {f"clutch_{what}_{n}": F.when(F.col("opponents") == n, v).otherwise(0) for n in range(1, CLUTCH_OPPONENTS + 1) for what, v in (("tried", F.lit(1)), ("won", won))}
+    clutch = row(clutches(deaths, teams, winners), clutch_tried=F.lit(1), clutch_won=won, **by_opponents)
+    sides = advantages(deaths, teams, winners).filter("won is not null").join(teams, ["game", "team"])
+    up = F.col("sign") == 1
+    edge = row(sides, adv_rounds=up, adv_won=up & F.col("won"), disadv_rounds=~up, disadv_won=~up & F.col("won"))
+    thrown = row(alive_after(deaths, teams).filter("own + 1 > opponents").withColumn("player", F.col("victim")), thrown_deaths=F.lit(1))
+    played = row(deaths.select("game", "round").distinct().join(teams.select("game", "player"), "game"), feed_snd_rounds=F.lit(1))
+    return _summed(clutch.unionByName(edge).unionByName(thrown).unionByName(played), ROUND_COLUMNS)
+
+
+def with_feed(lines: DataFrame, deaths: DataFrame, teams: DataFrame, winners: DataFrame, search_mode: str = "snd") -> DataFrame:
+    """The lines (game, player, mode, deaths, ...) with FEED_COLUMNS and ROUND_COLUMNS.
+
+    A line whose box deaths equal its feed deaths reports the feed: what it has none of counts as 0. All other lines
+    report nothing (null), and ROUND_COLUMNS are null outside search mode and on games without winners.
+    """
+    agrees = reconciled(lines, deaths.withColumn("kind", F.lit("normal"))).filter("matches").select("game", "player", F.lit(True).alias("__fed"))
+    known = winners.select("game").distinct().withColumn("__known", F.lit(True))
+    out = lines.join(agrees, ["game", "player"], "left").join(known, "game", "left")
+    out = out.join(trade_counts(deaths, teams), ["game", "player"], "left").join(round_counts(deaths, teams, winners), ["game", "player"], "left")
+    rounds = F.col("__fed") & F.col("__known") & (F.col("mode") == search_mode)
+    filled = {c: F.when(F.col("__fed"), F.coalesce(c, F.lit(0.0))) for c in FEED_COLUMNS} | {c: F.when(rounds, F.coalesce(c, F.lit(0.0))) for c in ROUND_COLUMNS}
+    return out.withColumns(filled).drop("__fed", "__known")

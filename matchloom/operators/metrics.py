@@ -29,121 +29,116 @@ class Metric:
     def sources(self) -> set[str]:
         """The box-score columns the value needs."""
         made = {"greatest", "maps", "nullif", "damage_maps", "damage_duration_s", "dist_kills", "dist_weighted"}
-        made |= {"team_kills_on_maps", "team_hill_on_maps"}
+        made |= {"team_kills_on_maps", "team_hill_on_maps", "feed_maps", "feed_duration_s"}
         found = set(re.findall(r"[a-z_][a-z0-9_]*", self.value)) | set(re.findall(r"[a-z_][a-z0-9_]*", self.denominator))
         extra = {"damage"} if "damage_" in self.value else {"avg_kill_dist"} if "dist_" in self.value else set()
         return (found - made) | extra
 
 
-#: Key | value | denominator | least denominator | + if higher is better | mode (- for all). Names stand
-#: for sums over a player's maps; p10 is per ten minutes.
-_PLAYER = """
-kd | kills / greatest(deaths, 1) | maps | 8 | + | -
-kills_p10 | kills / duration_s * 600 | maps | 8 | + | -
-deaths_p10 | deaths / duration_s * 600 | maps | 8 | - | -
-plus_minus_p10 | (kills - deaths) / duration_s * 600 | maps | 8 | + | -
-engagement_p10 | (kills + deaths) / duration_s * 600 | maps | 8 | + | -
-assists_p10 | assists / duration_s * 600 | maps | 8 | + | -
-ekia_p10 | ekia / duration_s * 600 | maps | 8 | + | -
-damage_p10 | damage / damage_duration_s * 600 | damage_maps | 8 | + | -
-kill_share | kills / team_kills_on_maps | maps | 8 | + | -
-headshot_rate | headshots / kills | kills | 100 | + | -
-accuracy | hits / shots | shots | 1000 | + | -
-avg_kill_dist_m | dist_weighted / dist_kills | kills | 100 | + | -
-time_per_life_s | time_alive_s / num_lives | maps | 8 | + | -
-lives_p10 | num_lives / duration_s * 600 | maps | 8 | - | -
-clean_kill_rate | kills_stayed_alive / kills | kills | 100 | + | -
-traded_back_rate | 1 - kills_stayed_alive / kills | kills | 100 | - | -
-suicides_pm | suicides / maps | maps | 8 | - | -
-teamkills_total | team_kills | maps | 8 | - | -
-two_piece_p10 | pieces_2 / duration_s * 600 | maps | 8 | + | -
-three_piece_p10 | pieces_3 / duration_s * 600 | maps | 8 | + | -
-four_piece_p10 | pieces_4 / duration_s * 600 | maps | 8 | + | -
-blitz_index_p10 | (pieces_2 + 2 * pieces_3 + 4 * pieces_4) / duration_s * 600 | maps | 8 | + | -
-streak4_pm | streak_4 / maps | maps | 8 | + | -
-streak5_pm | streak_5 / maps | maps | 8 | + | -
-streak6_pm | streak_6 / maps | maps | 8 | + | -
-streak7_pm | streak_7 / maps | maps | 8 | + | -
-streak8plus_pm | streak_8plus / maps | maps | 8 | + | -
-deep_streak_rate | (streak_6 + streak_7 + streak_8plus) / maps | maps | 8 | + | -
-eight_plus_streaks_total | streak_8plus | maps | 8 | + | -
-hill_time_p10 | hill_time / duration_s * 600 | maps | 8 | + | hp
-hill_time_share | hill_time / team_hill_on_maps | maps | 8 | + | hp
-hill_caps_p10 | hill_captures / duration_s * 600 | maps | 8 | + | hp
-hill_defends_p10 | hill_defends / duration_s * 600 | maps | 8 | + | hp
-snd_kpr | kills / snd_rounds | snd_rounds | 50 | + | snd
-snd_dpr | deaths / snd_rounds | snd_rounds | 50 | - | snd
-snd_fb_rate | first_bloods / snd_rounds | snd_rounds | 50 | + | snd
-snd_fd_rate | snd_firstdeaths / snd_rounds | snd_rounds | 50 | - | snd
-snd_fb_net_pr | (first_bloods - snd_firstdeaths) / snd_rounds | snd_rounds | 50 | + | snd
-snd_opening_involvement | (first_bloods + snd_firstdeaths) / snd_rounds | snd_rounds | 50 | + | snd
-snd_opening_duel_win | first_bloods / (first_bloods + snd_firstdeaths) | snd_rounds | 50 | + | snd
-snd_survival_rate | snd_survives / snd_rounds | snd_rounds | 50 | + | snd
-snd_plants_pr | plants / snd_rounds | snd_rounds | 50 | + | snd
-snd_defuses_pr | defuses / snd_rounds | snd_rounds | 50 | + | snd
-snd_pickups_pr | bomb_pickups / snd_rounds | snd_rounds | 50 | + | snd
-sneak_defuses_total | bomb_sneak_defuses | snd_rounds | 50 | + | snd
-snd_ace_total | snd_4_kill_round | snd_rounds | 50 | + | snd
-snd_ace_rate | snd_4_kill_round / snd_rounds | snd_rounds | 50 | + | snd
-snd_3k_round_rate | snd_3_kill_round / snd_rounds | snd_rounds | 50 | + | snd
-snd_multi_kill_round_rate | (snd_2_kill_round + snd_3_kill_round + snd_4_kill_round) / snd_rounds | snd_rounds | 50 | + | snd
-snd_zero_kill_round_rate | 1 - (snd_1_kill_round + snd_2_kill_round + snd_3_kill_round + snd_4_kill_round) / snd_rounds | snd_rounds | 50 | - | snd
-ctf_caps_pm | ctf_captures / maps | maps | 8 | + | ctf
-ctf_returns_pm | ctf_returns / maps | maps | 8 | + | ctf
-ctf_defends_pm | ctf_defends / maps | maps | 8 | + | ctf
-ctf_carrier_kills_pm | ctf_kill_carriers / maps | maps | 8 | + | ctf
-ctf_pickups_pm | ctf_pickups / maps | maps | 8 | + | ctf
-ctf_carry_time_pm_s | ctf_flag_carry_time_s / maps | maps | 8 | + | ctf
-ctf_carry_efficiency | ctf_captures / ctf_pickups | maps | 8 | + | ctf
-ctf_flag_involvement_pm | (ctf_captures + ctf_returns + ctf_kill_carriers) / maps | maps | 8 | + | ctf
-uplink_points_pm | uplink_points / maps | maps | 8 | + | uplink
-uplink_points_p10 | uplink_points / duration_s * 600 | maps | 8 | + | uplink
-uplink_dunk_rate | uplink_dunks / (uplink_dunks + uplink_throws) | maps | 8 | + | uplink
-uplink_dunks_pm | uplink_dunks / maps | maps | 8 | + | uplink
-uplink_throws_pm | uplink_throws / maps | maps | 8 | + | uplink
-ctrl_caps_pm | ctrl_captures / maps | maps | 8 | + | ctrl
-ctrl_fb_rate | ctrl_firstbloods / ctrl_rounds | ctrl_rounds | 50 | + | ctrl
-ctrl_fd_rate | ctrl_firstdeaths / ctrl_rounds | ctrl_rounds | 50 | - | ctrl
-ctrl_fb_net_pr | (ctrl_firstbloods - ctrl_firstdeaths) / ctrl_rounds | ctrl_rounds | 50 | + | ctrl
-ctrl_opening_duel_win | ctrl_firstbloods / (ctrl_firstbloods + ctrl_firstdeaths) | ctrl_rounds | 50 | + | ctrl
-streaks_earned_p10 | scorestreaks_earned / duration_s * 600 | maps | 8 | + | -
-streak_conversion | scorestreaks_used / scorestreaks_earned | maps | 8 | + | -
-streak_kills_p10 | scorestreaks_kills / duration_s * 600 | maps | 8 | + | -
-streak_assists_p10 | scorestreaks_assists / duration_s * 600 | maps | 8 | + | -
-payloads_earned_p10 | payloads_earned / duration_s * 600 | maps | 8 | + | -
-score_pm | player_score / (duration_s / 60) | maps | 8 | + | -
-kills_pm | kills / maps | maps | 8 | + | -
-deaths_pm | deaths / maps | maps | 8 | - | -
-plus_minus_pm | (kills - deaths) / maps | maps | 8 | + | -
-engagement_pm | (kills + deaths) / maps | maps | 8 | + | -
-assists_pm | assists / maps | maps | 8 | + | -
-damage_pm | damage / damage_maps | damage_maps | 8 | + | -
-non_traded_kill_rate | non_traded_kills / kills | kills | 100 | + | -
-hill_time_pm | hill_time / maps | maps | 8 | + | hp
-contested_hill_share | contested_hill_time / hill_time | maps | 8 | + | hp
-clutch_wins_pr | (clutch_1v1 + clutch_1v2 + clutch_1v3 + clutch_1v4) / snd_rounds | snd_rounds | 50 | + | snd
-dom_caps_pm | captures / maps | maps | 8 | + | dom
-blitz_caps_pm | blitz_caps / maps | maps | 8 | + | blitz
-"""
+#: Key, value, denominator, least denominator, whether higher is better, mode (None for all). Names stand for
+#: sums over a player's maps; p10 is per ten minutes.
+BOX_METRICS = [
+    Metric("kd", "kills / greatest(deaths, 1)", "maps", 8, True, None),
+    Metric("kills_p10", "kills / duration_s * 600", "maps", 8, True, None),
+    Metric("deaths_p10", "deaths / duration_s * 600", "maps", 8, False, None),
+    Metric("plus_minus_p10", "(kills - deaths) / duration_s * 600", "maps", 8, True, None),
+    Metric("engagement_p10", "(kills + deaths) / duration_s * 600", "maps", 8, True, None),
+    Metric("assists_p10", "assists / duration_s * 600", "maps", 8, True, None),
+    Metric("ekia_p10", "ekia / duration_s * 600", "maps", 8, True, None),
+    Metric("damage_p10", "damage / damage_duration_s * 600", "damage_maps", 8, True, None),
+    Metric("kill_share", "kills / team_kills_on_maps", "maps", 8, True, None),
+    Metric("headshot_rate", "headshots / kills", "kills", 100, True, None),
+    Metric("accuracy", "hits / shots", "shots", 1000, True, None),
+    Metric("avg_kill_dist_m", "dist_weighted / dist_kills", "kills", 100, True, None),
+    Metric("time_per_life_s", "time_alive_s / num_lives", "maps", 8, True, None),
+    Metric("lives_p10", "num_lives / duration_s * 600", "maps", 8, False, None),
+    Metric("clean_kill_rate", "kills_stayed_alive / kills", "kills", 100, True, None),
+    Metric("traded_back_rate", "1 - kills_stayed_alive / kills", "kills", 100, False, None),
+    Metric("suicides_pm", "suicides / maps", "maps", 8, False, None),
+    Metric("teamkills_total", "team_kills", "maps", 8, False, None),
+    Metric("two_piece_p10", "pieces_2 / duration_s * 600", "maps", 8, True, None),
+    Metric("three_piece_p10", "pieces_3 / duration_s * 600", "maps", 8, True, None),
+    Metric("four_piece_p10", "pieces_4 / duration_s * 600", "maps", 8, True, None),
+    Metric("blitz_index_p10", "(pieces_2 + 2 * pieces_3 + 4 * pieces_4) / duration_s * 600", "maps", 8, True, None),
+    Metric("streak4_pm", "streak_4 / maps", "maps", 8, True, None),
+    Metric("streak5_pm", "streak_5 / maps", "maps", 8, True, None),
+    Metric("streak6_pm", "streak_6 / maps", "maps", 8, True, None),
+    Metric("streak7_pm", "streak_7 / maps", "maps", 8, True, None),
+    Metric("streak8plus_pm", "streak_8plus / maps", "maps", 8, True, None),
+    Metric("deep_streak_rate", "(streak_6 + streak_7 + streak_8plus) / maps", "maps", 8, True, None),
+    Metric("eight_plus_streaks_total", "streak_8plus", "maps", 8, True, None),
+    Metric("hill_time_p10", "hill_time / duration_s * 600", "maps", 8, True, "hp"),
+    Metric("hill_time_share", "hill_time / team_hill_on_maps", "maps", 8, True, "hp"),
+    Metric("hill_caps_p10", "hill_captures / duration_s * 600", "maps", 8, True, "hp"),
+    Metric("hill_defends_p10", "hill_defends / duration_s * 600", "maps", 8, True, "hp"),
+    Metric("snd_kpr", "kills / snd_rounds", "snd_rounds", 50, True, "snd"),
+    Metric("snd_dpr", "deaths / snd_rounds", "snd_rounds", 50, False, "snd"),
+    Metric("snd_fb_rate", "first_bloods / snd_rounds", "snd_rounds", 50, True, "snd"),
+    Metric("snd_fd_rate", "snd_firstdeaths / snd_rounds", "snd_rounds", 50, False, "snd"),
+    Metric("snd_fb_net_pr", "(first_bloods - snd_firstdeaths) / snd_rounds", "snd_rounds", 50, True, "snd"),
+    Metric("snd_opening_involvement", "(first_bloods + snd_firstdeaths) / snd_rounds", "snd_rounds", 50, True, "snd"),
+    Metric("snd_opening_duel_win", "first_bloods / (first_bloods + snd_firstdeaths)", "snd_rounds", 50, True, "snd"),
+    Metric("snd_survival_rate", "snd_survives / snd_rounds", "snd_rounds", 50, True, "snd"),
+    Metric("snd_plants_pr", "plants / snd_rounds", "snd_rounds", 50, True, "snd"),
+    Metric("snd_defuses_pr", "defuses / snd_rounds", "snd_rounds", 50, True, "snd"),
+    Metric("snd_pickups_pr", "bomb_pickups / snd_rounds", "snd_rounds", 50, True, "snd"),
+    Metric("sneak_defuses_total", "bomb_sneak_defuses", "snd_rounds", 50, True, "snd"),
+    Metric("snd_ace_total", "snd_4_kill_round", "snd_rounds", 50, True, "snd"),
+    Metric("snd_ace_rate", "snd_4_kill_round / snd_rounds", "snd_rounds", 50, True, "snd"),
+    Metric("snd_3k_round_rate", "snd_3_kill_round / snd_rounds", "snd_rounds", 50, True, "snd"),
+    Metric("snd_multi_kill_round_rate", "(snd_2_kill_round + snd_3_kill_round + snd_4_kill_round) / snd_rounds", "snd_rounds", 50, True, "snd"),
+    Metric("snd_zero_kill_round_rate", "1 - (snd_1_kill_round + snd_2_kill_round + snd_3_kill_round + snd_4_kill_round) / snd_rounds", "snd_rounds", 50, False, "snd"),
+    Metric("ctf_caps_pm", "ctf_captures / maps", "maps", 8, True, "ctf"),
+    Metric("ctf_returns_pm", "ctf_returns / maps", "maps", 8, True, "ctf"),
+    Metric("ctf_defends_pm", "ctf_defends / maps", "maps", 8, True, "ctf"),
+    Metric("ctf_carrier_kills_pm", "ctf_kill_carriers / maps", "maps", 8, True, "ctf"),
+    Metric("ctf_pickups_pm", "ctf_pickups / maps", "maps", 8, True, "ctf"),
+    Metric("ctf_carry_time_pm_s", "ctf_flag_carry_time_s / maps", "maps", 8, True, "ctf"),
+    Metric("ctf_carry_efficiency", "ctf_captures / ctf_pickups", "maps", 8, True, "ctf"),
+    Metric("ctf_flag_involvement_pm", "(ctf_captures + ctf_returns + ctf_kill_carriers) / maps", "maps", 8, True, "ctf"),
+    Metric("uplink_points_pm", "uplink_points / maps", "maps", 8, True, "uplink"),
+    Metric("uplink_points_p10", "uplink_points / duration_s * 600", "maps", 8, True, "uplink"),
+    Metric("uplink_dunk_rate", "uplink_dunks / (uplink_dunks + uplink_throws)", "maps", 8, True, "uplink"),
+    Metric("uplink_dunks_pm", "uplink_dunks / maps", "maps", 8, True, "uplink"),
+    Metric("uplink_throws_pm", "uplink_throws / maps", "maps", 8, True, "uplink"),
+    Metric("ctrl_caps_pm", "ctrl_captures / maps", "maps", 8, True, "ctrl"),
+    Metric("ctrl_fb_rate", "ctrl_firstbloods / ctrl_rounds", "ctrl_rounds", 50, True, "ctrl"),
+    Metric("ctrl_fd_rate", "ctrl_firstdeaths / ctrl_rounds", "ctrl_rounds", 50, False, "ctrl"),
+    Metric("ctrl_fb_net_pr", "(ctrl_firstbloods - ctrl_firstdeaths) / ctrl_rounds", "ctrl_rounds", 50, True, "ctrl"),
+    Metric("ctrl_opening_duel_win", "ctrl_firstbloods / (ctrl_firstbloods + ctrl_firstdeaths)", "ctrl_rounds", 50, True, "ctrl"),
+    Metric("streaks_earned_p10", "scorestreaks_earned / duration_s * 600", "maps", 8, True, None),
+    Metric("streak_conversion", "scorestreaks_used / scorestreaks_earned", "maps", 8, True, None),
+    Metric("streak_kills_p10", "scorestreaks_kills / duration_s * 600", "maps", 8, True, None),
+    Metric("streak_assists_p10", "scorestreaks_assists / duration_s * 600", "maps", 8, True, None),
+    Metric("payloads_earned_p10", "payloads_earned / duration_s * 600", "maps", 8, True, None),
+    Metric("score_pm", "player_score / (duration_s / 60)", "maps", 8, True, None),
+    Metric("kills_pm", "kills / maps", "maps", 8, True, None),
+    Metric("deaths_pm", "deaths / maps", "maps", 8, False, None),
+    Metric("plus_minus_pm", "(kills - deaths) / maps", "maps", 8, True, None),
+    Metric("engagement_pm", "(kills + deaths) / maps", "maps", 8, True, None),
+    Metric("assists_pm", "assists / maps", "maps", 8, True, None),
+    Metric("damage_pm", "damage / damage_maps", "damage_maps", 8, True, None),
+    Metric("non_traded_kill_rate", "non_traded_kills / kills", "kills", 100, True, None),
+    Metric("hill_time_pm", "hill_time / maps", "maps", 8, True, "hp"),
+    Metric("contested_hill_share", "contested_hill_time / hill_time", "maps", 8, True, "hp"),
+    Metric("clutch_wins_pr", "(clutch_1v1 + clutch_1v2 + clutch_1v3 + clutch_1v4) / snd_rounds", "snd_rounds", 50, True, "snd"),
+    Metric("dom_caps_pm", "captures / maps", "maps", 8, True, "dom"),
+    Metric("blitz_caps_pm", "blitz_caps / maps", "maps", 8, True, "blitz"),
+]
 
 #: Fixed values, in the same form, over the sums of feed counts on reconciled maps (see matchloom.operators.feed).
-_FEED = """
-untraded_death_rate | (feed_deaths - feed_traded) / feed_deaths | feed_deaths | 100 | - | -
-traded_death_rate | feed_traded / feed_deaths | feed_deaths | 100 | + | -
-trade_kills_p10 | feed_trade_kills / feed_duration_s * 600 | maps | 8 | + | -
-kill_answered_rate | feed_answered / feed_kills | feed_kills | 100 | - | -
-first_death_untraded_rate | feed_first_untraded / feed_first_deaths | feed_first_deaths | 20 | - | -
-clutch_win_rate | clutch_won / clutch_tried | clutch_tried | 15 | + | snd
-snd_adv_conversion | adv_won / adv_rounds | adv_rounds | 25 | + | snd
-snd_adv_rounds_lost | 1 - adv_won / adv_rounds | adv_rounds | 25 | - | snd
-snd_disadv_steal_rate | disadv_won / disadv_rounds | disadv_rounds | 25 | + | snd
-snd_adv_thrown_deaths_pr | thrown_deaths / snd_rounds | snd_rounds | 50 | - | snd
-"""
-
-
-def _read(text: str) -> list[Metric]:
-    cells = ([c.strip() for c in line.split("|")] for line in text.strip().splitlines())
-    return [Metric(k, v, d, int(n), up == "+", None if mode == "-" else mode) for k, v, d, n, up, mode in cells]
+FEED_METRICS = [
+    Metric("untraded_death_rate", "(feed_deaths - feed_traded) / feed_deaths", "feed_deaths", 100, False, None),
+    Metric("traded_death_rate", "feed_traded / feed_deaths", "feed_deaths", 100, True, None),
+    Metric("trade_kills_p10", "feed_trade_kills / feed_duration_s * 600", "feed_maps", 8, True, None),
+    Metric("kill_answered_rate", "feed_answered / feed_kills", "feed_kills", 100, False, None),
+    Metric("first_death_untraded_rate", "feed_first_untraded / feed_first_deaths", "feed_first_deaths", 20, False, None),
+    Metric("clutch_win_rate", "clutch_won / clutch_tried", "clutch_tried", 15, True, "snd"),
+    Metric("snd_adv_conversion", "adv_won / adv_rounds", "adv_rounds", 25, True, "snd"),
+    Metric("snd_adv_rounds_lost", "1 - adv_won / adv_rounds", "adv_rounds", 25, False, "snd"),
+    Metric("snd_disadv_steal_rate", "disadv_won / disadv_rounds", "disadv_rounds", 25, True, "snd"),
+    Metric("snd_adv_thrown_deaths_pr", "thrown_deaths / feed_snd_rounds", "feed_snd_rounds", 50, False, "snd"),
+]
 
 
 def _by_number() -> list[Metric]:
@@ -153,7 +148,8 @@ def _by_number() -> list[Metric]:
     return rounds + [Metric(f"clutch_1v{n}_win_rate", f"clutch_won_{n} / clutch_tried_{n}", f"clutch_tried_{n}", 5, True, "snd") for n in range(1, 5)]
 
 
-PLAYER_METRICS: list[Metric] = _read(_PLAYER) + _read(_FEED) + _by_number()
+FEED_METRICS += [m for m in _by_number() if m.key.startswith("clutch")]
+PLAYER_METRICS: list[Metric] = BOX_METRICS + FEED_METRICS + [m for m in _by_number() if m not in FEED_METRICS]
 
 
 def guarded(expression: str) -> str:
@@ -171,7 +167,8 @@ def folded(lines: DataFrame, columns: list[str]) -> DataFrame:
     """Sums by player, season and mode, and by player and season (mode null); lines are player-maps.
 
     A column that a map does not report is null and adds nothing. Damage rates use only the maps that report damage,
-    the kill distance is weighted by kills, and shares are of the team's total on the same maps.
+    feed rates only those that report feed_deaths, the kill distance is weighted by kills, and shares are of the team's
+    total on the same maps. The pooled rows are sums of the rows by mode, not of the lines anew.
     """
     team = Window.partitionBy("game", "team")
     own = lines.withColumns({
@@ -187,14 +184,19 @@ def folded(lines: DataFrame, columns: list[str]) -> DataFrame:
     if "avg_kill_dist" in columns:
         reports = F.col("avg_kill_dist").isNotNull()
         sums += [F.sum(F.when(reports, F.col("kills"))).cast("double").alias("dist_kills"), F.sum(F.col("avg_kill_dist") * F.col("kills")).cast("double").alias("dist_weighted")]
-    sets = own.groupingSets([["player", "season", "mode"], ["player", "season"]], "player", "season", "mode")
-    return sets.agg(F.grouping("mode").alias("pooled"), *sums)
+    if "feed_deaths" in columns:
+        fed = F.col("feed_deaths").isNotNull()
+        sums += [F.count("feed_deaths").cast("double").alias("feed_maps"), F.sum(F.when(fed, F.col("duration_s"))).cast("double").alias("feed_duration_s")]
+    by_mode = own.groupBy("player", "season", "mode").agg(*sums)
+    names = [c for c in by_mode.columns if c not in ("player", "season", "mode")]
+    sets = by_mode.groupingSets([["player", "season", "mode"], ["player", "season"]], "player", "season", "mode")
+    return sets.agg(F.grouping("mode").alias("pooled"), *(F.sum(c).alias(c) for c in names))
 
 
 def metric_rows(sums: DataFrame, metrics: list[Metric]) -> DataFrame:
     """player, season, mode, metric, value, denom, qualified, z, pctl from the sums of folded().
 
-    Metrics of one mode are given for that mode only. A missing or not positive divisor, or a value that is not
+    Only the metrics asked for are made, and only those whose columns the sums have. Metrics of one mode are given for that mode only. A missing or not positive divisor, or a value that is not
     finite, leaves the row out. One pass makes all metrics long, and one window scores them in their cohorts.
     """
     here = [m for m in metrics if m.sources <= set(sums.columns)]

@@ -31,7 +31,14 @@ def ev_overview(t: Tables):
     return tr.groupBy("round").agg(F.count(F.lit(1)).alias("deaths"), share("traded"), share("answered"))
 
 
-@query("ev_clutch")
+@query("ev_clutch", """WITH e AS (SELECT concat(CAST(CAST(ts AS DATE) AS VARCHAR), '-', CAST(hour(ts) AS VARCHAR)) AS game, CAST(hour(ts) AS INTEGER) AS round, CAST((minute(ts) * 60 + CAST(floor(second(ts)) AS INTEGER)) * 10 AS BIGINT) AS time_ms, event_id AS seq, user_id AS victim FROM events),
+o AS (SELECT *, row_number() OVER (PARTITION BY game ORDER BY time_ms, seq) AS ord FROM e), roster AS (SELECT DISTINCT game, round, victim AS player, victim % 2 AS team FROM e),
+once AS (SELECT *, victim % 2 AS team FROM o QUALIFY row_number() OVER (PARTITION BY game, victim ORDER BY ord) = 1), size AS (SELECT game, team, count(*) AS n FROM roster GROUP BY 1, 2),
+st AS (SELECT once.game, once.ord, once.team, a.n - count(*) OVER (PARTITION BY once.game, once.team ORDER BY ord) AS own, b.n - (count(*) OVER (PARTITION BY once.game ORDER BY ord) - count(*) OVER (PARTITION BY once.game, once.team ORDER BY ord)) AS opponents
+FROM once JOIN size a ON a.game = once.game AND a.team = once.team JOIN size b ON b.game = once.game AND b.team = 1 - once.team),
+l AS (SELECT game, ord, team, own, opponents FROM st UNION ALL SELECT game, ord, 1 - team, opponents, own FROM st),
+c AS (SELECT game, team, arg_min(opponents, ord) AS opponents FROM l WHERE own = 1 AND opponents BETWEEN 1 AND 4 GROUP BY 1, 2), w AS (SELECT DISTINCT game, round FROM roster)
+SELECT opponents, CAST(count(*) AS BIGINT) AS tried, CAST(count(*) FILTER (WHERE team = round % 2) AS BIGINT) AS won FROM c JOIN w USING (game) GROUP BY opponents""")
 def ev_clutch(t: Tables):
     """Every round is a game of those who die in it, so that sides shrink to their last survivor."""
     d = deaths(t).withColumn("game", F.concat_ws("-", "game", "round"))
@@ -135,7 +142,7 @@ Z = f"""{_SCORED}, zz AS (SELECT player, season, mode, metric, denom, CASE WHEN
 FROM zz WHERE mode IS NULL AND metric IN ('kd', 'damage_pm') GROUP BY 1, 2""")
 def pr_score(t: Tables):
     of = lambda m, c: F.max(F.when(F.col("metric") == m, F.col(c)))
-    rows = metric_layer(t).filter("mode is null and metric in ('kd', 'damage_pm')").groupBy("player", "season")
+    rows = metric_layer(t, "kd", "damage_pm").filter("mode is null").groupBy("player", "season")
     n = of("kd", "denom")
     return rows.agg(F.round((0.6 * of("kd", "z") + 0.4 * of("damage_pm", "z")) * 0.15 * (n / (n + 15)) + 1, 6).alias("rating"))
 
@@ -149,7 +156,7 @@ g AS (SELECT player, season, mode, avg(p) AS p FROM f GROUP BY 1, 2, 3), m AS (S
 SELECT player, season, round(sum(p * maps) / sum(maps) * sum(maps) / (sum(maps) + 21.87), 6) AS breadth FROM g JOIN m USING (player, season, mode) GROUP BY 1, 2""")
 def cr_breadth(t: Tables):
     family = F.create_map(*(F.lit(x) for pair in FAMILIES.items() for x in pair))[F.col("metric")]
-    rows = metric_layer(t).filter("mode is not null and pctl is not null").withColumn("family", family).filter("family is not null")
+    rows = metric_layer(t, *FAMILIES).filter("mode is not null and pctl is not null").withColumn("family", family)
     g = rows.groupBy("player", "season", "mode", "family").agg(F.avg("pctl").alias("p")).groupBy("player", "season", "mode").agg(F.avg("p").alias("p"))
     maps_ = box_lines(t).groupBy("player", "season", "mode").agg(F.count(F.lit(1)).alias("maps"))
     total = F.sum("maps")
@@ -179,8 +186,9 @@ def lobby_values(t: Tables):
 SELECT a.player, a.season, round(max(a.value) - avg(b.value), 6) AS over_mates, CAST(count(*) AS BIGINT) AS shared FROM x a JOIN x b ON a.game = b.game AND a.season = b.season AND a.side = b.side AND a.player <> b.player GROUP BY 1, 2""")
 def cr_mates(t: Tables):
     x = lobby_values(t)
-    mates = x.select("game", "season", "side", F.col("player").alias("mate"), F.col("value").alias("mate_value"))
-    return x.join(mates, ["game", "season", "side"]).filter("player <> mate").groupBy("player", "season").agg(F.round(F.max("value") - F.avg("mate_value"), 6).alias("over_mates"), F.count(F.lit(1)).alias("shared"))
+    side = x.groupBy("game", "season", "side").agg(F.sum("value").alias("total"), F.count(F.lit(1)).alias("n"))  # a player is once on a side, so mates are the side less the player
+    own = x.join(side, ["game", "season", "side"]).groupBy("player", "season").agg(F.max("value").alias("value"), F.sum(F.col("total") - F.col("value")).alias("mates"), F.sum(F.col("n") - 1).alias("shared"))
+    return own.filter("shared > 0").select("player", "season", F.round(F.col("value") - F.col("mates") / F.col("shared"), 6).alias("over_mates"), "shared")
 
 
 @query("cr_opp", f"""WITH {LINES}, {LOBBY}, x AS (SELECT p.*, value FROM p JOIN v USING (player, season)), s AS (SELECT game, season, side, avg(value) AS team_value FROM x GROUP BY 1, 2, 3)

@@ -57,9 +57,11 @@ def jn_anti(t: Tables):
 @query("jn_self_ne", """SELECT a.l_suppkey AS player, CAST(count(*) AS BIGINT) AS meetings, round(avg(b.l_quantity), 6) AS opposing_kills FROM lineitem a JOIN lineitem b
 ON a.l_orderkey = b.l_orderkey AND a.l_suppkey % 2 <> b.l_suppkey % 2 GROUP BY a.l_suppkey""")
 def jn_self_ne(t: Tables):
-    a = t("lineitem").select("l_orderkey", F.col("l_suppkey").alias("player"), (F.col("l_suppkey") % 2).alias("side"))
-    b = t("lineitem").select("l_orderkey", (F.col("l_suppkey") % 2).alias("other"), "l_quantity")
-    return a.join(b, "l_orderkey").filter("side <> other").groupBy("player").agg(F.count(F.lit(1)).alias("meetings"), F.round(F.avg("l_quantity"), 6).alias("opposing_kills"))
+    """A side's lines are summed first, so a line meets one row of the other side and not each of its lines."""
+    a = t("lineitem").select("l_orderkey", F.col("l_suppkey").alias("player"), (F.col("l_suppkey") % 2).alias("side"), "l_quantity")
+    other = a.groupBy("l_orderkey", (1 - F.col("side")).alias("side")).agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("kills"))
+    met = a.join(other, ["l_orderkey", "side"]).groupBy("player")
+    return met.agg(F.sum("n").alias("meetings"), F.round(F.sum("kills") / F.sum("n"), 6).alias("opposing_kills"))
 
 
 @query("jn_self_lt", """SELECT a.l_suppkey AS player_a, b.l_suppkey AS player_b, CAST(count(DISTINCT a.l_orderkey) AS BIGINT) AS lobbies FROM lineitem a JOIN lineitem b
@@ -118,10 +120,11 @@ def jn_asof(t: Tables):
 @query("jn_window", """SELECT a.user_id, CAST(count(*) AS BIGINT) AS answered FROM events a JOIN events b ON a.user_id = b.user_id AND b.event_type = 'purchase'
 AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 60 MINUTE WHERE a.event_type = 'click' GROUP BY a.user_id""")
 def jn_window(t: Tables):
-    e = t("events")
-    a = e.filter("event_type = 'click'").select("user_id", "ts")
-    b = e.filter("event_type = 'purchase'").select("user_id", F.col("ts").alias("later"))
-    return a.join(b, "user_id").filter("later > ts and later <= ts + interval 60 minutes").groupBy("user_id").agg(F.count(F.lit(1)).alias("answered"))
+    """One ordered pass per user with a frame of the next hour, not every click against every purchase."""
+    e = t("events").filter("event_type in ('click', 'purchase')").select("user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    hour = Window.partitionBy("user_id").orderBy("at").rangeBetween(1, 3_600_000_000)
+    n = e.withColumn("n", F.count(F.when(F.col("event_type") == "purchase", 1)).over(hour)).filter("event_type = 'click'")
+    return n.groupBy("user_id").agg(F.sum("n").alias("answered")).filter("answered > 0")
 
 
 @query("jn_lateral_v", "SELECT o_orderkey, team FROM (SELECT o_orderkey, unnest([o_custkey % 25, o_orderkey % 25]) AS team FROM orders)")

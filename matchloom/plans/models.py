@@ -14,10 +14,17 @@ from matchloom.plans.base import Tables, query
 #: Stand-ins for box-score columns: expressions that both engines read.
 BOX = {
     "kills": "l_quantity", "deaths": "l_linenumber", "assists": "l_partkey % 20", "damage": "CASE WHEN l_discount > 0.02 THEN l_extendedprice END", "duration_s": "l_partkey % 400 + 300",
-    "headshots": "l_quantity * l_tax", "shots": "l_partkey % 300 + 50", "hits": "l_partkey % 50", "suicides": "l_linenumber % 2", "hill_time": "CASE WHEN l_returnflag = 'A' THEN l_partkey % 90 END",
-    "first_bloods": "l_partkey % 3", "snd_rounds": "CASE WHEN l_returnflag = 'N' THEN l_linenumber + 6 END", "snd_firstdeaths": "l_partkey % 2", "plants": "l_partkey % 4", "player_score": "l_extendedprice / 10",
+    "headshots": "l_quantity * l_tax", "shots": "l_partkey % 300 + 50", "hits": "l_partkey % 50", "suicides": "l_linenumber % 2", "hill_time": "CASE WHEN l_partkey % 7 = 0 THEN l_partkey % 90 END",
+    "first_bloods": "l_partkey % 3", "snd_rounds": "CASE WHEN l_partkey % 7 IN (1, 2) THEN l_linenumber + 6 END", "snd_firstdeaths": "l_partkey % 2", "plants": "l_partkey % 4", "player_score": "l_extendedprice / 10",
+    "avg_kill_dist": "CASE WHEN l_discount > 0.01 THEN l_partkey % 60 + 5 END",
 }
-MODES = "CASE l_returnflag WHEN 'A' THEN 'hp' WHEN 'N' THEN 'snd' ELSE 'ctf' END"
+#: The other box-score columns are small whole numbers, each by its own multiplier; one row in nine does not report them.
+_OTHERS = """ekia time_alive_s num_lives kills_stayed_alive team_kills pieces_2 pieces_3 pieces_4 streak_4 streak_5 streak_6 streak_7 streak_8plus hill_captures hill_defends snd_survives defuses
+bomb_pickups bomb_sneak_defuses snd_1_kill_round snd_2_kill_round snd_3_kill_round snd_4_kill_round ctf_captures ctf_returns ctf_defends ctf_kill_carriers ctf_pickups ctf_flag_carry_time_s
+uplink_points uplink_dunks uplink_throws ctrl_captures ctrl_firstbloods ctrl_firstdeaths ctrl_rounds scorestreaks_earned scorestreaks_used scorestreaks_kills scorestreaks_assists payloads_earned
+non_traded_kills contested_hill_time clutch_1v1 clutch_1v2 clutch_1v3 clutch_1v4 captures blitz_caps""".split()
+BOX |= {c: f"CASE WHEN l_suppkey % 9 <> {i % 9} THEN (l_partkey * {i + 3} + l_linenumber * {2 * i + 1}) % {5 + i % 7} END" for i, c in enumerate(_OTHERS)}
+MODES = "CASE l_partkey % 7 WHEN 0 THEN 'hp' WHEN 1 THEN 'snd' WHEN 2 THEN 'snd' WHEN 3 THEN 'ctf' WHEN 4 THEN 'uplink' WHEN 5 THEN 'ctrl' ELSE CASE WHEN l_linenumber % 2 = 0 THEN 'dom' ELSE 'blitz' END END"
 
 
 def box_lines(t: Tables):
@@ -29,22 +36,29 @@ _SUMS = ", ".join(f"sum({c}) AS {c}" for c in BOX)
 _BOX_SQL = f"""WITH box AS (SELECT l_suppkey AS player, l_orderkey AS game, l_suppkey % 2 AS team, CAST(year(l_shipdate) AS INTEGER) AS season, {MODES} AS mode,
 {", ".join(f"CAST({e} AS DOUBLE) AS {c}" for c, e in BOX.items())} FROM lineitem),
 t AS (SELECT *, sum(kills) OVER w AS tk, sum(hill_time) OVER w AS th FROM box WINDOW w AS (PARTITION BY game, team)),
-s AS (SELECT player, season, mode, {_SUMS}, CAST(count(*) AS DOUBLE) AS maps, sum(tk) AS team_kills_on_maps, sum(th) FILTER (WHERE hill_time IS NOT NULL) AS team_hill_on_maps,
-CAST(count(damage) AS DOUBLE) AS damage_maps, sum(duration_s) FILTER (WHERE damage IS NOT NULL) AS damage_duration_s FROM t GROUP BY GROUPING SETS ((player, season, mode), (player, season)))"""
-_SUMMED = set(BOX) | {"player", "season", "mode", "pooled", "maps", "team_kills_on_maps", "team_hill_on_maps", "damage_maps", "damage_duration_s"}
-_HERE = [m for m in metrics.PLAYER_METRICS if m.sources <= _SUMMED]
-_LONG = " UNION ALL ".join(
-    f"SELECT player, season, mode, '{m.key}' AS metric, CAST({metrics.guarded(m.value)} AS DOUBLE) AS value, {m.denominator} AS denom, "
-    f"coalesce({m.denominator} >= {m.least}, false) AS qualified FROM s" + (f" WHERE mode = '{m.mode}'" if m.mode else "")
-    for m in _HERE
-)
+s AS MATERIALIZED (SELECT player, season, mode, {_SUMS}, CAST(count(*) AS DOUBLE) AS maps, sum(tk) AS team_kills_on_maps, sum(th) FILTER (WHERE hill_time IS NOT NULL) AS team_hill_on_maps,
+CAST(count(damage) AS DOUBLE) AS damage_maps, sum(duration_s) FILTER (WHERE damage IS NOT NULL) AS damage_duration_s,
+sum(kills) FILTER (WHERE avg_kill_dist IS NOT NULL) AS dist_kills, sum(avg_kill_dist * kills) AS dist_weighted FROM t GROUP BY GROUPING SETS ((player, season, mode), (player, season)))"""
+
+
+def long_sql(which: list[metrics.Metric], source: str = "s") -> str:
+    """A SELECT per metric over a CTE of sums."""
+    return " UNION ALL ".join(
+        f"SELECT player, season, mode, '{m.key}' AS metric, CAST({metrics.guarded(m.value)} AS DOUBLE) AS value, {m.denominator} AS denom, "
+        f"coalesce({m.denominator} >= {m.least}, false) AS qualified FROM {source}" + (f" WHERE mode = '{m.mode}'" if m.mode else "")
+        for m in which
+    )
+
+
+_LONG = long_sql([m for m in metrics.PLAYER_METRICS if m not in metrics.FEED_METRICS])
 _SCORED = f"""{_BOX_SQL}, r AS ({_LONG}), v AS (SELECT * FROM r WHERE value IS NOT NULL),
 c AS (SELECT *, CAST(count(*) FILTER (WHERE qualified) OVER w AS DOUBLE) AS n, avg(value) FILTER (WHERE qualified) OVER w AS m, stddev_samp(value) FILTER (WHERE qualified) OVER w AS sd,
 count(*) FILTER (WHERE qualified) OVER (PARTITION BY metric, season, mode ORDER BY value RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS below FROM v WINDOW w AS (PARTITION BY metric, season, mode))"""
 
 
-def metric_layer(t: Tables):
-    return metrics.metric_rows(metrics.folded(box_lines(t), list(BOX)), metrics.PLAYER_METRICS)
+def metric_layer(t: Tables, *keys: str):
+    """The metrics of the given keys; without keys all that the box score has."""
+    return metrics.metric_rows(metrics.folded(box_lines(t), list(BOX)), [m for m in metrics.PLAYER_METRICS if not keys or m.key in keys])
 
 
 @query("metric_layer", f"{_SCORED} SELECT player, season, mode, metric, round(value + 1e-8, 6) AS value, denom, qualified FROM c")
@@ -59,6 +73,92 @@ def metric_z(t: Tables):
     return rows.groupBy("metric", "season", "mode").agg(F.count(F.lit(1)).alias("n"), F.count("z").alias("scored"), F.round(F.max("z"), 4).alias("best"))
 
 
+@query("metric_split", f"""{_SCORED}, z AS (SELECT player, season, metric, CASE WHEN n >= 15 AND sd > 1e-9 THEN (value - m) / sd END AS z FROM c WHERE mode = 'hp' AND metric IN ('hill_time_share', 'kills_p10', 'kills_pm')),
+w AS (SELECT player, season, max(z) FILTER (WHERE metric = 'hill_time_share') AS hill, coalesce(max(z) FILTER (WHERE metric = 'kills_p10'), max(z) FILTER (WHERE metric = 'kills_pm')) AS slay FROM z GROUP BY 1, 2)
+SELECT player, season, 'hp' AS mode, 'hp_obj_slay_split' AS metric, round(hill - slay, 4) AS value FROM w WHERE hill IS NOT NULL AND slay IS NOT NULL""")
+def metric_split(t: Tables):
+    return metrics.split_metric(metric_layer(t, "hill_time_share", "kills_p10", "kills_pm")).withColumn("value", F.round("value", 4))
+
+
+TEAM_KEYS = ["map_win_rate", "kill_diff_per_map", "slay_balance", "hp_avg_margin", "snd_round_win_rate", "hill_time_gini"]
+_TEAM_MODE = "CASE WHEN l_orderkey % 7 < 3 THEN 'hp' WHEN l_orderkey % 7 < 5 THEN 'snd' ELSE 'ctf' END"
+
+
+@query("team_layer", f"""WITH box AS (SELECT l_suppkey AS player, l_orderkey AS game, l_suppkey % 2 AS team, 2020 + l_orderkey % 3 AS season, {_TEAM_MODE} AS mode, l_quantity AS kills,
+CASE WHEN l_orderkey % 7 < 3 THEN l_partkey % 90 END AS hill_time FROM lineitem),
+side AS (SELECT game, team, season, mode, sum(kills) AS kills, stddev_pop(kills) AS sd FROM box GROUP BY ALL),
+g1 AS (SELECT game, team, hill_time AS h, row_number() OVER (PARTITION BY game, team ORDER BY hill_time, player) AS i FROM box WHERE hill_time IS NOT NULL),
+g2 AS (SELECT game, team, (2 * CAST(sum(i * h) AS DOUBLE) / sum(h) - count(*) - 1) / count(*) AS gini FROM g1 GROUP BY 1, 2 HAVING sum(h) > 0),
+m AS (SELECT a.*, b.kills AS other, a.kills + 3 AS score, b.kills AS opponent_score, a.kills > b.kills AS won, g2.gini FROM side a JOIN side b ON a.game = b.game AND b.team = 1 - a.team LEFT JOIN g2 ON g2.game = a.game AND g2.team = a.team),
+w AS MATERIALIZED (SELECT team, season, mode, CAST(count(*) AS DOUBLE) AS denom, avg(CAST(won AS INT)) AS map_win_rate, avg(kills - other) AS kill_diff_per_map, avg(CASE WHEN kills <> 0 THEN sd / kills END) AS slay_balance,
+avg(CASE WHEN mode = 'hp' THEN score - opponent_score END) AS hp_avg_margin, sum(score) FILTER (WHERE mode = 'snd') / sum(score + opponent_score) FILTER (WHERE mode = 'snd') AS snd_round_win_rate,
+avg(CASE WHEN mode = 'hp' THEN gini END) AS hill_time_gini FROM m GROUP BY GROUPING SETS ((team, season, mode), (team, season)))
+{" UNION ALL ".join(f"SELECT team, season, mode, denom, '{k}' AS metric, round({k} + 1e-8, 6) AS value FROM w WHERE {k} IS NOT NULL" for k in TEAM_KEYS)}""")
+def team_layer(t: Tables):
+    """Every order is a map of two sides; a side's score is its kills and three more, and more kills win."""
+    box = t("lineitem").select(
+        F.col("l_suppkey").alias("player"), F.col("l_orderkey").alias("game"), (F.col("l_suppkey") % 2).alias("team"), (2020 + F.col("l_orderkey") % 3).alias("season"), F.expr(_TEAM_MODE).alias("mode"), F.col("l_quantity").alias("kills"),
+        F.expr("CASE WHEN l_orderkey % 7 < 3 THEN l_partkey % 90 END").alias("hill_time"),
+    )
+    own = box.groupBy("game", "team").agg(F.sum("kills").alias("k"))
+    other = own.select("game", (1 - F.col("team")).alias("team"), F.col("team").alias("opponent"), F.col("k").alias("ok"))
+    games = own.join(other, ["game", "team"]).select("game", "team", "opponent", (F.col("k") + 3).alias("score"), F.col("ok").alias("opponent_score"), (F.col("k") > F.col("ok")).alias("won"))
+    return metrics.team_metrics(box, games).withColumn("value", F.round(F.col("value") + 1e-8, 6))
+
+
+HOURS = """ev AS (SELECT concat(CAST(CAST(ts AS DATE) AS VARCHAR), '-', CAST(hour(ts) AS VARCHAR)) AS game, CAST(hour(ts) AS INTEGER) AS round, CAST((minute(ts) * 60 + CAST(floor(second(ts)) AS INTEGER)) * 10 AS BIGINT) AS time_ms,
+event_id AS seq, user_id AS victim, CASE WHEN event_id % 5 > 0 THEN (user_id * 7 + event_id * 13) % 150 END AS killer FROM events),
+o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY game ORDER BY round, time_ms, seq) AS ord FROM ev), roster AS MATERIALIZED (SELECT DISTINCT game, round, victim AS player, victim % 2 AS team FROM ev),
+f AS (SELECT a.game, a.ord, min(b.ord) AS bo FROM o a JOIN o b ON a.game = b.game AND a.round = b.round AND b.victim = a.killer AND b.ord > a.ord AND b.time_ms - a.time_ms <= 5000 GROUP BY 1, 2),
+tr AS MATERIALIZED (SELECT o.game, o.ord, o.victim, o.killer, f.bo IS NOT NULL AS answered, coalesce(b.killer IS NOT NULL AND w.team IS NOT DISTINCT FROM v.team, false) AS traded, b.killer AS avenger
+FROM o LEFT JOIN f ON f.game = o.game AND f.ord = o.ord LEFT JOIN o b ON b.game = f.game AND b.ord = f.bo LEFT JOIN roster v ON v.game = o.game AND v.player = o.victim LEFT JOIN roster w ON w.game = o.game AND w.player = b.killer),
+once AS (SELECT * FROM (SELECT o.*, victim % 2 AS team, row_number() OVER (PARTITION BY game, victim ORDER BY ord) AS again FROM o) WHERE again = 1),
+size AS (SELECT game, team, count(*) AS n FROM roster GROUP BY 1, 2),
+st AS MATERIALIZED (SELECT once.*, 1 - once.team AS other_team, a.n - count(*) OVER (PARTITION BY once.game, once.team ORDER BY ord) AS own,
+b.n - (count(*) OVER (PARTITION BY once.game ORDER BY ord) - count(*) OVER (PARTITION BY once.game, once.team ORDER BY ord)) AS opponents
+FROM once JOIN size a ON a.game = once.game AND a.team = once.team JOIN size b ON b.game = once.game AND b.team = 1 - once.team),
+l AS (SELECT game, ord, team, own, opponents FROM st UNION ALL SELECT game, ord, other_team, opponents, own FROM st),
+c1 AS (SELECT game, team, min(ord) AS ord, arg_min(opponents, ord) AS opponents FROM l WHERE own = 1 AND opponents BETWEEN 1 AND 4 GROUP BY 1, 2),
+cl AS MATERIALIZED (SELECT c1.game, r.player, c1.opponents, c1.team = r.round % 2 AS won FROM c1 JOIN roster r ON r.game = c1.game AND r.team = c1.team WHERE NOT EXISTS (SELECT 1 FROM st WHERE st.game = c1.game AND st.victim = r.player AND st.ord <= c1.ord)),
+u AS (SELECT game, arg_min(team, ord) AS team, arg_min(own > opponents, ord) AS ahead FROM st WHERE own <> opponents GROUP BY 1),
+ad AS (SELECT r.game, r.player, (u.team = r.team) = u.ahead AS up, r.team = r.round % 2 AS won FROM u JOIN roster r ON r.game = u.game),
+tc AS (SELECT game, player, sum(d) AS feed_deaths, sum(k) AS feed_kills, sum(t) AS feed_traded, sum(tk) AS feed_trade_kills, sum(a) AS feed_answered, sum(fd) AS feed_first_deaths, sum(fu) AS feed_first_untraded FROM (
+SELECT game, victim AS player, 1 AS d, 0 AS k, CAST(traded AS INT) AS t, 0 AS tk, 0 AS a, CAST(ord = 1 AS INT) AS fd, CAST(ord = 1 AND NOT traded AS INT) AS fu FROM tr
+UNION ALL SELECT game, killer, 0, 1, 0, 0, CAST(answered AS INT), 0, 0 FROM tr WHERE killer IS NOT NULL UNION ALL SELECT game, avenger, 0, 0, 0, 1, 0, 0, 0 FROM tr WHERE traded) GROUP BY 1, 2),
+cc AS (SELECT game, player, count(*) AS clutch_tried, count(*) FILTER (WHERE won) AS clutch_won, """ + ", ".join(f"count(*) FILTER (WHERE opponents = {n}) AS clutch_tried_{n}, count(*) FILTER (WHERE opponents = {n} AND won) AS clutch_won_{n}" for n in range(1, 5)) + """ FROM cl GROUP BY 1, 2),
+ac AS (SELECT game, player, count(*) FILTER (WHERE up) AS adv_rounds, count(*) FILTER (WHERE up AND won) AS adv_won, count(*) FILTER (WHERE NOT up) AS disadv_rounds, count(*) FILTER (WHERE NOT up AND won) AS disadv_won FROM ad GROUP BY 1, 2),
+th AS (SELECT game, victim AS player, count(*) AS thrown_deaths FROM st WHERE own + 1 > opponents GROUP BY 1, 2)"""
+_ROUNDS_SQL = ", ".join(f"CASE WHEN fed AND mode = 'snd' THEN CAST(coalesce({c}, 0) AS DOUBLE) END AS {c}" for c in feed.ROUND_COLUMNS if c != "feed_snd_rounds")
+FED = f"""{HOURS}, ln AS (SELECT r.game, r.player, 2024 AS season, CASE WHEN r.round % 3 = 0 THEN 'hp' ELSE 'snd' END AS mode, CAST(600 + r.round AS DOUBLE) AS duration_s, r.player % 9 > 0 AS fed FROM roster r),
+fl AS (SELECT game, player, season, mode, duration_s, {", ".join(f"CASE WHEN fed THEN CAST(coalesce({c}, 0) AS DOUBLE) END AS {c}" for c in feed.FEED_COLUMNS)}, {_ROUNDS_SQL},
+CASE WHEN fed AND mode = 'snd' THEN 1.0 END AS feed_snd_rounds FROM ln LEFT JOIN tc USING (game, player) LEFT JOIN cc USING (game, player) LEFT JOIN ac USING (game, player) LEFT JOIN th USING (game, player)),
+s AS MATERIALIZED (SELECT player, season, mode, {", ".join(f"sum({c}) AS {c}" for c in [*feed.FEED_COLUMNS, *feed.ROUND_COLUMNS])}, CAST(count(*) AS DOUBLE) AS maps, CAST(count(feed_deaths) AS DOUBLE) AS feed_maps,
+sum(duration_s) FILTER (WHERE feed_deaths IS NOT NULL) AS feed_duration_s FROM fl GROUP BY GROUPING SETS ((player, season, mode), (player, season)))"""
+
+
+def fed_lines(t: Tables):
+    """Every hour of the events is a map of one round: whoever dies in it is on the roster, its number says who won it; the
+    box score of every ninth player disagrees with the feed."""
+    e = t("events").select(
+        F.concat_ws("-", F.to_date("ts"), F.hour("ts")).alias("game"), F.hour("ts").alias("round"), ((F.minute("ts") * 60 + F.second("ts")) * 10).cast("long").alias("time_ms"), F.col("event_id").alias("seq"),
+        F.col("user_id").alias("victim"), F.when(F.col("event_id") % 5 > 0, (F.col("user_id") * 7 + F.col("event_id") * 13) % 150).alias("killer"),
+    )
+    box = e.groupBy("game", "round", F.col("victim").alias("player")).agg(F.count(F.lit(1)).alias("n"))
+    lines_ = box.select(
+        "game", "player", (F.col("player") % 2).alias("team"), F.lit(2024).alias("season"), F.when(F.col("round") % 3 == 0, "hp").otherwise("snd").alias("mode"), (600.0 + F.col("round")).alias("duration_s"),
+        (F.col("n") + (F.col("player") % 9 == 0).cast("int")).alias("deaths"), F.lit(0.0).alias("kills"),
+    )
+    winners = box.select("game", "round", (F.col("round") % 2).cast("long").alias("team")).distinct()
+    return feed.with_feed(lines_, e, lines_.select("game", "player", "team"), winners)
+
+
+@query("metric_feed", f"WITH {FED}, r AS ({long_sql(metrics.FEED_METRICS)}) SELECT player, season, mode, metric, round(value + 1e-8, 6) AS value, denom, qualified FROM r WHERE value IS NOT NULL")
+def metric_feed(t: Tables):
+    """All metrics of the kill feed, from deaths to clutches, over reconciled maps."""
+    sums = metrics.folded(fed_lines(t), [*feed.FEED_COLUMNS, *feed.ROUND_COLUMNS, "deaths", "duration_s"])
+    return metrics.metric_rows(sums, metrics.FEED_METRICS).select("player", "season", "mode", "metric", F.round(F.col("value") + 1e-8, 6).alias("value"), "denom", "qualified")
+
+
 @query("metric_coverage", """SELECT season, col AS "column", CAST(present AS BIGINT) AS present, tracked FROM (
 SELECT CAST(year(l_shipdate) AS INTEGER) AS season, unnest(['kills', 'damage', 'plants']) AS col,
 unnest([count(l_quantity), count(CASE WHEN l_discount > 0.02 THEN 1 END), count(l_partkey % 4)]) AS present,
@@ -92,9 +192,8 @@ def team_series(t: Tables):
 
 
 def deaths(t: Tables):
-    """Events as a feed: a game is a day, a round an hour, time in ms within it; every fifth killer is unknown."""
-    e = t("events").filter("event_type in ('click', 'view')")
-    return e.select(
+    """All events as a feed: a game is a day, a round an hour, time in ms within it; every fifth killer is unknown."""
+    return t("events").select(
         F.to_date("ts").alias("game"), F.hour("ts").alias("round"), ((F.minute("ts") * 60 + F.second("ts")) * 10).cast("long").alias("time_ms"), F.col("event_id").alias("seq"),
         F.col("user_id").alias("victim"), F.when(F.col("event_id") % 5 > 0, (F.col("user_id") * 7 + F.col("event_id") * 13) % 150).alias("killer"),
     )
@@ -106,7 +205,7 @@ def teams(t: Tables):
 
 
 FEED = """feed AS (SELECT CAST(ts AS DATE) AS game, CAST(hour(ts) AS INTEGER) AS round, CAST((minute(ts) * 60 + CAST(floor(second(ts)) AS INTEGER)) * 10 AS BIGINT) AS time_ms, event_id AS seq, user_id AS victim,
-CASE WHEN event_id % 5 > 0 THEN (user_id * 7 + event_id * 13) % 150 END AS killer FROM events WHERE event_type IN ('click', 'view')),
+CASE WHEN event_id % 5 > 0 THEN (user_id * 7 + event_id * 13) % 150 END AS killer FROM events),
 o AS (SELECT *, row_number() OVER (PARTITION BY game ORDER BY round, time_ms, seq) AS ord FROM feed),
 roster AS (SELECT DISTINCT CAST(ts AS DATE) AS game, user_id AS player, user_id % 2 AS team FROM events)"""
 TRADES = f"""{FEED}, f AS (SELECT a.game, a.ord, arg_min(b.killer, b.ord) AS avenger, count(*) AS n, min(b.ord) AS bo FROM o a JOIN o b ON a.game = b.game AND a.round = b.round AND b.victim = a.killer
@@ -127,7 +226,7 @@ def ev_first(t: Tables):
     return feed.trades(deaths(t), teams(t)).join(opening, ["game", "seq"], "left_semi").select("game", "round", "victim", "traded")
 
 
-@query("ev_recon", """WITH c AS (SELECT CAST(ts AS DATE) AS game, user_id AS player, count(*) AS n FROM events WHERE event_type IN ('click', 'view') GROUP BY 1, 2),
+@query("ev_recon", """WITH c AS (SELECT CAST(ts AS DATE) AS game, user_id AS player, count(*) AS n FROM events GROUP BY 1, 2),
 b AS (SELECT CAST(ts AS DATE) AS game, user_id AS player, CASE WHEN user_id % 9 > 0 THEN CAST(count(*) FILTER (WHERE event_type <> 'view') AS BIGINT) END AS deaths FROM events GROUP BY 1, 2)
 SELECT b.game, b.player, b.deaths, CAST(coalesce(c.n, 0) AS BIGINT) AS feed_deaths, b.deaths = coalesce(c.n, 0) AS matches FROM b LEFT JOIN c ON b.game = c.game AND b.player = c.player
 WHERE b.game IN (SELECT game FROM c)""")
@@ -175,8 +274,12 @@ def ev_table(t: Tables):
 ON a.game = b.game AND a.round = b.round AND b.victim = a.killer AND b.ord > a.ord GROUP BY 1, 2) GROUP BY 1""")
 def ev_latency(t: Tables):
     f = feed.in_order(deaths(t))
-    b = f.select("game", "round", F.col("victim").alias("killer"), F.col("ord").alias("ob"), F.col("time_ms").alias("tb"))
-    gap = f.join(b, ["game", "round", "killer"]).filter("ob > ord").groupBy("game", "ord").agg(F.min(F.col("tb") - F.col("time_ms")).alias("gap"))
+    # a killer's next death: kills and deaths of a player in one ordered stream, not every kill against every death
+    part = lambda who, dies: F.struct(F.col(who).alias("player"), F.lit(dies).alias("dies"))
+    stream = f.select("game", "round", "ord", "time_ms", F.inline(F.array(part("victim", True), part("killer", False)))).filter("player is not null")
+    later = Window.partitionBy("game", "round", "player").orderBy(F.desc("ord"), "dies").rowsBetween(Window.unboundedPreceding, -1)
+    next_death = F.last(F.when(F.col("dies"), F.col("time_ms")), ignorenulls=True).over(later)
+    gap = stream.withColumn("gap", next_death - F.col("time_ms")).filter("not dies and gap is not null")
     return gap.groupBy(F.floor(F.least("gap", F.lit(12000)) / 1000).alias("second")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -17,13 +17,13 @@ ROWS = f"{_SCORED}, w AS (SELECT player, season, mode, metric, round(value, 6) A
 @query("rp_query", f"""{ROWS} SELECT k.player, k.season, k.value AS kd_value, k.denom AS kd_denom, k.qualified AS kd_qualified, p.value AS kills_pm_value, p.denom AS kills_pm_denom
 FROM w k LEFT JOIN w p ON p.player = k.player AND p.season = k.season AND p.mode IS NULL AND p.metric = 'kills_pm' WHERE k.metric = 'kd' AND k.mode IS NULL AND k.qualified""")
 def rp_query(t: Tables):
-    table = reports.wide(metric_layer(t), reports.resolve({"metrics": "kd,kills_pm"}, ["kd", "kills_pm"]))
+    table = reports.wide(metric_layer(t, "kd", "kills_pm"), reports.resolve({"metrics": "kd,kills_pm"}, ["kd", "kills_pm"]))
     return table.select("player", "season", F.round("kd_value", 6).alias("kd_value"), "kd_denom", "kd_qualified", F.round("kills_pm_value", 6).alias("kills_pm_value"), "kills_pm_denom")
 
 
 @query("rp_scope", f"{_SCORED} SELECT DISTINCT season, mode, mode IS NULL AS pooled FROM c WHERE metric = 'hill_time_share'")
 def rp_scope(t: Tables):
-    return metric_layer(t).filter("metric = 'hill_time_share'").select("season", "mode", F.col("mode").isNull().alias("pooled")).distinct()
+    return metric_layer(t, "hill_time_share").select("season", "mode", F.col("mode").isNull().alias("pooled")).distinct()
 
 
 @query("rp_members", f"WITH {LINES} SELECT DISTINCT player, season FROM lines WHERE (player, season) IN (SELECT player, season FROM lines WHERE game % 25 = 3)")
