@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from matchloom.operators import findings, quality, reports, runs
+from matchloom.operators import feed, findings, metrics, quality, reports, runs
+from matchloom.operators.cohort import scored
 from matchloom.plans.aggregates import LINES, lines
-from matchloom.plans.models import _SCORED, metric_layer
+from matchloom.plans.models import _BOX_SQL, _SCORED, FED, box_lines, fed_lines, long_sql, metric_layer
 from matchloom.plans.base import Tables, query
 from matchloom.plans.windows import COHORT, kd_scored
 
@@ -111,6 +112,82 @@ def fd_shift(t: Tables):
     return findings.shifts(s, "loadout", "season", 0.002).withColumn("moved", F.round("moved", 6))
 
 
+@query("fd_milestone", f"""WITH {LINES}, c AS (SELECT player AS subject, count(*) AS maps FROM lines GROUP BY 1 HAVING count(*) >= 250 ORDER BY maps DESC, subject LIMIT 25),
+p AS (SELECT o_custkey % 25 AS subject, max(o_totalprice) AS peak FROM orders GROUP BY 1 ORDER BY peak DESC, subject LIMIT 5)
+SELECT 'player' AS who, subject, CAST(row_number() OVER (ORDER BY maps DESC, subject) AS INTEGER) AS rank, round(0.35 + least(maps / 2000.0, 0.3), 6) AS score FROM c
+UNION ALL SELECT 'team', subject, CAST(row_number() OVER (ORDER BY peak DESC, subject) AS INTEGER), round(0.8 - 0.08 * (row_number() OVER (ORDER BY peak DESC, subject) - 1), 6) FROM p""")
+def fd_milestone(t: Tables):
+    careers = findings.career_milestones(lines(t).groupBy("player").agg(F.count(F.lit(1)).alias("maps"))).withColumn("who", F.lit("player"))
+    peaks = findings.peak_milestones(t("orders").select((F.col("o_custkey") % 25).alias("team"), F.col("o_totalprice").alias("rating"))).withColumn("who", F.lit("team"))
+    return careers.unionByName(peaks).select("who", "subject", "rank", F.round("score", 6).alias("score"))
+
+
+@query("fd_era", f"""{_BOX_SQL}, p AS (SELECT mode, season, sum(kills + deaths) / (sum(duration_s) / 600) AS pace FROM box GROUP BY 1, 2),
+c AS (SELECT mode, season, (pace - lag(pace) OVER w) / lag(pace) OVER w AS change FROM p WINDOW w AS (PARTITION BY mode ORDER BY season))
+SELECT mode, season AS subject, round(change, 6) AS change, round(least(abs(change) * 2.5, 1.0), 6) AS score FROM c WHERE abs(change) >= 0.01""")
+def fd_era(t: Tables):
+    """The stand-in's seasons are alike: a change of a hundredth counts."""
+    pace = box_lines(t).groupBy("mode", "season").agg((F.sum(F.col("kills") + F.col("deaths")) / (F.sum("duration_s") / 600)).alias("pace"))
+    return findings.era_changes(pace, 0.01).select("mode", "subject", F.round("change", 6).alias("change"), F.round("score", 6).alias("score"))
+
+
+@query("fd_h2h", """WITH d AS (SELECT least(o_custkey % 45, o_orderkey % 45) AS x, greatest(o_custkey % 45, o_orderkey % 45) AS y, (o_totalprice > 150000) = (o_custkey % 45 < o_orderkey % 45) AS w FROM orders WHERE o_custkey % 45 <> o_orderkey % 45),
+n AS (SELECT x, y, count(*) AS n, count(*) FILTER (WHERE w) AS w FROM d GROUP BY 1, 2 HAVING count(*) >= 8), s AS (SELECT x AS subject, y AS opponent, w AS wins, n FROM n UNION ALL SELECT y, x, n - w, n FROM n)
+SELECT subject, opponent, CAST(wins AS BIGINT) AS wins, CAST(n AS BIGINT) AS n, round(least((wins / n - 0.5) * 1.6 + n / 40.0, 1.0), 6) AS score FROM s WHERE wins / n >= 0.7""")
+def fd_h2h(t: Tables):
+    rows = t("orders").select((F.col("o_custkey") % 45).alias("a"), (F.col("o_orderkey") % 45).alias("b"), (F.col("o_totalprice") > 150000).alias("a_won")).filter("a <> b")
+    return findings.head_to_head_edges(rows).select("subject", "opponent", "wins", "n", F.round("score", 6).alias("score"))
+
+
+RISING = {"headshot_rate": True, "accuracy": True, "suicides_pm": False, "streak_conversion": True, "lives_p10": False}
+_LOW = ", ".join(f"'{m}'" for m, up in RISING.items() if not up)
+_KEYS = ", ".join(f"'{m}'" for m in RISING)
+PCTL = f"""{_SCORED}, w AS (SELECT player, season, mode, metric, value, denom, qualified, CASE WHEN n >= 15 AND sd > 0 THEN (value - m) / sd END AS z, CASE WHEN n >= 2 AND sd > 0 THEN below / n END AS pctl FROM c)"""
+
+
+@query("fd_intangible", f"""{PCTL}, k AS (SELECT player, season, pctl AS kd FROM w WHERE metric = 'kd' AND mode IS NULL AND qualified AND pctl IS NOT NULL),
+q AS (SELECT w.player AS subject, w.season, mode, metric, CASE WHEN metric IN ({_LOW}) THEN 1 - pctl ELSE pctl END AS quality, kd FROM w JOIN k USING (player, season) WHERE qualified AND pctl IS NOT NULL AND metric IN ({_KEYS}))
+SELECT subject, season, mode, metric, quality >= 0.9 AND kd <= 0.5 AS undersold, round(least(0.5 + abs(quality - kd) * 0.45, 0.98), 6) AS score FROM q WHERE quality >= 0.9 AND kd <= 0.5 OR quality <= 1 - 0.9 AND kd >= 0.9
+ORDER BY score DESC, subject, season, metric, mode NULLS FIRST LIMIT 24""")
+def fd_intangible(t: Tables):
+    return findings.intangible_outliers(metric_layer(t, "kd", *RISING), RISING).withColumn("score", F.round("score", 6))
+
+
+@query("fd_extreme", f"""{PCTL}, f AS (SELECT * FROM w WHERE qualified AND z IS NOT NULL AND metric IN ({_KEYS}) QUALIFY row_number() OVER (PARTITION BY metric, season, mode ORDER BY round(CASE WHEN metric IN ({_LOW}) THEN -z ELSE z END, 9) DESC, player) = 1)
+SELECT player AS subject, season, mode, metric, round(z, 6) AS z, round(least(0.55 + abs(z) * 0.09, 0.97), 6) AS score FROM f WHERE abs(z) >= 1.5 AND denom >= 2 * CASE metric {" ".join(f"WHEN '{m.key}' THEN {m.least}" for m in metrics.PLAYER_METRICS if m.key in RISING)} END
+ORDER BY score DESC, subject, season, metric, mode NULLS FIRST LIMIT 30""")
+def fd_extreme(t: Tables):
+    least = {m.key: float(m.least) for m in metrics.PLAYER_METRICS if m.key in RISING}
+    return findings.profile_extremes(metric_layer(t, *RISING), RISING, least).withColumns({"z": F.round("z", 6), "score": F.round("score", 6)})
+
+
+@query("fd_clutch", f"""WITH {FED}, r AS ({long_sql([m for m in metrics.FEED_METRICS if m.key.startswith("clutch")])}), v AS (SELECT * FROM r WHERE value IS NOT NULL),
+c AS (SELECT *, count(*) FILTER (WHERE qualified) OVER w AS n, stddev_samp(value) FILTER (WHERE qualified) OVER w AS sd, count(*) FILTER (WHERE qualified) OVER (PARTITION BY metric, season, mode ORDER BY value RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS below
+FROM v WINDOW w AS (PARTITION BY metric, season, mode))
+SELECT player AS subject, season, mode, metric, denom AS attempts, round(least(0.55 + value * 0.35, 0.95), 6) AS score FROM c WHERE qualified AND denom >= 5 AND n >= 2 AND sd > 0 AND below / n >= 0.9
+ORDER BY score DESC, subject, season, metric, mode NULLS FIRST LIMIT 10""")
+def fd_clutch(t: Tables):
+    """Five attempts suffice here, as the stand-in's rosters are in few clutches."""
+    sums = metrics.folded(fed_lines(t), [*feed.FEED_COLUMNS, *feed.ROUND_COLUMNS, "deaths", "duration_s"])
+    rows = metrics.metric_rows(sums, [m for m in metrics.FEED_METRICS if m.key.startswith("clutch")])
+    return findings.clutch_milestones(rows, 5).withColumn("score", F.round("score", 6))
+
+
+@query("fd_trade", f"""{PCTL}, u AS (SELECT player, season, pctl AS u FROM w WHERE metric = 'suicides_pm' AND mode IS NULL AND qualified AND pctl IS NOT NULL), k AS (SELECT player, season, pctl AS k FROM w WHERE metric = 'kills_p10' AND mode IS NULL AND qualified AND pctl IS NOT NULL)
+SELECT player AS subject, season, k >= 0.75 AND u >= 0.75 AS isolated, round(least(0.55 + abs(u - (1 - k)) * 0.5, 0.95), 6) AS score FROM u JOIN k USING (player, season) WHERE k >= 0.75 AND u >= 0.75 OR k <= 0.25 AND u <= 0.25 ORDER BY score DESC, subject, season LIMIT 12""")
+def fd_trade(t: Tables):
+    """Line items have no feed: suicides stand for untraded deaths."""
+    return findings.trade_asymmetries(metric_layer(t, "kills_p10", "suicides_pm"), untraded="suicides_pm").withColumn("score", F.round("score", 6))
+
+
+@query("fd_style", f"""WITH {LINES}, p AS (SELECT player % 25 AS team, season, player, sum(kills) AS x FROM lines GROUP BY 1, 2, 3), s AS (SELECT team, season, x / sum(x) OVER (PARTITION BY team, season) AS s FROM p),
+h AS (SELECT team, season, sum(s * s) AS v FROM s GROUP BY 1, 2), z AS (SELECT team, season, (v - avg(v) OVER w) / stddev_samp(v) OVER w AS z FROM h WINDOW w AS (PARTITION BY season))
+SELECT team AS subject, season, 'snd_fb_concentration' AS metric, round(z, 6) AS z, round(least(0.5 + abs(z) * 0.12, 0.95), 6) AS score FROM z WHERE abs(z) >= 1.5 ORDER BY score DESC, subject, season LIMIT 12""")
+def fd_style(t: Tables):
+    shares = metrics.concentration(lines(t).withColumn("team", F.col("player") % 25), "kills").select("team", "season", F.lit("snd_fb_concentration").alias("metric"), F.col("herfindahl").alias("value"), F.lit(True).alias("qualified"))
+    return findings.team_styles(scored(shares, ["metric", "season"])).withColumns({"z": F.round("z", 6), "score": F.round("score", 6)})
+
+
 @query("fd_control", """WITH t AS (SELECT o_orderkey, o_orderpriority AS kind, CASE WHEN o_orderkey % 4 > 0 THEN 1 / (1 + o_totalprice / 1000) END AS p FROM orders),
 r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY p, o_orderkey) AS i, count(*) OVER (PARTITION BY kind) AS n FROM t WHERE p IS NOT NULL),
 q AS (SELECT *, min(p * n / i) OVER (PARTITION BY kind ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS q FROM r)
