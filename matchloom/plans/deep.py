@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from matchloom.operators import feed, maps, metrics, ratings, resample, runs
 from matchloom.plans.aggregates import LINES, lines
-from matchloom.plans.models import _SCORED, ALIVE, CAREER, TRADES, box_lines, deaths, metric_layer, predictions, season_credit, series, teams
+from matchloom.plans.models import _SCORED, ALIVE, CAREER, ELO, TRADES, box_lines, deaths, metric_layer, predictions, season_credit, series, teams
 from matchloom.plans.base import Tables, query
 
 TABLE = """v AS (SELECT own, opponents, (victim + round) % 2 = 0 AS won FROM st), bv AS (SELECT own, opponents, won FROM v UNION ALL SELECT opponents, own, NOT won FROM v),
@@ -107,7 +107,13 @@ def rt_mapelo(t: Tables):
     return maps.map_elo(rows).select("map", *(F.round(c, 6).alias(c) for c in ("p_all", "p_mode", "p")))
 
 
-@query("rt_sweep")
+_STEPS = ELO[ELO.index("f AS (") :]
+_SWEPT = {k: _STEPS.replace("32 *", f"{k} *").replace("f AS (", f"f{k} AS (").replace("f.", f"f{k}.").replace("FROM f JOIN", f"FROM f{k} JOIN") for k in (16, 32, 64)}
+
+
+@query("rt_sweep", ELO[: ELO.index("f AS (")] + ", ".join(_SWEPT.values()) + " " + " UNION ALL ".join(
+    f"SELECT CAST({k} AS DOUBLE) AS k, CAST(count(*) AS BIGINT) AS n, round(avg(pow(f.p - s.y, 2)), 6) AS brier FROM f{k} f JOIN s ON s.series = f.series" for k in _SWEPT
+))
 def rt_sweep(t: Tables):
     rows = series(t)
     out = None

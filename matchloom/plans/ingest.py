@@ -22,11 +22,6 @@ def src_kind(t: Tables):
     return t("events").select("event_id", records.death_kind(F.col("user_id"), killer, F.col("user_id") % 2, killer % 2).alias("kind"))
 
 
-@query("src_probe", "SELECT event_id, CASE WHEN json_extract(props, '$.k') IS NOT NULL THEN 'none' END AS shape FROM events")
-def src_probe(t: Tables):
-    return t("events").select("event_id", records.death_shape(F.col("props")).alias("shape"))
-
-
 @query("src_rounds", """WITH m AS (SELECT CAST(ts AS DATE) AS game, CAST(hour(ts) AS INTEGER) AS round, CAST(sum(CASE WHEN user_id % 2 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS a, CAST(sum(CASE WHEN user_id % 2 = 1 THEN 1 ELSE 0 END) AS BIGINT) AS b FROM events GROUP BY 1, 2),
 c AS (SELECT game, round, CAST(sum(a) OVER w AS BIGINT) AS score1, CAST(sum(b) OVER w AS BIGINT) AS score2, a, b FROM m WINDOW w AS (PARTITION BY game ORDER BY round))
 SELECT game, round, score1, score2, CASE WHEN a > b THEN 1 WHEN b > a THEN 2 ELSE 0 END AS winner_side FROM c""")

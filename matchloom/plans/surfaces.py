@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from matchloom.operators import feed, findings, metrics, quality, reports, runs
+from matchloom.operators import feed, findings, metrics, quality, ratings, reports, runs
 from matchloom.operators.cohort import scored
 from matchloom.plans.aggregates import LINES, lines
-from matchloom.plans.models import _BOX_SQL, _SCORED, FED, box_lines, fed_lines, long_sql, metric_layer
+from matchloom.plans.models import _BOX_SQL, _SCORED, ELO, FED, box_lines, fed_lines, long_sql, metric_layer, series
 from matchloom.plans.base import Tables, query
 from matchloom.plans.windows import COHORT, kd_scored
 
@@ -60,10 +60,17 @@ def rd_records(t: Tables):
     return both_sides(t).groupBy("team", "mode").agg(F.count(F.lit(1)).alias("played"), F.round(F.avg(F.col("won").cast("int")), 6).alias("rate"), F.to_date(F.max(F.when(F.col("won"), F.col("at")))).alias("last_win"))
 
 
-@query("rd_standings", f"WITH {BOTH}, c AS (SELECT team, played, k, sum(CASE WHEN won THEN 1 ELSE -1 END) OVER (PARTITION BY team ORDER BY played, k) AS s FROM g) SELECT team, CAST(max(s) AS BIGINT) AS peak, CAST(arg_max(s, (played, k)) AS BIGINT) AS final FROM c GROUP BY team")
+@query("rd_standings", f"""{ELO}, g AS (SELECT f.pool, f.rn, s.a - 1 AS team, f.r[s.a] AS r, s.y AS w FROM f JOIN s ON s.pool = f.pool AND s.rn = f.rn UNION ALL SELECT f.pool, f.rn, s.b - 1, f.r[s.b], 1 - s.y FROM f JOIN s ON s.pool = f.pool AND s.rn = f.rn)
+SELECT pool, CAST(team AS BIGINT) AS team, CAST(count(*) AS BIGINT) AS played, CAST(sum(w) AS BIGINT) AS wins, round(max(r), 4) AS peak, round(arg_max(r, rn), 4) AS final FROM g GROUP BY pool, team""")
 def rd_standings(t: Tables):
-    run = F.sum(F.when(F.col("won"), 1).otherwise(-1)).over(Window.partitionBy("team").orderBy("at", "k"))
-    return both_sides(t).select("team", "at", "k", run.alias("s")).groupBy("team").agg(F.max("s").alias("peak"), F.max_by("s", F.struct("at", "k")).alias("final"))
+    """Final and peak rating of each side of a league, with its record."""
+    rows = series(t)
+    rated = ratings.elo(rows).join(rows.select("pool", "series", "at", "a", "b", "a_won"), ["pool", "series"])
+    side = lambda team, rating, won: F.struct(F.col(team).alias("team"), F.col(rating).alias("rating"), won.cast("int").alias("won"))
+    both = rated.select("pool", "series", "at", F.inline(F.array(side("a", "rating_a", F.col("a_won")), side("b", "rating_b", ~F.col("a_won")))))
+    return both.groupBy("pool", "team").agg(
+        F.count(F.lit(1)).alias("played"), F.sum("won").alias("wins"), F.round(F.max("rating"), 4).alias("peak"), F.round(F.max_by("rating", F.struct("at", "series")), 4).alias("final")
+    )
 
 
 @query("rd_mapmeta", f"WITH {LINES} SELECT season, mode, CAST(count(DISTINCT game) AS BIGINT) AS games, round(count(DISTINCT game) / CAST(sum(count(DISTINCT game)) OVER (PARTITION BY season) AS DOUBLE), 6) AS share, round(avg(kills), 6) AS mean_kills FROM lines GROUP BY 1, 2")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import io
 import json
 import tarfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -20,8 +20,8 @@ TIME_UNITS = {"ms": 1, "ds": 100}
 def read_archive(spark: SparkSession, paths: list[str], columns: list[str]) -> DataFrame:
     """Per-event CSV files with a header, one row per player-map; the columns vary by file and all stay text.
 
-    Files are grouped by their header (read from the first line by Spark) so that each is read with its own columns;
-    columns that a file lacks are null.
+    Each path (a file, or a folder of files with one header) is read with its own header, and the plans are united by name;
+    columns that a file lacks are null, and those that are not asked for go to extras by name.
     """
     out = None
     for path in paths:
@@ -38,7 +38,12 @@ def typed(rows: DataFrame, numbers: list[str]) -> DataFrame:
 
 
 def read_tarballs(spark: SparkSession, path: str) -> DataFrame:
-    """name, body: the JSON members of gzipped tar archives, one archive per task, members streamed one by one."""
+    """name, body: the JSON members of the gzipped tar archives of a path; see unpacked()."""
+    return unpacked(spark.read.format("binaryFile").load(path))
+
+
+def unpacked(archives: DataFrame) -> DataFrame:
+    """name, body: the JSON members of tar archives (content), members streamed one by one."""
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -49,7 +54,7 @@ def read_tarballs(spark: SparkSession, path: str) -> DataFrame:
                             body = json.dumps(json.load(tar.extractfile(member)), separators=(",", ":"))
                             yield pa.RecordBatch.from_arrays([pa.array([member.name]), pa.array([body])], ["name", "body"])
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(unpack, "name string, body string")
+    return archives.select("content").mapInArrow(unpack, "name string, body string")
 
 
 def death_shape(body: Column) -> Column:
@@ -62,6 +67,21 @@ def death_kind(victim: Column, killer: Column, victim_team: Column, killer_team:
     return F.when(killer.isNull() | (killer == victim), "suicide").when(victim_team == killer_team, "teamkill").otherwise("normal")
 
 
+def deaths(entries: DataFrame, unit: str, team: Callable[[Column], Column]) -> DataFrame:
+    """The entries (at, body, ...) that name a victim, with time_ms, victim, killer and kind.
+
+    A nested entry names both sides in objects of their own, a flat one in plain fields; other entries are no deaths.
+    unit: that of at, a key of TIME_UNITS; team: the side of a player's name.
+    """
+    of = lambda path: F.get_json_object("body", path)
+    named = entries.withColumns({
+        "time_ms": F.col("at") * TIME_UNITS[unit],
+        "victim": F.coalesce(of("$.data.victim.name"), of("$.data.name")),
+        "killer": F.coalesce(of("$.data.attacker.name"), of("$.data.attacker_name")),
+    }).filter("victim is not null")
+    return named.withColumn("kind", death_kind(F.col("victim"), F.col("killer"), team("victim"), team("killer")))
+
+
 def rounds(marks: DataFrame) -> DataFrame:
     """game, round, score1, score2, started, ended, winner_side (0: none) from start and end marks with cumulative scores."""
     at = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
