@@ -60,44 +60,41 @@ def elo(series: DataFrame, k: float = ELO_K) -> DataFrame:
     return folded_in_order(series.filter("a_won is not null"), "pool", ["at", "series"], step, schema)
 
 
+def _new_variance(surprise: float, spread: float, old: float, tau: float) -> float:
+    """The variance of strength whose log balances a period's surprise against its distance from the old one.
+
+    surprise: squared estimated change; spread: variance of the rating and of that estimate together. The balance falls
+    from plus to minus infinity in the log, so a bracket is widened around the old log and then halved.
+    """
+
+    def balance(log: float) -> float:
+        x = math.exp(log)
+        return x * (surprise - spread - x) / (2 * (spread + x) ** 2) - (log - math.log(old)) / tau**2
+
+    reach = tau
+    while not balance(math.log(old) - reach) > 0 > balance(math.log(old) + reach):
+        reach *= 2
+    low, high = math.log(old) - reach, math.log(old) + reach
+    while high - low > 1e-9:
+        middle = (low + high) / 2
+        low, high = (middle, high) if balance(middle) > 0 else (low, middle)
+    return math.exp((low + high) / 2)
+
+
 def glicko2_update(r: float, rd: float, vol: float, games: list[tuple[float, float, float]], tau: float = GLICKO_TAU) -> tuple[float, float, float]:
     """Rating, deviation and volatility after a period of games (opponent's rating and deviation, score)."""
-    mu, phi = (r - GLICKO_START) / GLICKO_SCALE, rd / GLICKO_SCALE
-    if not games:
-        return r, min(GLICKO_RD, GLICKO_SCALE * math.sqrt(phi * phi + vol * vol)), vol
-    info = drift = 0.0
-    for ro, rdo, score in games:
-        g = 1 / math.sqrt(1 + 3 * (rdo / GLICKO_SCALE) ** 2 / math.pi**2)
-        e = 1 / (1 + math.exp(-g * (mu - (ro - GLICKO_START) / GLICKO_SCALE)))
-        info += g * g * e * (1 - e)
-        drift += g * (score - e)
-    v, delta = 1 / info, drift / info
-    a = math.log(vol * vol)
-
-    def f(x: float) -> float:
-        ex = math.exp(x)
-        return ex * (delta * delta - phi * phi - v - ex) / (2 * (phi * phi + v + ex) ** 2) - (x - a) / (tau * tau)
-
-    low = a
-    if delta * delta > phi * phi + v:
-        high = math.log(delta * delta - phi * phi - v)
+    strength, variance = (r - GLICKO_START) / GLICKO_SCALE, (rd / GLICKO_SCALE) ** 2
+    if games:
+        faced = np.array(games, dtype=float)
+        damping = 1 / np.sqrt(1 + 3 * (faced[:, 1] / (GLICKO_SCALE * math.pi)) ** 2)
+        expected = 1 / (1 + np.exp(damping * ((faced[:, 0] - GLICKO_START) / GLICKO_SCALE - strength)))
+        information, pull = float((damping**2 * expected * (1 - expected)).sum()), float((damping * (faced[:, 2] - expected)).sum())
+        vol = math.sqrt(_new_variance((pull / information) ** 2, variance + 1 / information, vol * vol, tau))
+        variance = 1 / (1 / (variance + vol * vol) + information)
+        strength += variance * pull
     else:
-        n = 1
-        while f(a - n * tau) < 0:
-            n += 1
-        high = a - n * tau
-    f_low, f_high = f(low), f(high)
-    while abs(high - low) > 1e-6:  # false position, halving the kept end
-        c = low + (low - high) * f_low / (f_high - f_low)
-        fc = f(c)
-        if fc * f_high <= 0:
-            low, f_low = high, f_high
-        else:
-            f_low /= 2
-        high, f_high = c, fc
-    vol = math.exp(low / 2)
-    phi = 1 / math.sqrt(1 / (phi * phi + vol * vol) + info)
-    return GLICKO_START + GLICKO_SCALE * (mu + phi * phi * drift), min(GLICKO_RD, GLICKO_SCALE * phi), vol
+        variance += vol * vol
+    return GLICKO_START + GLICKO_SCALE * strength, min(GLICKO_RD, GLICKO_SCALE * math.sqrt(variance)), vol
 
 
 def glicko2(series: DataFrame, tau: float = GLICKO_TAU) -> DataFrame:
@@ -225,12 +222,24 @@ def empirical_bayes(means: DataFrame, cohort: list[str], rounds: int = 8) -> Dat
 
 
 def adjusted_p(tests: DataFrame, family: list[str], tie: list[str]) -> DataFrame:
-    """Adds q_bh and q_by to rows with p: step-up false discovery rates within each family."""
-    rank = Window.partitionBy(*family).orderBy("p", *tie)
-    n = F.count(F.lit(1)).over(Window.partitionBy(*family))
-    ranked = tests.withColumns({"__i": F.row_number().over(rank), "__n": n})
+    """Adds q_bh and q_by to rows with p: step-up false discovery rates within each family.
+
+    Rows are dealt by ranges of (family, p), so a large family lies in many partitions: ranks and minima from the last rank
+    back are made in each, and a row per family and partition carries on what the partitions before and behind it hold.
+    The dealt rows are written first: range bounds come from samples, and both uses must see the same partitions.
+    """
+    dealt = written(tests.repartitionByRange(*family, "p", *tie).withColumn("__part", F.spark_partition_id()))
+    own = Window.partitionBy(*family, "__part")
+    across = Window.partitionBy(*family).orderBy("__part")
+    sizes = dealt.groupBy(*family, "__part").agg(F.count(F.lit(1)).alias("__c"))
+    sizes = sizes.withColumns({"__before": F.sum("__c").over(across) - F.col("__c"), "__n": F.sum("__c").over(Window.partitionBy(*family))})
+    ranked = dealt.withColumn("__own", F.row_number().over(own.orderBy("p", *tie))).join(sizes, [*family, "__part"])
+    ranked = ranked.withColumn("__i", F.col("__own") + F.col("__before")).withColumn("__r", F.col("p") * F.col("__n") / F.col("__i"))
     # from the last rank back, so that the frame only grows
-    later = Window.partitionBy(*family).orderBy(F.desc("__i")).rowsBetween(Window.unboundedPreceding, 0)
-    q = F.min(F.col("p") * F.col("__n") / F.col("__i")).over(later)
-    harmonic = F.sum(1.0 / F.col("__i")).over(Window.partitionBy(*family))
-    return ranked.withColumns({"q_bh": F.least(q, F.lit(1.0)), "q_by": F.least(q * harmonic, F.lit(1.0))}).drop("__i", "__n")
+    ranked = ranked.withColumn("__q", F.min("__r").over(own.orderBy(F.desc("__i")).rowsBetween(Window.unboundedPreceding, 0)))
+    ends = ranked.groupBy(*family, "__part").agg(F.min("__r").alias("__least"), F.sum(1.0 / F.col("__i")).alias("__h"))
+    behind = F.min("__least").over(Window.partitionBy(*family).orderBy(F.desc("__part")).rowsBetween(Window.unboundedPreceding, -1))
+    ends = ends.withColumns({"__behind": behind, "__harmonic": F.sum("__h").over(Window.partitionBy(*family))}).select(*family, "__part", "__behind", "__harmonic")
+    q = F.least("__q", "__behind")
+    out = ranked.join(ends, [*family, "__part"]).withColumns({"q_bh": F.least(q, F.lit(1.0)), "q_by": F.least(q * F.col("__harmonic"), F.lit(1.0))})
+    return out.select(*tests.columns, "q_bh", "q_by")

@@ -280,7 +280,12 @@ def op_lineage(t: Tables):
     return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
 
-@query("pop_digest", "SELECT o_orderpriority AS stratum, sha256(string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey)) AS digest, CAST(count(*) AS BIGINT) AS n FROM orders WHERE o_totalprice > 200000 AND o_custkey % 50 = 0 GROUP BY 1")
+@query("pop_digest", """WITH a AS (SELECT o_orderpriority AS stratum, o_orderkey // 16777216 AS k2, o_orderkey // 4096 AS k1, sha256(string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey)) AS d, count(*) AS n FROM orders GROUP BY 1, 2, 3),
+b AS (SELECT stratum, k2, sha256(string_agg(d, ',' ORDER BY k1)) AS d, sum(n) AS n FROM a GROUP BY 1, 2) SELECT stratum, sha256(string_agg(d, ',' ORDER BY k2)) AS digest, CAST(sum(n) AS BIGINT) AS n FROM b GROUP BY 1""")
 def pop_digest(t: Tables):
-    keys = F.array_join(F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda x: x.cast("string")), ",")
-    return t("orders").filter("o_totalprice > 200000 and o_custkey % 50 = 0").groupBy(F.col("o_orderpriority").alias("stratum")).agg(F.sha2(keys, 256).alias("digest"), F.count(F.lit(1)).alias("n"))
+    """A digest of each stratum's keys in order: ranges of 4,096 keys, then of 4,096 ranges, so no group holds more than that."""
+    rows = t("orders").select(F.col("o_orderpriority").alias("stratum"), F.expr("o_orderkey div 16777216").alias("k2"), F.expr("o_orderkey div 4096").alias("k1"), F.col("o_orderkey").alias("k"), F.col("o_orderkey").cast("string").alias("d"), F.lit(1).alias("n"))
+    for keys, order in ((["stratum", "k2", "k1"], "k"), (["stratum", "k2"], "k1"), (["stratum"], "k2")):
+        listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "d"))), lambda x: x["d"]), ",")
+        rows = rows.groupBy(*keys).agg(F.sha2(listed, 256).alias("d"), F.sum("n").alias("n"))
+    return rows.select("stratum", F.col("d").alias("digest"), "n")
