@@ -180,6 +180,48 @@ def logistic(df: DataFrame, features: list[str], target: str, l2: float = 1.0, r
     return beta
 
 
+def standardised(df: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
+    """The features less their mean, by their sample deviation, each among the rows of the same keys."""
+    moments = df.groupBy(*keys).agg(*(f(c).alias(f"__{c}_{n}") for c in features for n, f in (("m", F.avg), ("s", F.stddev_samp))))
+    return df.join(moments, keys).withColumns({c: F.try_divide(F.col(c) - F.col(f"__{c}_m"), F.col(f"__{c}_s")) for c in features}).select(*df.columns)
+
+
+def logistic_by(df: DataFrame, keys: list[str], features: list[str], target: str, l2: float = 1.0, rounds: int = 10) -> DataFrame:
+    """keys, n, intercept and a weight per feature: the regression of logistic() for every group of rows at once.
+
+    A round is one aggregate of all groups' sums; the groups' weights, a row each, are the state between rounds. Rows with
+    a null feature are left out.
+    """
+    names = ["intercept", *features]
+    rows = written(df.dropna(subset=[*keys, *features, target]).select(*keys, *(F.col(f).cast("double").alias(f) for f in features), F.col(target).cast("double").alias("__y")))
+    x = [F.lit(1.0), *(F.col(f) for f in features)]
+    size = len(x)
+    pairs = [(i, j) for i in range(size) for j in range(i, size)]
+    state = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *(F.lit(0.0).alias(f"__b{i}") for i in range(size)))
+    schema = ", ".join(f"{k} {t}" for k, t in df.select(*keys).dtypes) + ", n long, " + ", ".join(f"__b{i} double" for i in range(size))
+
+    def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            beta = batch[[f"__b{i}" for i in range(size)]].to_numpy()
+            g, h = batch[[f"__g{i}" for i in range(size)]].to_numpy(copy=True), np.zeros((len(batch), size, size))
+            for i, j in pairs:
+                h[:, i, j] = h[:, j, i] = batch[f"__h{i}_{j}"]
+            g[:, 1:] -= l2 * beta[:, 1:]
+            h[:, range(1, size), range(1, size)] += l2
+            h += 1e-12 * np.eye(size)
+            new = beta + np.linalg.solve(h, g[:, :, None])[:, :, 0]
+            yield pd.concat([batch[[*keys, "n"]], pd.DataFrame(new, columns=[f"__b{i}" for i in range(size)], index=batch.index)], axis=1)
+
+    for _ in range(rounds):
+        p = 1 / (1 + F.exp(-sum((xi * F.col(f"__b{i}") for i, xi in enumerate(x)), F.lit(0.0))))
+        seen = rows.join(state, keys).withColumn("__p", p).withColumn("__w", F.col("__p") * (1 - F.col("__p")))
+        sums = seen.groupBy(*keys, "n", *(f"__b{i}" for i in range(size))).agg(
+            *(F.sum(xi * (F.col("__y") - F.col("__p"))).alias(f"__g{i}") for i, xi in enumerate(x)), *(F.sum(x[i] * x[j] * F.col("__w")).alias(f"__h{i}_{j}") for i, j in pairs)
+        )
+        state = written(sums.mapInPandas(step, schema))
+    return state.select(*keys, "n", *(F.col(f"__b{i}").alias(name) for i, name in enumerate(names)))
+
+
 #: Columns up to which plus-minus solves its normal equations on the driver.
 MOST_COLUMNS = 4000
 

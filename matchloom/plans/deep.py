@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from matchloom.operators import feed, maps, metrics, ratings, resample, runs
 from matchloom.plans.aggregates import LINES, lines
-from matchloom.plans.models import _SCORED, ALIVE, CAREER, ELO, TRADES, box_lines, deaths, metric_layer, predictions, season_credit, series, teams
+from matchloom.plans.models import _SCORED, ALIVE, CAREER, ELO, TRADES, box_lines, deaths, metric_layer, predictions, newton_sql, season_credit, series, teams
 from matchloom.plans.base import Tables, query
 
 TABLE = """v AS (SELECT own, opponents, (victim + round) % 2 = 0 AS won FROM st), bv AS (SELECT own, opponents, won FROM v UNION ALL SELECT opponents, own, NOT won FROM v),
@@ -101,7 +101,18 @@ def sd_events(t: Tables):
     return maps.dynamics(maps.paths(t("orders").select(F.col("o_custkey").alias("series"), nth.alias("ordinal"), (F.col("o_totalprice") > 150000).alias("won"))))
 
 
-@query("rt_mapelo")
+_GAIN = lambda i, j: f"16 * (s.y - 1 / (1 + pow(10, ({j} - {i}) / 400)))"
+
+
+@query("rt_mapelo", f"""WITH RECURSIVE s AS (SELECT o_orderpriority AS pool, o_orderkey AS map, CAST(o_orderkey % 3 AS INTEGER) AS mode, CAST(o_custkey % 25 AS INTEGER) + 1 AS a, CAST(o_orderkey % 25 AS INTEGER) + 1 AS b, CASE WHEN o_totalprice > 150000 THEN 1.0 ELSE 0.0 END::DOUBLE AS y,
+row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) AS rn FROM orders WHERE o_custkey % 25 <> o_orderkey % 25),
+f AS (SELECT DISTINCT pool, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS map, CAST(NULL AS DOUBLE) AS pa, CAST(NULL AS DOUBLE) AS pm, CAST(NULL AS DOUBLE) AS seen,
+list_resize(CAST([] AS DOUBLE[]), 25, 1500.0::DOUBLE) AS r, list_resize(CAST([] AS DOUBLE[]), 75, 1500.0::DOUBLE) AS m, list_resize(CAST([] AS DOUBLE[]), 75, 0.0::DOUBLE) AS n FROM s
+UNION ALL SELECT f.pool, s.rn, s.map, 1 / (1 + pow(10, (f.r[s.b] - f.r[s.a]) / 400)), 1 / (1 + pow(10, (f.m[25 * s.mode + s.b] - f.m[25 * s.mode + s.a]) / 400)), least(f.n[25 * s.mode + s.a], f.n[25 * s.mode + s.b]),
+[CASE WHEN i = s.a THEN f.r[i] + {_GAIN("f.r[s.a]", "f.r[s.b]")} WHEN i = s.b THEN f.r[i] - {_GAIN("f.r[s.a]", "f.r[s.b]")} ELSE f.r[i] END FOR i IN range(1, 26)],
+[CASE WHEN i = 25 * s.mode + s.a THEN f.m[i] + {_GAIN("f.m[25 * s.mode + s.a]", "f.m[25 * s.mode + s.b]")} WHEN i = 25 * s.mode + s.b THEN f.m[i] - {_GAIN("f.m[25 * s.mode + s.a]", "f.m[25 * s.mode + s.b]")} ELSE f.m[i] END FOR i IN range(1, 76)],
+[CASE WHEN i = 25 * s.mode + s.a OR i = 25 * s.mode + s.b THEN f.n[i] + 1 ELSE f.n[i] END FOR i IN range(1, 76)] FROM f JOIN s ON s.pool = f.pool AND s.rn = f.rn + 1)
+SELECT map, round(pa, 6) AS p_all, round(pm, 6) AS p_mode, round(seen / (seen + 40) * pm + (1 - seen / (seen + 40)) * pa, 6) AS p FROM f WHERE map IS NOT NULL""")
 def rt_mapelo(t: Tables):
     rows = series(t).withColumnRenamed("series", "map").withColumn("mode", F.col("map") % 3)
     return maps.map_elo(rows).select("map", *(F.round(c, 6).alias(c) for c in ("p_all", "p_mode", "p")))
@@ -132,13 +143,18 @@ def pr_diffs(t: Tables):
     return both.select("game", F.round(F.col("k0") / F.col("d0") - F.col("k1") / F.col("d1"), 6).alias("kd"), F.round(F.col("x0") / F.col("k0") - F.col("x1") / F.col("k1") + 1e-4, 2).alias("damage"))
 
 
-@query("pr_weights")
+@query("pr_weights", f"""WITH s AS (SELECT l_orderkey AS game, l_suppkey % 2 AS side, sum(l_quantity) AS k, sum(l_linenumber) AS d, sum(l_extendedprice) AS x FROM lineitem GROUP BY 1, 2),
+g AS (SELECT a.game, round(a.k / a.d - b.k / b.d, 6) AS kd, round(a.x / a.k - b.x / b.k + 1e-4, 2) AS damage FROM s a JOIN s b ON a.game = b.game AND a.side = 0 AND b.side = 1 WHERE a.k > 0 AND b.k > 0),
+j AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS season, o_orderpriority AS mode, kd, damage, CASE WHEN o_totalprice > 150000 THEN 1.0 ELSE 0.0 END AS y FROM g JOIN orders ON game = o_orderkey),
+d AS MATERIALIZED (SELECT season, mode, y, (kd - avg(kd) OVER w) / stddev_samp(kd) OVER w AS x1, (damage - avg(damage) OVER w) / stddev_samp(damage) OVER w AS x2 FROM j WINDOW w AS (PARTITION BY season, mode)),
+{newton_sql(10, "season, mode")} SELECT season, mode, CAST(n AS BIGINT) AS n, round(w0, 5) AS intercept, round(w1, 5) AS kd, round(w2, 5) AS damage FROM b10""")
 def pr_weights(t: Tables):
-    d = pr_diffs(t).join(t("orders").select(F.col("o_orderkey").alias("game"), (F.col("o_totalprice") > 150000).alias("won")), "game")
-    moments = d.agg(*(f(c).alias(f"{c}_{n}") for c in ("kd", "damage") for n, f in (("m", F.avg), ("s", F.stddev_samp)))).first()
-    scaled = d.select("won", *(((F.col(c) - moments[f"{c}_m"]) / moments[f"{c}_s"]).alias(c) for c in ("kd", "damage")))
-    beta = ratings.logistic(scaled, ["kd", "damage"], "won")
-    return t.spark.createDataFrame([(n, round(float(b), 5)) for n, b in zip(("intercept", "kd", "damage"), beta)], "feature string, weight double")
+    """A regression of map results on the sides' differences for every season and mode, each on its own scale."""
+    games = t("orders").select(F.col("o_orderkey").alias("game"), F.year("o_orderdate").alias("season"), F.col("o_orderpriority").alias("mode"), (F.col("o_totalprice") > 150000).alias("won"))
+    d = pr_diffs(t).join(games, "game").select("season", "mode", "won", "kd", "damage")
+    scaled = ratings.standardised(d, ["season", "mode"], ["kd", "damage"])
+    fitted = ratings.logistic_by(scaled, ["season", "mode"], ["kd", "damage"], "won")
+    return fitted.select("season", "mode", "n", *(F.round(c, 5).alias(c) for c in ("intercept", "kd", "damage")))
 
 
 Z = f"""{_SCORED}, zz AS (SELECT player, season, mode, metric, denom, CASE WHEN n >= 15 AND sd > 1e-9 THEN (value - m) / sd END AS z, CASE WHEN n >= 2 AND sd > 1e-9 THEN below / n END AS pctl FROM c)"""

@@ -369,13 +369,37 @@ def st_rank(t: Tables):
     return r.agg(F.round(F.corr("k", "d"), 6).alias("pearson"), F.round(F.corr("rk", "rd"), 6).alias("spearman"))
 
 
-@query("st_eb")
+_EB = ", ".join(
+    f"""p{i} AS MATERIALIZED (SELECT m.*, mu, tau2, mu + tau2 / (tau2 + variance) * (mean - mu) AS post, tau2 / (tau2 + variance) * variance AS pv FROM m JOIN e{i} USING (mode)),
+e{i + 1} AS MATERIALIZED (SELECT mode, avg(post) AS mu, avg(pv) + avg(post * post) - avg(post) * avg(post) AS tau2 FROM p{i} GROUP BY mode)"""
+    for i in range(8)
+)
+
+
+@query("st_eb", f"""WITH {LINES}, m AS MATERIALIZED (SELECT mode, player, avg(kills) AS mean, var_samp(kills) / count(*) AS variance FROM lines GROUP BY 1, 2 HAVING var_samp(kills) > 0),
+e0 AS MATERIALIZED (SELECT mode, avg(mean) AS mu, greatest(coalesce(var_samp(mean), 0) - avg(variance), 1e-9) AS tau2 FROM m GROUP BY mode), {_EB}
+SELECT mode, player, round(mu + tau2 / (tau2 + variance) * (mean - mu), 5) AS posterior, round(tau2 / (tau2 + variance), 5) AS shrinkage FROM m JOIN e8 USING (mode)""")
 def st_eb(t: Tables):
     m = lines(t).groupBy("mode", "player").agg(F.avg("kills").alias("mean"), (F.var_samp("kills") / F.count(F.lit(1))).alias("variance")).filter("variance > 0")
     return ratings.empirical_bayes(m, ["mode"]).select("mode", "player", F.round("posterior", 5).alias("posterior"), F.round("shrinkage", 5).alias("shrinkage"))
 
 
-@query("fit_logit")
+def newton_sql(rounds: int = 10, keys: str = "one") -> str:
+    """CTEs b0, b1, ... of the weights w0, w1, w2 by keys of logistic regressions of y on x1, x2 of a CTE d, whose penalty is 1."""
+    steps = [f"b0 AS MATERIALIZED (SELECT {keys}, count(*) AS n, 0.0::DOUBLE AS w0, 0.0::DOUBLE AS w1, 0.0::DOUBLE AS w2 FROM d GROUP BY {keys})"]
+    for i in range(rounds):
+        steps.append(f"""s{i} AS MATERIALIZED (SELECT {keys}, sum(y - p) AS g0, sum(x1 * (y - p)) - any_value(w1) AS g1, sum(x2 * (y - p)) - any_value(w2) AS g2, sum(v) AS a, sum(x1 * v) AS b, sum(x2 * v) AS c, sum(x1 * x1 * v) + 1 AS e, sum(x1 * x2 * v) AS f, sum(x2 * x2 * v) + 1 AS h
+FROM (SELECT *, p * (1 - p) AS v FROM (SELECT *, 1 / (1 + exp(-(w0 + w1 * x1 + w2 * x2))) AS p FROM d JOIN b{i} USING ({keys}))) GROUP BY {keys}),
+b{i + 1} AS MATERIALIZED (SELECT {keys}, n, w0 + ((e * h - f * f) * g0 + (c * f - b * h) * g1 + (b * f - c * e) * g2) / det AS w0, w1 + ((c * f - b * h) * g0 + (a * h - c * c) * g1 + (b * c - a * f) * g2) / det AS w1,
+w2 + ((b * f - c * e) * g0 + (b * c - a * f) * g1 + (a * e - b * b) * g2) / det AS w2 FROM (SELECT *, a * (e * h - f * f) + b * (c * f - b * h) + c * (b * f - c * e) AS det FROM s{i} JOIN b{i} USING ({keys})))""")
+    return ", ".join(steps)
+
+
+def weights_sql(names: tuple[str, str], column: str, rounds: int = 10) -> str:
+    return f"SELECT unnest(['intercept', '{names[0]}', '{names[1]}']) AS {column}, unnest([round(w0, 5), round(w1, 5), round(w2, 5)]) AS weight FROM b{rounds}"
+
+
+@query("fit_logit", f"""WITH d AS MATERIALIZED (SELECT (o_totalprice - 150000) / 50000 AS x1, CAST(o_custkey % 7 AS DOUBLE) AS x2, CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END AS y, 1 AS one FROM orders), {newton_sql()} {weights_sql(("price", "form"), "term")}""")
 def fit_logit(t: Tables):
     rows = t("orders").select(((F.col("o_totalprice") - 150000) / 50000).alias("price"), (F.col("o_custkey") % 7).alias("form"), (F.col("o_orderstatus") == "F").alias("won"))
     beta = ratings.logistic(rows, ["price", "form"], "won")
