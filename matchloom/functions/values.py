@@ -34,3 +34,16 @@ def season_year(day: Column) -> Column:
 
 def age_in_years(birth: Column, day: Column) -> Column:
     return F.datediff(day, birth).cast("double") / 365.25
+
+
+def trigrams(text: Column) -> Column:
+    """The different three-letter pieces of a text's words, each word with two blanks in front and one behind."""
+    words = F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"))
+    pieces = F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substr(F.concat(F.lit("  "), w, F.lit(" ")), i, F.lit(3))))
+    return F.array_distinct(F.flatten(pieces))
+
+
+def trigram_similarity(a: Column, b: Column) -> Column:
+    """Shared trigrams over all trigrams of two texts; null if neither has any."""
+    x, y = trigrams(a), trigrams(b)
+    return F.try_divide(F.size(F.array_intersect(x, y)).cast("double"), F.size(F.array_union(x, y)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: A death is traded if its killer dies within so many milliseconds, the end included.
@@ -139,6 +139,13 @@ def both_views(states: DataFrame) -> DataFrame:
     return states.select("own", "opponents", "won").unionByName(states.select(F.col("opponents").alias("own"), F.col("own").alias("opponents"), (~F.col("won")).alias("won")))
 
 
+def timeline(states: DataFrame, table: DataFrame, side: Column) -> DataFrame:
+    """Adds p_side to the states (own, opponents after a death, team of the victim): the chance of the given side from then on."""
+    known = states.join(F.broadcast(table.select("own", "opponents", "p")), ["own", "opponents"], "left")  # a few dozen states
+    p = F.when(F.col("own") == 0, 0.0).when(F.col("opponents") == 0, 1.0).otherwise(F.coalesce("p", F.lit(0.5)))
+    return known.withColumn("p_side", F.when(F.col("team") == side, p).otherwise(1 - p)).drop("p")
+
+
 def kill_values(states: DataFrame, table: DataFrame) -> DataFrame:
     """Adds wpa: what each death gave to the killer's side. states: game, round, ord, own, opponents of the victim's side.
 

@@ -37,6 +37,17 @@ def dynamics(series_paths: DataFrame, target: int = 3) -> DataFrame:
     )
 
 
+def series_probability(maps_p: list[Column], target: int = 3) -> Column:
+    """The probability that the first side is first to target wins, from its probability on each of 2 * target - 1 maps.
+
+    Maps are independent; the series is carried as the probabilities of 0, 1, ... wins so far, as if all maps were played.
+    """
+    wins = [F.lit(1.0)]
+    for p in maps_p:
+        wins = [(wins[n] * (1 - p) if n < len(wins) else F.lit(0.0)) + (wins[n - 1] * p if n else F.lit(0.0)) for n in range(len(wins) + 1)]
+    return sum(wins[target + 1 :], wins[target])
+
+
 def hill_cell(own: Column, other: Column) -> tuple[Column, Column]:
     """A coarse state of a hill map: the own score in quarters of a hundred up to 10, and the lead in steps of 20, half even."""
     lead = F.least(F.greatest(own - other, F.lit(-100)), F.lit(100))

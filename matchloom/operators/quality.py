@@ -39,6 +39,12 @@ def report(checks: list[Check], tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, counts)
 
 
+def gate(counts: DataFrame) -> DataFrame:
+    """passes, failed: whether no hard check of a report() found anything, and the names of those that did."""
+    broken = F.col("hard") & (F.col("failing") > 0)
+    return counts.agg((F.count_if(broken) == 0).alias("passes"), F.array_join(F.array_sort(F.collect_list(F.when(broken, F.col("check_name")))), ",").alias("failed"))
+
+
 def identity_candidates(names: DataFrame) -> DataFrame:
     """a, b, reason: pairs of players whose handles are equal but for case and marks, or one edit apart.
 

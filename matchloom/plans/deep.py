@@ -24,6 +24,23 @@ def ev_wpa(t: Tables):
     return values.filter("killer is not null").groupBy("killer").agg(F.count(F.lit(1)).alias("kills"), F.round(F.sum("wpa"), 6).alias("wpa"))
 
 
+@query("ev_timeline", f"""WITH {ALIVE}, {TABLE} SELECT seq, round(CASE WHEN st.team = 0 THEN q ELSE 1 - q END, 6) AS p_side FROM (SELECT st.seq, st.team, CASE WHEN st.own = 0 THEN 0.0 WHEN st.opponents = 0 THEN 1.0 ELSE coalesce(tb.p, 0.5) END AS q
+FROM st LEFT JOIN tb ON tb.own = st.own AND tb.opponents = st.opponents) st""")
+def ev_timeline(t: Tables):
+    """The even side's chance after every death."""
+    states = feed.alive_after(deaths(t), teams(t)).withColumn("won", (F.col("victim") + F.col("round")) % 2 == 0)
+    return feed.timeline(states, feed.state_table(feed.both_views(states)), F.lit(0)).select("seq", F.round("p_side", 6).alias("p_side"))
+
+
+@query("rt_rollup", """WITH p AS (SELECT o_orderkey AS series, [1 / (1 + exp(-(o_totalprice - 150000) / (50000.0 + 30000 * i))) FOR i IN range(5)] AS p FROM orders),
+w AS (SELECT series, m, list_aggregate([CASE WHEN (m >> i) & 1 = 1 THEN p[i + 1] ELSE 1 - p[i + 1] END FOR i IN range(5)], 'product') AS q FROM p, range(32) t(m) WHERE bit_count(m::INTEGER) >= 3)
+SELECT series, round(sum(q), 6) AS p FROM w GROUP BY series""")
+def rt_rollup(t: Tables):
+    """Chances on five maps rolled up to a best-of-five series."""
+    chances = [1 / (1 + F.exp(-(F.col("o_totalprice") - 150000) / (50000.0 + 30000 * i))) for i in range(5)]
+    return t("orders").select(F.col("o_orderkey").alias("series"), *(c.alias(f"p{i}") for i, c in enumerate(chances))).select("series", F.round(maps.series_probability([F.col(f"p{i}") for i in range(5)]), 6).alias("p"))
+
+
 @query("ev_overview", f"WITH {TRADES} SELECT round, CAST(count(*) AS BIGINT) AS deaths, round(avg(CAST(traded AS INT)), 6) AS traded_share, round(avg(CAST(answered AS INT)), 6) AS answered_share FROM tr GROUP BY round")
 def ev_overview(t: Tables):
     tr = feed.trades(deaths(t), teams(t))

@@ -81,6 +81,18 @@ def bodies(t: Tables):
     return t("events").select("event_id", F.to_date("ts").alias("game"), F.hour("ts").alias("round"), at.alias("at"), F.when(shape == 0, nested).when(shape == 1, flat).otherwise(F.col("props")).alias("body"))
 
 
+@query("src_xform", """SELECT o_orderkey AS series, CAST(l_linenumber % 3 AS INTEGER) AS ordinal, 'm' || (l_linenumber % 3) AS mode, l_suppkey AS player, l_quantity AS kills, l_linenumber AS deaths, l_returnflag AS flag, o_orderpriority AS event,
+CAST((SELECT count(DISTINCT x.l_linenumber % 3) FROM lineitem x WHERE x.l_orderkey = o_orderkey) AS INTEGER) AS maps FROM orders JOIN lineitem ON l_orderkey = o_orderkey""")
+def src_xform(t: Tables):
+    """Every order as the nested snapshot of a series, and back to rows of series and of lines."""
+    line = F.struct(F.col("l_suppkey").alias("player"), F.col("l_quantity").alias("kills"), F.col("l_linenumber").alias("deaths"), F.create_map(F.lit("flag"), F.col("l_returnflag")).alias("extras"))
+    games = t("lineitem").groupBy(F.col("l_orderkey").alias("id"), (F.col("l_linenumber") % 3).alias("ordinal")).agg(F.collect_list(line).alias("lines"))
+    game = F.struct("ordinal", F.concat(F.lit("m"), F.col("ordinal")).alias("mode"), "lines")
+    snapshots = games.groupBy("id").agg(F.collect_list(game).alias("maps")).join(t("orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("event")), "id").select(F.to_json(F.struct("id", "event", "maps")).alias("body"))
+    rows = records.line_rows(snapshots).withColumn("flag", F.col("extras")["flag"]).drop("extras")
+    return rows.join(records.series_rows(snapshots), "series")
+
+
 @query("src_probe", "SELECT event_id, CASE WHEN event_id % 3 = 2 OR event_id % 11 = 0 THEN 'none' WHEN event_id % 3 = 0 THEN 'nested' ELSE 'flat' END AS shape FROM events")
 def src_probe(t: Tables):
     return bodies(t).select("event_id", records.death_shape(F.col("body")).alias("shape"))

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from matchloom.functions.values import age_in_years, handle_key, number_or_null, season_year, slug
+from matchloom.functions.values import age_in_years, handle_key, number_or_null, season_year, slug, trigram_similarity
 from matchloom.plans.base import Tables, query
 
 
@@ -141,6 +141,16 @@ def fn_type(t: Tables):
     )
 
 
+_PIECES = lambda x: f"list_distinct(flatten([[substr('  ' || w || ' ', i, 3) FOR i IN range(1, len(w) + 2)] FOR w IN regexp_extract_all(lower({x}), '[a-z0-9]+')]))"
+
+
+@query("fn_trigram", f"""WITH c AS (SELECT s_suppkey, s_name, n_name, {_PIECES("s_name")} AS x, {_PIECES("n_name || ' supplier 17'")} AS y FROM supplier JOIN nation ON n_nationkey = s_nationkey)
+SELECT s_suppkey, round(len(list_intersect(x, y)) / CAST(len(list_distinct(x || y)) AS DOUBLE), 6) AS similarity FROM c""")
+def fn_trigram(t: Tables):
+    rows = t("supplier").join(t("nation"), F.col("n_nationkey") == F.col("s_nationkey"))
+    return rows.select("s_suppkey", F.round(trigram_similarity(F.col("s_name"), F.concat("n_name", F.lit(" supplier 17"))), 6).alias("similarity"))
+
+
 @query("fn_special", """SELECT p_partkey, round(((w + 1.9208) / (n + 3.8416)) - 1.96 * sqrt(w * (n - w) / n + 0.9604) / (n + 3.8416), 6) AS low,
 round(((w + 1.9208) / (n + 3.8416)) + 1.96 * sqrt(w * (n - w) / n + 0.9604) / (n + 3.8416), 6) AS high
 FROM (SELECT p_partkey, CAST(p_size AS DOUBLE) AS w, 60.0::DOUBLE AS n FROM part)""")

@@ -214,6 +214,16 @@ CHECKS = [
 ]
 
 
+@query("qa_gate", """WITH f AS (SELECT 'unknown status' AS n, count(*) AS k FROM orders WHERE o_orderstatus NOT IN ('F', 'O', 'P') UNION ALL SELECT 'negative price', count(*) FROM orders WHERE o_totalprice < 0
+UNION ALL SELECT 'duplicate order', count(*) FROM (SELECT 1 FROM orders GROUP BY o_orderkey HAVING count(*) > 1) UNION ALL SELECT 'order without customer', count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)
+UNION ALL SELECT 'line without order', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders) UNION ALL SELECT 'full discount', count(*) FROM lineitem WHERE l_discount >= 0.1)
+SELECT count(*) FILTER (WHERE k > 0) = 0 AS passes, coalesce(string_agg(n, ',' ORDER BY n) FILTER (WHERE k > 0), '') AS failed FROM f""")
+def qa_gate(t: Tables):
+    """The hard checks, and one that discounts stay below a tenth."""
+    hard = [c for c in CHECKS if c.hard] + [quality.Check("full discount", lambda x: x["lineitem"].filter("l_discount >= 0.1"))]
+    return quality.gate(quality.report(hard, {n: t(n) for n in ("orders", "customer", "lineitem")}))
+
+
 @query("qa_hard", """SELECT 'negative price' AS check_name, true AS hard, (SELECT CAST(count(*) AS BIGINT) FROM orders WHERE o_totalprice < 0) AS failing
 UNION ALL SELECT 'duplicate order', true, (SELECT CAST(count(*) AS BIGINT) FROM (SELECT 1 FROM orders GROUP BY o_orderkey HAVING count(*) > 1))
 UNION ALL SELECT 'order without customer', true, (SELECT CAST(count(*) AS BIGINT) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer))

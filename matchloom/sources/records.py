@@ -82,6 +82,22 @@ def deaths(entries: DataFrame, unit: str, team: Callable[[Column], Column]) -> D
     return named.withColumn("kind", death_kind(F.col("victim"), F.col("killer"), team("victim"), team("killer")))
 
 
+#: A series snapshot: its maps, and the lines of its players on each.
+SNAPSHOT = "id long, event string, maps array<struct<ordinal:int,mode:string,lines:array<struct<player:long,kills:double,deaths:int,extras:map<string,string>>>>>"
+
+
+def series_rows(snapshots: DataFrame) -> DataFrame:
+    """series, event, maps (their number) of snapshots (body)."""
+    s = snapshots.select(F.from_json("body", SNAPSHOT).alias("s")).filter("s.id is not null")
+    return s.select(F.col("s.id").alias("series"), F.col("s.event").alias("event"), F.coalesce(F.size("s.maps"), F.lit(0)).alias("maps"))
+
+
+def line_rows(snapshots: DataFrame) -> DataFrame:
+    """series, ordinal, mode, player, kills, deaths, extras: a row per player and map of snapshots (body)."""
+    maps_ = snapshots.select(F.from_json("body", SNAPSHOT).alias("s")).select(F.col("s.id").alias("series"), F.inline("s.maps"))
+    return maps_.select("series", "ordinal", "mode", F.inline("lines"))
+
+
 def rounds(marks: DataFrame) -> DataFrame:
     """game, round, score1, score2, started, ended, winner_side (0: none) from start and end marks with cumulative scores."""
     at = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
