@@ -222,6 +222,35 @@ def logistic_by(df: DataFrame, keys: list[str], features: list[str], target: str
     return state.select(*keys, "n", *(F.col(f"__b{i}").alias(name) for i, name in enumerate(names)))
 
 
+def form(series: DataFrame, last: int = 5) -> DataFrame:
+    """The series (pool, series, at, a, b, a_won) with form and h2h: what was known of the two sides before it.
+
+    form: side a's share of wins in its last series less side b's; h2h: side a's share of the earlier series against b, less
+    one half. A side without a past counts as one half.
+    """
+    side = lambda x, y, won: F.struct(F.col(x).alias("side"), F.col(y).alias("other"), won.cast("double").alias("won"))
+    both = series.select("pool", "series", "at", F.inline(F.array(side("a", "b", F.col("a_won")), side("b", "a", ~F.col("a_won")))))
+    recent = Window.partitionBy("pool", "side").orderBy("at", "series").rowsBetween(-last, -1)
+    met = Window.partitionBy("pool", "side", "other").orderBy("at", "series").rowsBetween(Window.unboundedPreceding, -1)
+    known = both.select("pool", "series", "side", F.coalesce(F.avg("won").over(recent), F.lit(0.5)).alias("recent"), (F.coalesce(F.avg("won").over(met), F.lit(0.5)) - 0.5).alias("h2h"))
+    of = lambda x: known.select("pool", "series", F.col("side").alias(x), F.col("recent").alias(f"__{x}"), *(["h2h"] if x == "a" else []))
+    joined = series.join(of("a"), ["pool", "series", "a"]).join(of("b"), ["pool", "series", "b"])
+    return joined.select(*series.columns, (F.col("__a") - F.col("__b")).alias("form"), "h2h")
+
+
+def walk_forward(df: DataFrame, period: str, features: list[str], target: str) -> DataFrame:
+    """The rows with p, each by a regression of all earlier periods' rows; the first period has no forecast and is left out.
+
+    Periods are few (seasons): a row is copied to each later period, and all periods are fitted at once.
+    """
+    later = df.select(F.col(period).alias("__at")).distinct()
+    past = df.join(F.broadcast(later), F.col(period) < F.col("__at")) if later.count() <= 1000 else df.join(later, F.col(period) < F.col("__at"))
+    weights = logistic_by(past.select(F.col("__at").alias(period), *features, target), [period], features, target)
+    named = weights.select(period, *(F.col(c).alias(f"__w_{c}") for c in ["intercept", *features]))
+    score = sum((F.col(f"__w_{c}") * F.col(c) for c in features), F.col("__w_intercept"))
+    return df.join(named, period).withColumn("p", 1 / (1 + F.exp(-score))).select(*df.columns, "p")
+
+
 #: Columns up to which plus-minus solves its normal equations on the driver.
 MOST_COLUMNS = 4000
 

@@ -50,6 +50,13 @@ def compared(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.withColumn("verdict", verdict)
 
 
+def artifact(artifacts: DataFrame, runs: DataFrame, name: str) -> DataFrame:
+    """model, run_id, payload: the artifact of that name of each model's newest run that has one (artifacts: run_id, name, payload)."""
+    held = artifacts.filter(F.col("name") == name).join(runs.select(F.col("id").alias("run_id"), "model", "created_at"), "run_id")
+    best = F.max_by(F.struct("run_id", "payload"), F.struct("created_at", "run_id"))
+    return held.groupBy("model").agg(best.alias("r")).select("model", "r.*")
+
+
 def last_two(runs: DataFrame) -> DataFrame:
     """model, latest, previous: ids of each model's two newest runs."""
     n = F.row_number().over(Window.partitionBy("model").orderBy(F.desc("created_at"), F.desc("id")))

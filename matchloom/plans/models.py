@@ -250,10 +250,11 @@ def ev_states(t: Tables):
 
 
 @query("ev_adv", f"""WITH {ALIVE}, u AS (SELECT game, round, arg_min(team, ord) AS team, arg_min(own > opponents, ord) AS ahead FROM st WHERE own <> opponents GROUP BY 1, 2)
-SELECT game, round, unnest([team, 1 - team]) AS team, CAST(unnest([CASE WHEN ahead THEN 1 ELSE -1 END, CASE WHEN ahead THEN -1 ELSE 1 END]) AS INTEGER) AS sign FROM u""")
+SELECT *, team = round % 2 AS won FROM (SELECT game, round, unnest([team, 1 - team]) AS team, CAST(unnest([CASE WHEN ahead THEN 1 ELSE -1 END, CASE WHEN ahead THEN -1 ELSE 1 END]) AS INTEGER) AS sign FROM u)""")
 def ev_adv(t: Tables):
-    none = t.spark.createDataFrame([], "game date, round int, team long")
-    return feed.advantages(deaths(t), teams(t), none).select("game", "round", "team", "sign")
+    """A round's number says who won it."""
+    winners = deaths(t).select("game", "round", (F.col("round") % 2).cast("long").alias("team")).distinct()
+    return feed.advantages(deaths(t), teams(t), winners).select("game", "round", "team", "sign", "won")
 
 
 @query("ev_thrown", f"WITH {ALIVE} SELECT victim AS player, CAST(count(*) AS BIGINT) AS thrown FROM st WHERE own + 1 > opponents GROUP BY victim")
@@ -330,6 +331,42 @@ def rt_glicko(t: Tables):
     return ratings.glicko2(periods).select("pool", "period", "side", *(F.round(c, 6).alias(c) for c in ("rating", "deviation", "volatility")))
 
 
+def newton_sql(rounds: int = 10, keys: str = "one") -> str:
+    """CTEs b0, b1, ... of the weights w0, w1, w2 by keys of logistic regressions of y on x1, x2 of a CTE d, whose penalty is 1."""
+    steps = [f"b0 AS MATERIALIZED (SELECT {keys}, count(*) AS n, 0.0::DOUBLE AS w0, 0.0::DOUBLE AS w1, 0.0::DOUBLE AS w2 FROM d GROUP BY {keys})"]
+    for i in range(rounds):
+        steps.append(f"""s{i} AS MATERIALIZED (SELECT {keys}, sum(y - p) AS g0, sum(x1 * (y - p)) - any_value(w1) AS g1, sum(x2 * (y - p)) - any_value(w2) AS g2, sum(v) AS a, sum(x1 * v) AS b, sum(x2 * v) AS c, sum(x1 * x1 * v) + 1 AS e, sum(x1 * x2 * v) AS f, sum(x2 * x2 * v) + 1 AS h
+FROM (SELECT *, p * (1 - p) AS v FROM (SELECT *, 1 / (1 + exp(-(w0 + w1 * x1 + w2 * x2))) AS p FROM d JOIN b{i} USING ({keys}))) GROUP BY {keys}),
+b{i + 1} AS MATERIALIZED (SELECT {keys}, n, w0 + ((e * h - f * f) * g0 + (c * f - b * h) * g1 + (b * f - c * e) * g2) / det AS w0, w1 + ((c * f - b * h) * g0 + (a * h - c * c) * g1 + (b * c - a * f) * g2) / det AS w1,
+w2 + ((b * f - c * e) * g0 + (b * c - a * f) * g1 + (a * e - b * b) * g2) / det AS w2 FROM (SELECT *, a * (e * h - f * f) + b * (c * f - b * h) + c * (b * f - c * e) AS det FROM s{i} JOIN b{i} USING ({keys})))""")
+    return ", ".join(steps)
+
+
+def weights_sql(names: tuple[str, str], column: str, rounds: int = 10) -> str:
+    return f"SELECT unnest(['intercept', '{names[0]}', '{names[1]}']) AS {column}, unnest([round(w0, 5), round(w1, 5), round(w2, 5)]) AS weight FROM b{rounds}"
+
+
+FORM = """s AS (SELECT o_orderpriority AS pool, o_orderkey AS k, o_orderdate AS played, o_custkey % 25 AS a, o_orderkey % 25 AS b, o_totalprice > 150000 AS w FROM orders WHERE o_custkey % 25 <> o_orderkey % 25),
+g AS (SELECT pool, k, played, a AS side, b AS other, CAST(w AS DOUBLE) AS won FROM s UNION ALL SELECT pool, k, played, b, a, CAST(NOT w AS DOUBLE) FROM s),
+x AS MATERIALIZED (SELECT pool, k, side, coalesce(avg(won) OVER (PARTITION BY pool, side ORDER BY played, k ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), 0.5) AS recent,
+coalesce(avg(won) OVER (PARTITION BY pool, side, other ORDER BY played, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.5) - 0.5 AS h2h FROM g),
+fm AS MATERIALIZED (SELECT s.pool, s.k, CAST(year(s.played) AS INTEGER) AS season, s.w, x.recent - y.recent AS form, x.h2h FROM s JOIN x ON x.pool = s.pool AND x.k = s.k AND x.side = s.a JOIN x y ON y.pool = s.pool AND y.k = s.k AND y.side = s.b)"""
+
+
+@query("rt_form", f"WITH {FORM} SELECT k AS series, round(form, 6) AS form, round(h2h, 6) AS h2h FROM fm")
+def rt_form(t: Tables):
+    return ratings.form(series(t)).select("series", F.round("form", 6).alias("form"), F.round("h2h", 6).alias("h2h"))
+
+
+@query("rt_winprob", f"""WITH {FORM}, d AS MATERIALIZED (SELECT q.season, form AS x1, h2h AS x2, CAST(w AS DOUBLE) AS y FROM fm JOIN (SELECT DISTINCT season FROM fm) q ON fm.season < q.season), {newton_sql(10, "season")}
+SELECT season, CAST(count(*) AS BIGINT) AS n, round(avg(pow(1 / (1 + exp(-(w0 + w1 * form + w2 * h2h))) - CAST(w AS INT), 2)), 6) AS brier FROM fm JOIN b10 USING (season) GROUP BY season""")
+def rt_winprob(t: Tables):
+    """Forecasts from form and earlier meetings, refitted on all earlier seasons before each one."""
+    rows = ratings.form(series(t)).withColumn("season", F.year("at")).withColumnRenamed("a_won", "won")
+    forecast = ratings.walk_forward(rows.select("season", "form", "h2h", "won"), "season", ["form", "h2h"], "won")
+    return ratings.backtest(forecast, ["season"]).select("season", "n", F.round("brier", 6).alias("brier"))
+
+
 PRED = "pr AS (SELECT o_orderpriority AS pool, 1 / (1 + exp(-(o_totalprice - 150000) / 100000)) AS p, o_custkey % 3 > 0 AS won FROM orders)"
 
 
@@ -384,21 +421,6 @@ def st_eb(t: Tables):
     return ratings.empirical_bayes(m, ["mode"]).select("mode", "player", F.round("posterior", 5).alias("posterior"), F.round("shrinkage", 5).alias("shrinkage"))
 
 
-def newton_sql(rounds: int = 10, keys: str = "one") -> str:
-    """CTEs b0, b1, ... of the weights w0, w1, w2 by keys of logistic regressions of y on x1, x2 of a CTE d, whose penalty is 1."""
-    steps = [f"b0 AS MATERIALIZED (SELECT {keys}, count(*) AS n, 0.0::DOUBLE AS w0, 0.0::DOUBLE AS w1, 0.0::DOUBLE AS w2 FROM d GROUP BY {keys})"]
-    for i in range(rounds):
-        steps.append(f"""s{i} AS MATERIALIZED (SELECT {keys}, sum(y - p) AS g0, sum(x1 * (y - p)) - any_value(w1) AS g1, sum(x2 * (y - p)) - any_value(w2) AS g2, sum(v) AS a, sum(x1 * v) AS b, sum(x2 * v) AS c, sum(x1 * x1 * v) + 1 AS e, sum(x1 * x2 * v) AS f, sum(x2 * x2 * v) + 1 AS h
-FROM (SELECT *, p * (1 - p) AS v FROM (SELECT *, 1 / (1 + exp(-(w0 + w1 * x1 + w2 * x2))) AS p FROM d JOIN b{i} USING ({keys}))) GROUP BY {keys}),
-b{i + 1} AS MATERIALIZED (SELECT {keys}, n, w0 + ((e * h - f * f) * g0 + (c * f - b * h) * g1 + (b * f - c * e) * g2) / det AS w0, w1 + ((c * f - b * h) * g0 + (a * h - c * c) * g1 + (b * c - a * f) * g2) / det AS w1,
-w2 + ((b * f - c * e) * g0 + (b * c - a * f) * g1 + (a * e - b * b) * g2) / det AS w2 FROM (SELECT *, a * (e * h - f * f) + b * (c * f - b * h) + c * (b * f - c * e) AS det FROM s{i} JOIN b{i} USING ({keys})))""")
-    return ", ".join(steps)
-
-
-def weights_sql(names: tuple[str, str], column: str, rounds: int = 10) -> str:
-    return f"SELECT unnest(['intercept', '{names[0]}', '{names[1]}']) AS {column}, unnest([round(w0, 5), round(w1, 5), round(w2, 5)]) AS weight FROM b{rounds}"
-
-
 @query("fit_logit", f"""WITH d AS MATERIALIZED (SELECT (o_totalprice - 150000) / 50000 AS x1, CAST(o_custkey % 7 AS DOUBLE) AS x2, CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END AS y, 1 AS one FROM orders), {newton_sql()} {weights_sql(("price", "form"), "term")}""")
 def fit_logit(t: Tables):
     rows = t("orders").select(((F.col("o_totalprice") - 150000) / 50000).alias("price"), (F.col("o_custkey") % 7).alias("form"), (F.col("o_orderstatus") == "F").alias("won"))

@@ -90,6 +90,14 @@ def rd_timeline(t: Tables):
     return t("orders").groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(step)), lambda x: x["s"]), " ").alias("timeline"))
 
 
+@query("rd_art", """SELECT user_id AS model, arg_max(event_id, (ts, event_id)) AS run_id, arg_max(props, (ts, event_id)) AS payload FROM events WHERE event_type = 'view' GROUP BY user_id""")
+def rd_art(t: Tables):
+    """An event is a run of its user's model, and an artifact named by its type."""
+    e = t("events")
+    held = e.select(F.col("event_id").alias("run_id"), F.col("event_type").alias("name"), F.col("props").alias("payload"))
+    return runs.artifact(held, e.select(F.col("event_id").alias("id"), F.col("user_id").alias("model"), F.col("ts").alias("created_at")), "view")
+
+
 @query("rd_feed", """SELECT event_id, CASE WHEN event_type = 'click' THEN c_name WHEN event_type = 'view' THEN s_name END AS subject FROM events
 LEFT JOIN customer ON event_type = 'click' AND c_custkey = user_id LEFT JOIN supplier ON event_type = 'view' AND s_suppkey = user_id""")
 def rd_feed(t: Tables):
