@@ -155,9 +155,10 @@ def calibration(predictions: DataFrame, bins: int = 10) -> DataFrame:
 def logistic(df: DataFrame, features: list[str], target: str, l2: float = 1.0, rounds: int = 50, tol: float = 1e-9) -> np.ndarray:
     """Intercept and weights of a logistic regression with an unpenalised intercept, by Newton's method.
 
-    Each round is one aggregate of the gradient and the upper half of the Hessian, so the data stay where they are and
-    only (features + 1)**2 / 2 sums reach the driver. Fit by standardised features, or choose l2 accordingly.
+    Each round is one aggregate of the gradient and the upper half of the Hessian over the written features, so the input
+    is made once and only (features + 1)**2 / 2 sums reach the driver. Fit by standardised features, or choose l2 accordingly.
     """
+    df = written(df.select(*features, target))
     x = [F.lit(1.0), *(F.col(f).cast("double") for f in features)]
     beta = np.zeros(len(x))
     penalty = np.diag([0.0] + [l2] * len(features))
