@@ -8,6 +8,7 @@ from matchloom.llm.near_dedup import op8_near_dedup
 from matchloom.llm.packing import op4_best_fit_packing
 from matchloom.llm.page_text import op9_page_text
 from matchloom.llm.piece_codec import op6_piece_codec
+from matchloom.llm.sharding import op11_sharding
 from matchloom.llm.substring_dedup import op7_substring_dedup
 from matchloom.llm.token_counts import op10_token_counts
 from matchloom.llm.topk import OP3_SQL, op3_top_k
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_near_dedup": op8_near_dedup,
     "op9_page_text": op9_page_text,
     "op10_token_counts": op10_token_counts,
+    "op11_sharding": op11_sharding,
 }
 ORACLES = {
     "op1_exact_dedup": OP1_SQL,
