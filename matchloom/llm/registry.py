@@ -13,6 +13,7 @@ from matchloom.llm.substring_dedup import op7_substring_dedup
 from matchloom.llm.token_counts import op10_token_counts
 from matchloom.llm.topk import OP3_SQL, op3_top_k
 from matchloom.llm.toxicity import op5_toxicity
+from matchloom.llm.vector_codes import OP13_SQL, op13_vector_codes
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
@@ -26,9 +27,11 @@ QUERIES = {
     "op9_page_text": op9_page_text,
     "op10_token_counts": op10_token_counts,
     "op11_sharding": op11_sharding,
+    "op13_vector_codes": op13_vector_codes,
 }
 ORACLES = {
     "op1_exact_dedup": OP1_SQL,
     "op2_chat": OP2_SQL,
     "op3_top_k": OP3_SQL,
+    "op13_vector_codes": OP13_SQL,
 }
