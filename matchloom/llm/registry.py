@@ -14,6 +14,7 @@ from matchloom.llm.token_counts import op10_token_counts
 from matchloom.llm.topk import OP3_SQL, op3_top_k
 from matchloom.llm.toxicity import op5_toxicity
 from matchloom.llm.vector_codes import OP13_SQL, op13_vector_codes
+from matchloom.llm.whitening import op12_whitening
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_page_text": op9_page_text,
     "op10_token_counts": op10_token_counts,
     "op11_sharding": op11_sharding,
+    "op12_whitening": op12_whitening,
     "op13_vector_codes": op13_vector_codes,
 }
 ORACLES = {
