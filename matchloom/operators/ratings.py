@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchloom.operators.scratch import written
+from matchloom.operators.hierarchy import same, spread
+from matchloom.operators.scratch import forget, written
 
 #: Fixed values of the Elo and Glicko-2 systems.
 ELO_START, ELO_SCALE, ELO_K = 1500.0, 400.0, 32.0
@@ -187,19 +188,22 @@ def standardised(df: DataFrame, keys: list[str], features: list[str]) -> DataFra
     return df.join(moments, keys).withColumns({c: F.try_divide(F.col(c) - F.col(f"__{c}_m"), F.col(f"__{c}_s")) for c in features}).select(*df.columns)
 
 
-def logistic_by(df: DataFrame, keys: list[str], features: list[str], target: str, l2: float = 1.0, rounds: int = 10) -> DataFrame:
+def logistic_by(df: DataFrame, keys: list[str], features: list[str], target: str, l2: float = 1.0, weight: str | None = None, tol: float = 1e-10, rounds: int = 200) -> DataFrame:
     """keys, n, intercept and a weight per feature: the regression of logistic() for every group of rows at once.
 
-    A round is one aggregate of all groups' sums; the groups' weights, a row each, are the state between rounds. Rows with
-    a null feature are left out.
+    target: a result, or the number of results that are 1 in a row that stands for weight results. A round is one aggregate of the
+    sums of the groups that have not settled; the groups' weights, a row each, are the state between rounds. A group settles when no entry of
+    its gradient is above tol times its results, so one whose results are all alike settles too; an error if rounds run out.
+    Rows with a null feature are left out.
     """
     names = ["intercept", *features]
-    rows = written(df.dropna(subset=[*keys, *features, target]).select(*keys, *(F.col(f).cast("double").alias(f) for f in features), F.col(target).cast("double").alias("__y")))
+    times = F.col(weight).cast("double") if weight else F.lit(1.0)
+    rows = written(df.dropna(subset=[*keys, *features, target]).select(*keys, *(F.col(f).cast("double").alias(f) for f in features), F.col(target).cast("double").alias("__y"), times.alias("__t")))
     x = [F.lit(1.0), *(F.col(f) for f in features)]
     size = len(x)
     pairs = [(i, j) for i in range(size) for j in range(i, size)]
-    state = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *(F.lit(0.0).alias(f"__b{i}") for i in range(size)))
-    schema = ", ".join(f"{k} {t}" for k, t in df.select(*keys).dtypes) + ", n long, " + ", ".join(f"__b{i} double" for i in range(size))
+    state = rows.groupBy(*keys).agg(F.sum("__t").alias("n"), *(F.lit(0.0).alias(f"__b{i}") for i in range(size)))
+    schema = ", ".join(f"{k} {t}" for k, t in df.select(*keys).dtypes) + ", n double, " + ", ".join(f"__b{i} double" for i in range(size)) + ", __settled boolean"
 
     def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -210,17 +214,30 @@ def logistic_by(df: DataFrame, keys: list[str], features: list[str], target: str
             g[:, 1:] -= l2 * beta[:, 1:]
             h[:, range(1, size), range(1, size)] += l2
             h += 1e-12 * np.eye(size)
-            new = beta + np.linalg.solve(h, g[:, :, None])[:, :, 0]
-            yield pd.concat([batch[[*keys, "n"]], pd.DataFrame(new, columns=[f"__b{i}" for i in range(size)], index=batch.index)], axis=1)
+            settled = np.abs(g).max(axis=1) <= tol * np.maximum(batch["n"].to_numpy(), 1.0)
+            new = beta + np.where(settled[:, None], 0.0, np.linalg.solve(h, g[:, :, None])[:, :, 0])
+            out = pd.concat([batch[[*keys, "n"]], pd.DataFrame(new, columns=[f"__b{i}" for i in range(size)], index=batch.index)], axis=1)
+            yield out.assign(__settled=settled)
 
+    done: list[DataFrame] = []
     for _ in range(rounds):
         p = 1 / (1 + F.exp(-sum((xi * F.col(f"__b{i}") for i, xi in enumerate(x)), F.lit(0.0))))
-        seen = rows.join(state, keys).withColumn("__p", p).withColumn("__w", F.col("__p") * (1 - F.col("__p")))
+        seen = rows.join(state, keys).withColumn("__p", p).withColumn("__w", F.col("__t") * F.col("__p") * (1 - F.col("__p")))
         sums = seen.groupBy(*keys, "n", *(f"__b{i}" for i in range(size))).agg(
-            *(F.sum(xi * (F.col("__y") - F.col("__p"))).alias(f"__g{i}") for i, xi in enumerate(x)), *(F.sum(x[i] * x[j] * F.col("__w")).alias(f"__h{i}_{j}") for i, j in pairs)
+            *(F.sum(xi * (F.col("__y") - F.col("__t") * F.col("__p"))).alias(f"__g{i}") for i, xi in enumerate(x)), *(F.sum(x[i] * x[j] * F.col("__w")).alias(f"__h{i}_{j}") for i, j in pairs)
         )
-        state = written(sums.mapInPandas(step, schema))
-    return state.select(*keys, "n", *(F.col(f"__b{i}").alias(name) for i, name in enumerate(names)))
+        moved = written(sums.mapInPandas(step, schema))
+        done.append(moved.filter("__settled"))
+        state = moved.filter("not __settled").drop("__settled")
+        if state.isEmpty():
+            break
+    else:
+        raise ArithmeticError(f"groups without settled weights after {rounds} rounds")
+    forget(rows)
+    found = done[0]
+    for part in done[1:]:
+        found = found.unionByName(part)
+    return found.select(*keys, F.col("n").cast("long").alias("n"), *(F.col(f"__b{i}").alias(name) for i, name in enumerate(names)))
 
 
 def form(series: DataFrame, last: int = 5) -> DataFrame:
@@ -252,45 +269,16 @@ def walk_forward(df: DataFrame, period: str, features: list[str], target: str) -
     return df.join(named, period).withColumn("p", 1 / (1 + F.exp(-score))).select(*df.columns, "p")
 
 
-#: Columns up to which plus-minus solves its normal equations on the driver.
-MOST_COLUMNS = 4000
-
-
-def plus_minus(sides: DataFrame, margins: DataFrame, ridge: float = 10.0) -> list[tuple]:
-    """(player, value) of a ridge regression of map margins on line-ups.
-
-    sides: game, player, sign (+1 or -1); margins: game, margin. The normal equations are summed in Spark by a join of
-    each game's line-up with itself (ten players at most), and solved on the driver, for at most MOST_COLUMNS players.
-    """
-    rows = sides.join(margins, "game")
-    rhs = {r["player"]: r["v"] for r in rows.groupBy("player").agg(F.sum(F.col("sign") * F.col("margin")).alias("v")).limit(MOST_COLUMNS + 1).collect()}
-    if len(rhs) > MOST_COLUMNS:
-        raise ValueError(f"more than {MOST_COLUMNS} players: fit by season or era")
-    players = sorted(rhs)
-    at = {p: i for i, p in enumerate(players)}
-    other = sides.select("game", F.col("player").alias("mate"), F.col("sign").alias("mate_sign"))
-    played = sides.join(margins.select("game"), "game", "left_semi")
-    gram = ridge * np.eye(len(players))
-    cells = played.join(other, "game").groupBy("player", "mate").agg(F.sum(F.col("sign") * F.col("mate_sign")).alias("v"))
-    for r in cells.toLocalIterator():
-        gram[at[r["player"]], at[r["mate"]]] += r["v"]
-    beta = np.linalg.solve(gram, np.array([float(rhs[p]) for p in players])) if players else []
-    return [(p, float(b)) for p, b in zip(players, beta)]
-
-
-def empirical_bayes(means: DataFrame, cohort: list[str], rounds: int = 8) -> DataFrame:
+def empirical_bayes(means: DataFrame, cohort: list[str]) -> DataFrame:
     """Adds mu, tau2, shrinkage and posterior to rows (cohort, mean, variance of the mean): a normal-normal model.
 
-    The spread starts from its moment estimate and takes the given number of EM rounds. The cohorts' (mu, tau2) are the
-    state, one row each; every round is one aggregate over the rows, so no cohort is gathered in a task.
+    The cohorts' spread is fitted until it settles, see hierarchy.spread(); a row's posterior keeps the share of its distance
+    from mu that its variance leaves.
     """
-    state = means.groupBy(*cohort).agg(F.avg("mean").alias("mu"), F.greatest(F.coalesce(F.var_samp("mean"), F.lit(0.0)) - F.avg("variance"), F.lit(1e-9)).alias("tau2"))
-    weight = F.col("tau2") / (F.col("tau2") + F.col("variance"))
-    for _ in range(rounds):
-        post = means.join(state, cohort).withColumns({"m": F.col("mu") + weight * (F.col("mean") - F.col("mu")), "v": weight * F.col("variance")})
-        new = post.groupBy(*cohort).agg(F.avg("m").alias("mu"), (F.avg("v") + F.avg(F.col("m") * F.col("m")) - F.avg("m") * F.avg("m")).alias("tau2"))
-        state = written(new)
-    return means.join(state, cohort).withColumns({"shrinkage": weight, "posterior": F.col("mu") + weight * (F.col("mean") - F.col("mu"))})
+    fitted = spread(means, cohort).select(*cohort, "mu", "tau2")
+    both = means.alias("m").join(fitted.alias("f"), same("m", "f", cohort)).select("m.*", "f.mu", "f.tau2")
+    weight = F.coalesce(F.try_divide(F.col("tau2"), F.col("tau2") + F.col("variance")), F.lit(0.0))
+    return both.withColumns({"shrinkage": weight, "posterior": F.col("mu") + weight * (F.col("mean") - F.col("mu"))})
 
 
 def adjusted_p(tests: DataFrame, family: list[str], tie: list[str]) -> DataFrame:

@@ -67,18 +67,25 @@ def race_chances(rotations: DataFrame, keys: list[str], a: float = 1.0, sigma: f
     """keys and the chance of each event, of races whose maps have no memory.
 
     rotations: keys, logits: the first side's strength on each of the 2 * target - 1 maps of the rotation. A map is won with
-    probability sigmoid(a * logit + sigma * u), u standard normal, one for a whole series, averaged over the nodes. The paths
-    are a table joined to the series; its products are summed where they are made.
+    probability sigmoid(a * logit + sigma * u), u standard normal, one for a whole series, averaged over the nodes. Every race is a
+    product of its maps' chances; an event's chance is the sum over the races that have it, one expression of a row.
     """
     nodes, weights = gauss_hermite() if sigma else (np.zeros(1), np.ones(1))
     node = F.explode(F.array(*(F.struct(F.lit(float(u)).alias("u"), F.lit(float(w)).alias("w")) for u, w in zip(nodes, weights)))).alias("node")
-    path = F.explode(F.array(*(F.array(*(F.lit(x) for x in p)) for p in race_paths(target)))).alias("path")
-    chances = F.transform("logits", lambda x: 1 / (1 + F.exp(-(a * x + sigma * F.col("node.u")))))
-    met = F.zip_with("path", F.slice("p", 1, F.size("path")), lambda x, p: F.when(x == 1, p).otherwise(1 - p))
-    paths = rotations.select(*keys, "logits", node).select(*keys, F.col("node.w").alias("w"), chances.alias("p")).select(*keys, "w", "p", path)
-    chance = F.col("w") * F.aggregate(met, F.lit(1.0), lambda q, x: q * x)
-    events = race_events(F.col("path"), target)
-    return paths.select(*keys, chance.alias("chance"), *events.values()).groupBy(*keys).agg(*(F.sum(F.col("chance") * F.col(e)).alias(e) for e in EVENTS))
+    most = 2 * target - 1
+    each = rotations.select(*keys, node, *(F.col("logits")[i].alias(f"x{i}") for i in range(most)))
+    chances = each.select(*keys, F.col("node.w").alias("w"), *((1 / (1 + F.exp(-(a * F.col(f"x{i}") + sigma * F.col("node.u"))))).alias(f"p{i}") for i in range(most)))
+    parts = []
+    for i in range(len(EVENTS)):
+        races = [math.prod((F.col(f"p{n}") if x else 1 - F.col(f"p{n}") for n, x in enumerate(path)), start=F.col("w")) for path in race_paths(target) if path_events(path, target)[i]]
+        parts.append(F.sum(sum(races[1:], races[0])).alias(EVENTS[i]))
+    return chances.groupBy(*keys).agg(*parts)
+
+
+def path_events(path: tuple[int, ...], target: int = TARGET) -> tuple[bool, ...]:
+    """The events of a race, in the order of EVENTS."""
+    won = sum(path) == target
+    return won, path[0] == won, len(path) == target, len(path) == 2 * target - 1, all(x != won for x in path[: target - 1])
 
 
 def gauss_hermite(n: int = NODES) -> tuple[np.ndarray, np.ndarray]:

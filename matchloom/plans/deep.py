@@ -273,12 +273,14 @@ _MIX = "(((k * 48271 + r * 16807) % 2147483647) * ((k * 48271 + r * 16807) % 214
 @query("st_pair", f"""WITH d AS (SELECT o_orderkey, o_orderpriority AS pool, pow(1 / (1 + exp(-(o_totalprice - 150000) / 100000)) - CAST(o_custkey % 3 > 0 AS INT), 2) - 0.25 AS gap, {_NUMBER} FROM orders),
 y AS (SELECT pool, gap, r, {_MIX} AS m FROM d, range(1, 2001) t(r)), x AS (SELECT *, (m * m % 2147483647) >> 15 AS u FROM y), w AS (SELECT pool, r, gap, CASE WHEN u < 24109 THEN 0 WHEN u < 48218 THEN 1 WHEN u < 60273 THEN 2 WHEN u < 64291 THEN 3 ELSE 4 END AS w FROM x),
 m AS (SELECT pool, r, sum(w * gap) / nullif(sum(w), 0) AS m FROM w GROUP BY 1, 2), s AS (SELECT pool, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM m GROUP BY 1)
-SELECT pool, round(a.mean, 6) AS mean, round(low, 6) AS low, round(high, 6) AS high FROM (SELECT pool, avg(gap) AS mean FROM d GROUP BY 1) a JOIN s USING (pool)""")
+SELECT pool, a.n, round(a.mean, 6) AS mean, round(low, 6) AS low, round(high, 6) AS high, low > 0 OR high < 0 AS excludes_zero, round(a.mean / se, 5) AS dm_t, round(2.801585 * se, 6) AS mde80
+FROM (SELECT pool, count(*) AS n, avg(gap) AS mean, stddev_samp(gap) / sqrt(count(*)) AS se FROM d GROUP BY 1) a JOIN s USING (pool)""")
 def st_pair(t: Tables):
-    """The gap of two forecasts' Brier scores, with an interval from content-seeded resampling."""
+    """The gap of two forecasts' Brier scores: an interval from content-seeded resampling, the Diebold-Mariano statistic, the gap that could be found."""
     p = 1 / (1 + F.exp(-(F.col("o_totalprice") - 150000) / 100000))
     d = t("orders").select("o_orderkey", F.col("o_orderpriority").alias("pool"), (F.pow(p - (F.col("o_custkey") % 3 > 0).cast("int"), F.lit(2.0)) - 0.25).alias("gap"))
-    return resample.bootstrap_mean(d, "o_orderkey", "gap", ["pool"], 2000).select("pool", *(F.round(c, 6).alias(c) for c in ("mean", "low", "high")))
+    found = resample.paired_gaps(d, "o_orderkey", "gap", ["pool"])
+    return found.select("pool", "n", *(F.round(c, 6).alias(c) for c in ("mean", "low", "high")), "excludes_zero", F.round("dm_t", 5).alias("dm_t"), F.round("mde80", 6).alias("mde80"))
 
 
 @query("val_overlap", CAREER + """, a AS (SELECT player, season, credit, row_number() OVER (PARTITION BY season ORDER BY credit DESC, player) AS rk, row_number() OVER (PARTITION BY season ORDER BY player % 13 DESC, player) AS award, count(*) OVER (PARTITION BY season) AS field FROM c)

@@ -406,16 +406,17 @@ def st_rank(t: Tables):
     return r.agg(F.round(F.corr("k", "d"), 6).alias("pearson"), F.round(F.corr("rk", "rd"), 6).alias("spearman"))
 
 
-_EB = ", ".join(
-    f"""p{i} AS MATERIALIZED (SELECT m.*, mu, tau2, mu + tau2 / (tau2 + variance) * (mean - mu) AS post, tau2 / (tau2 + variance) * variance AS pv FROM m JOIN e{i} USING (mode)),
-e{i + 1} AS MATERIALIZED (SELECT mode, avg(post) AS mu, avg(pv) + avg(post * post) - avg(post) * avg(post) AS tau2 FROM p{i} GROUP BY mode)"""
-    for i in range(8)
-)
+def spread_sql(source: str, key: str, rounds: int = 200) -> str:
+    """A CTE e of key, mu, tau2: maximum likelihood of the rows (mean, variance) of a CTE, by halving an interval in which the likelihood's slope changes its sign."""
+    w, mu = "1 / (t + q[2])", "list_sum([q[1] / (t + q[2]) FOR q IN z]) / list_sum([1 / (t + q[2]) FOR q IN z])"
+    return f"""h0 AS (SELECT {key}, 0 AS i, 0.0::DOUBLE AS lo, 2 * var_samp(mean) + 1e-9 AS hi, list([mean, variance]) AS z FROM {source} GROUP BY {key}),
+h AS (SELECT * FROM h0 UNION ALL SELECT {key}, i + 1, CASE WHEN slope > 0 THEN t ELSE lo END, CASE WHEN slope > 0 THEN hi ELSE t END, z FROM
+(SELECT *, list_sum([pow((q[1] - mu) / (t + q[2]), 2) - {w} FOR q IN z]) AS slope FROM (SELECT *, {mu} AS mu FROM (SELECT *, (lo + hi) / 2 AS t FROM h WHERE i < {rounds})))),
+e AS (SELECT {key}, {mu} AS mu, CASE WHEN t < 1e-9 THEN 0 ELSE t END AS tau2 FROM (SELECT *, (lo + hi) / 2 AS t FROM h WHERE i = {rounds}))"""
 
 
-@query("st_eb", f"""WITH {LINES}, m AS MATERIALIZED (SELECT mode, player, avg(kills) AS mean, var_samp(kills) / count(*) AS variance FROM lines GROUP BY 1, 2 HAVING var_samp(kills) > 0),
-e0 AS MATERIALIZED (SELECT mode, avg(mean) AS mu, greatest(coalesce(var_samp(mean), 0) - avg(variance), 1e-9) AS tau2 FROM m GROUP BY mode), {_EB}
-SELECT mode, player, round(mu + tau2 / (tau2 + variance) * (mean - mu), 5) AS posterior, round(tau2 / (tau2 + variance), 5) AS shrinkage FROM m JOIN e8 USING (mode)""")
+@query("st_eb", f"""WITH RECURSIVE {LINES}, m AS MATERIALIZED (SELECT mode, player, avg(kills) AS mean, var_samp(kills) / count(*) AS variance FROM lines GROUP BY 1, 2 HAVING var_samp(kills) > 0), {spread_sql("m", "mode")}
+SELECT mode, player, round(mu + tau2 / (tau2 + variance) * (mean - mu), 5) AS posterior, round(tau2 / (tau2 + variance), 5) AS shrinkage FROM m JOIN e USING (mode)""")
 def st_eb(t: Tables):
     m = lines(t).groupBy("mode", "player").agg(F.avg("kills").alias("mean"), (F.var_samp("kills") / F.count(F.lit(1))).alias("variance")).filter("variance > 0")
     return ratings.empirical_bayes(m, ["mode"]).select("mode", "player", F.round("posterior", 5).alias("posterior"), F.round("shrinkage", 5).alias("shrinkage"))
@@ -428,13 +429,6 @@ def fit_logit(t: Tables):
     return t.spark.createDataFrame([(n, round(float(b), 5)) for n, b in zip(("intercept", "price", "form"), beta)], "term string, weight double")
 
 
-@query("rapm")
-def rapm(t: Tables):
-    sides = t("lineitem").select(F.col("l_orderkey").alias("game"), (F.col("l_suppkey") % 100).alias("player"), F.when(F.col("l_linenumber") % 2 == 0, 1).otherwise(-1).alias("sign")).distinct()
-    margins = t("orders").select(F.col("o_orderkey").alias("game"), ((F.col("o_totalprice") - 150000) / 1000).alias("margin"))
-    return t.spark.createDataFrame([(int(p), round(v, 5)) for p, v in ratings.plus_minus(sides, margins)], "player long, value double")
-
-
 # --- career -------------------------------------------------------------------------------------------------------
 
 CAREER = f"""WITH {LINES}, s AS (SELECT player, season, sum(kills) / sum(deaths) AS v, count(*) AS maps FROM lines GROUP BY 1, 2),

@@ -8,7 +8,7 @@ from io import BytesIO
 import pytest
 from pyspark.sql import functions as F
 
-from matchloom.operators import cohort, findings, metrics, quality, ratings, reports, runs
+from matchloom.operators import cohort, findings, linear, metrics, quality, ratings, reports, runs
 from matchloom.operators.blend import weighted_present
 from matchloom.operators.ordering import average_rank, numbered
 from matchloom.sources import records
@@ -63,14 +63,20 @@ def test_logistic_and_plus_minus_recover_what_was_planted(spark):
     sides = spark.createDataFrame([(g, p, 1 if i < 2 else -1) for g in range(200) for i, p in enumerate(rng.permutation(6)[:4].tolist())], "game int, player int, sign int")
     strength = spark.createDataFrame([(p, float(p)) for p in range(6)], "player int, s double")
     margins = sides.join(strength, "player").groupBy("game").agg(F.sum(F.col("sign") * F.col("s")).alias("margin"))
-    got = dict(ratings.plus_minus(sides, margins, ridge=1e-3))
+    right = sides.join(margins, "game").groupBy(F.col("player").alias("i"), F.lit(0).alias("k")).agg(F.sum(F.col("sign") * F.col("margin")).alias("b"))
+    systems = spark.createDataFrame([(0, 1e-3, 0.0)], "k int, ridge double, walk double")
+    cells = linear.gram(sides.select("game", F.col("player").alias("column"), "sign"), "game").withColumn("w", F.lit(None).cast("double"))
+    got = {r.i: r.x for r in linear.solve(cells, right, systems).collect()}
     assert [round(got[p] - got[0]) for p in range(6)] == list(range(6))
 
 
 def test_empirical_bayes_shrinks_towards_the_mean(spark):
     df = spark.createDataFrame([("c", 1.0, 0.5), ("c", 2.0, 0.5), ("c", 6.0, 8.0)], "k string, mean double, variance double")
     rows = {r.mean: r for r in ratings.empirical_bayes(df, ["k"]).collect()}
-    assert rows[6.0].posterior < 6 and rows[1.0].posterior > 1 and rows[6.0].shrinkage < rows[1.0].shrinkage
+    assert rows[6.0].posterior < 6 and rows[1.0].posterior > 1 and rows[6.0].tau2 == 0  # their variances explain all of the spread
+    apart = spark.createDataFrame([("c", 1.0, 0.5), ("c", 4.0, 0.5), ("c", 9.0, 0.5), ("c", 6.0, 8.0)], "k string, mean double, variance double")
+    rows = {r.mean: r for r in ratings.empirical_bayes(apart, ["k"]).collect()}
+    assert 4.5 < rows[6.0].posterior < 6 and rows[1.0].posterior > 1 and 0 < rows[6.0].shrinkage < rows[1.0].shrinkage < 1
 
 
 def test_sums_first_then_one_division(spark):
