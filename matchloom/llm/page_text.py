@@ -128,10 +128,10 @@ class Page:
             named = node.level == 3 and share < ALL_TEXT or node.level == 2 and share < MOST_TEXT or node.level == 1 and share < MOST_TEXT and links[k] > LINKED * max(1, chars[k])
             boiler = node.boiler or named and not (node.main and node.level < 3)
             above = self.keys[up] if up >= 0 else b""
-            self.keys.append(above if node.inline else hashlib.blake2b(above + node.label.encode(), digest_size=8).digest())
+            self.keys.append(above if node.inline or k == 0 else hashlib.blake2b(above + node.label.encode(), digest_size=8).digest())
             self.boiler.append(k if boiler else self.boiler[up] if up >= 0 else -1)
             self.header.append(k if node.header else self.header[up] if up >= 0 else -1)
-            self.holder.append(k if node.tag in _CONTAINER else self.holder[up] if up >= 0 else -1)
+            self.holder.append(k if k == 0 or node.tag in _CONTAINER else self.holder[up] if up >= 0 else -1)
             self.main.append(k if node.main and not boiler else self.main[up] if up >= 0 else -1)
 
 
@@ -146,7 +146,8 @@ def path_key(labels: list[str]) -> bytes:
 def parse(source: str) -> Page:
     """Elements and text blocks in page order; broken and cut-off markup is read as far as it goes."""
     page = Page()
-    nodes, stack = page.nodes, [-1]
+    nodes, stack = page.nodes, [0]
+    nodes.append(Node(-1, "", "", False, 0, False, False))  # the root holds what stands outside all elements
     opened: Counter[str] = Counter()
     words: list[str] = []
     link_chars = link = 0
@@ -250,7 +251,7 @@ def container_scores(page: Page) -> dict[int, float]:
             node = page.nodes[holder]
             named = set(re.split(r"[^a-z]+", node.label)) & _MAIN_WORD and node.tag != "body"
             scores[holder] = scores.get(holder, 0.0) + value * share * (1.25 if named else 1.0)
-            holder = page.holder[node.parent] if node.parent >= 0 else -1
+            holder = page.holder[node.parent] if node.parent >= 0 and node.tag != "body" else -1
         if block.node >= 0 and (main := page.main[block.node]) >= 0:
             scores[main] = scores.get(main, 0.0) + 1.5 * value
     return scores
@@ -311,7 +312,8 @@ def page_text(pages: DataFrame, page_col: str = "page_id", url_col: str = "url",
     """Per row: page_id, url, text, n_chars; the main text, blocks joined by one newline.
 
     Null html: empty text. Null url: the pages without a host vote together. Repeated rows vote and each return their row;
-    paths with equal votes: the larger key. A page without any container has an empty text; very long and very deep pages
+    paths with equal votes: the larger key. What stands outside all elements, as in a page without a body, is under the
+    page's root; very long and very deep pages
     take time in proportion to their length. An empty table returns no rows. Other columns are ignored.
     """
 

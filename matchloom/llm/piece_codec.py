@@ -95,13 +95,13 @@ def part_ids(path: str) -> PartIds:
     return PartIds(piece_model(path))
 
 
-def encode_and_decode(docs: DataFrame, path: str, check_every: int = 16, id_col: str = "doc_id", text_col: str = "text", with_output: bool = False) -> DataFrame:
+def encode_and_decode(docs: DataFrame, path: str, check_every: int = 1, id_col: str = "doc_id", text_col: str = "text", with_output: bool = False) -> DataFrame:
     """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256, and with_output also ids and decoded.
 
-    Ids carry the begin and end ids. In every Arrow batch the first row and then every check_every-th (1: all) is
-    also encoded by the sentencepiece library; a difference raises, so no wrong ids are returned quietly. The
-    decoded text is the library's decode of the ids. Null text: empty, which has the begin and end ids only.
-    Repeated rows each return their row; an empty table returns none.
+    Ids carry the begin and end ids. In every Arrow batch the first row and then every check_every-th (1, by default: all) is
+    also encoded by the sentencepiece library, and a difference raises: with 1, no wrong ids are returned quietly. The
+    decoded text is the library's decode of the ids. Null text: empty, which has the begin and end ids only. Very long texts are
+    encoded whole. Repeated rows each return their row; an empty table returns none. Other columns are ignored.
     """
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_output
 

@@ -429,9 +429,12 @@ def strip_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", tex
     def stripped(texts, found):
         return texts.combine(found, lambda text, w: text if w is None or text is None else _without(text, w, window))
 
-    joined = docs.join(windows, (F.col(id_col) == F.col("__id")) & (F.xxhash64(F.col(text_col)) == F.col("__mark")), "left")
-    new = F.when(F.col("windows").isNull(), F.col(text_col)).otherwise(stripped(F.col(text_col), F.col("windows")))
-    return joined.select(*(new.alias(c) if c == text_col else F.col(c) for c in docs.columns))
+    # the row travels in one struct, so its columns clash with none of the join's
+    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("own_id"), F.xxhash64(F.col(text_col)).alias("own_mark"))
+    joined = whole.join(windows, (F.col("own_id") == F.col("__id")) & (F.col("own_mark") == F.col("__mark")), "left")
+    text = F.col("row")[text_col]
+    new = F.when(F.col("windows").isNull(), text).otherwise(stripped(text, F.col("windows")))
+    return joined.select(*(new.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def _without(text: str, windows: Sequence, window: int) -> str:

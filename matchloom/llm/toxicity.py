@@ -174,7 +174,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     """A model from the labelled rows that are not held out.
 
     At most SAMPLE_PER_LABEL rows and SAMPLE_CHARS characters of each label, the first by a hash of their id, come to the driver; the counts that
-    set the prior are those of all labelled rows. Only ids and labels choose the sample; only texts are inputs.
+    set the prior are those of all labelled rows. Only ids and labels choose the sample; only texts are inputs. A text that no longer fits
+    the characters left is passed over and the next one is taken, so very long texts never end the sample. Of the words and
+    word parts that tell the labels apart, the MOST_EVIDENCE most telling ones have a weight.
     """
     usable = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     usable = usable.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y"))
@@ -185,11 +187,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
         # at most SAMPLE_PER_LABEL ids: a proven bound for the broadcast
         own = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(sample), "__id")
         chars = 0
+        own = own.filter(F.coalesce(F.char_length("__text"), F.lit(0)) <= SAMPLE_CHARS)
         for r in own.select("__id", "__text").sort(F.xxhash64("__id"), "__id", "__text").limit(2 * SAMPLE_PER_LABEL).toLocalIterator():
             text = r["__text"] or ""
+            if chars + len(text) > SAMPLE_CHARS:
+                continue
             chars += len(text)
-            if chars > SAMPLE_CHARS:
-                break
             texts.append(text)
             ys.append(y)
     texts, ys = without_copies(texts, ys)

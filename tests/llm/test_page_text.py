@@ -79,3 +79,11 @@ def test_generated_pages_against_what_they_were_made_of():
         box = rng.choice(["<article>{}</article>", "<main>{}</main>", "<div class='post-body'>{}</div>"])
         page = f"<html><body><header>{words(5)}</header>{around[0]}{around[1]}{box.format(' '.join(parts))}{around[2]}{around[3]}<div class='comments'><p>{words(40)}</p></div><footer>{words(9)}</footer></body></html>"
         assert p.extract(page, None) == "\n".join(want)
+
+
+def test_pages_without_a_body():
+    long = "This is an article of some length, with commas, and with sentences. " * 5
+    assert p.extract(f"<p>{long}</p>", None) == long.strip() and p.extract(long, None) == long.strip()
+    assert p.extract(f"<title>t</title><nav>a b c</nav><h1>Head</h1><p>{long}</p><footer>foot</footer>", None) == "Head\n" + long.strip()
+    assert p.extract(f"<div class='content'><p>{long}</p></div><div class='sidebar'>side</div>", None) == long.strip()
+    assert p.extract(f"<html><body><div><p>{long}</p></div></body></html> after", None) == long.strip() and p.extract("", None) == ""

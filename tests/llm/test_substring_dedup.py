@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from matchloom.llm import substring_dedup as s
+from matchloom.llm.substring_dedup import strip_repeats
 
 SCHEMA = "doc_id long, text string, kept_sha256 string"
 
@@ -91,3 +92,10 @@ def test_automaton_tells_the_smallest_document_of_each_window():
     assert list(a.matches([9, 2, 3, 4, 8], 3)) == [(0, 9), (1, 7), (2, 9)]
     assert s.stretches(a.matches([1, 2, 3, 4, 5], 3), 7) == []
     assert s.stretches(iter([(1, 4), (2, 4), (3, 5), (7, 4)]), 9) == [{"start": 1, "count": 2, "first": 4}, {"start": 3, "count": 1, "first": 5}, {"start": 7, "count": 1, "first": 4}]
+
+
+def test_stripping_keeps_columns_that_clash(spark):
+    passage = " ".join(f"p{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, "a " + passage, 3, 4, 5), (2, "b " + passage, 6, 7, 8)], "doc_id long, text string, __id int, __mark int, windows int")
+    got = {r.doc_id: r for r in strip_repeats(docs).collect()}
+    assert (got[1].text, got[1]["__id"], got[1].windows) == ("a " + passage, 3, 5) and (got[2].text, got[2]["__mark"]) == ("b", 7)

@@ -90,3 +90,17 @@ def test_scores_by_the_formula(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.found.score for r in df.select("doc_id", t.scored(df["text"], model).alias("found")).collect()}
     assert all(abs(got[i] - by_hand(x)) < 1e-9 for i, x in enumerate(texts))
+
+
+def test_a_very_long_text_does_not_end_the_sample(spark, monkeypatch):
+    from matchloom.llm import toxicity as module
+
+    monkeypatch.setattr(module, "SAMPLE_CHARS", 20_000)
+    rng = np.random.default_rng(1)
+    filler = lambda n: " ".join(f"w{int(x)}" for x in rng.integers(0, 10**6, n))
+    rows = [(i, f"{filler(8)} {'vile scum' if i % 2 else 'kind words'} {filler(8)}.") for i in range(200)]
+    rows += [(1000 + i, "vile scum " * 4000) for i in range(200)]  # each beyond the bound
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int("vile" in text)) for i, text in rows], "doc_id long, toxic int")
+    model = module.fit_toxicity(docs, labels)
+    assert "vile" in model.weights and model.score([s for _, _, s in model.sentences("you vile scum.")]) > 0.5
