@@ -68,10 +68,10 @@ def agg_distinct(t: Tables):
     return lines(t).groupBy("season").agg(F.count_distinct("player").alias("players"), F.count_distinct("game").alias("games"), F.count_distinct(F.when(F.col("mode") == "R", F.col("player"))).alias("r_players"))
 
 
-@query("agg_having", f"WITH {LINES} SELECT player, season, CAST(count(*) AS BIGINT) AS maps FROM lines GROUP BY 1, 2 HAVING count(*) >= 8 AND sum(kills) > 2 * sum(deaths) AND count(*) FILTER (WHERE status = 'F') = 0")
+@query("agg_having", f"WITH {LINES} SELECT player, season, CAST(count(*) AS BIGINT) AS maps FROM lines GROUP BY 1, 2 HAVING count(*) >= 8 AND sum(kills) > 2 * sum(deaths) AND 2 * count(*) FILTER (WHERE status = 'F') < count(*)")
 def agg_having(t: Tables):
     g = lines(t).groupBy("player", "season").agg(F.count(F.lit(1)).alias("maps"), F.sum("kills").alias("k"), F.sum("deaths").alias("d"), F.count_if(F.col("status") == "F").alias("f"))
-    return g.filter("maps >= 8 and k > 2 * d and f = 0").select("player", "season", "maps")
+    return g.filter("maps >= 8 and k > 2 * d and 2 * f < maps").select("player", "season", "maps")
 
 
 @query("agg_pctl", f"WITH {LINES} SELECT season, mode, round(quantile_cont(damage, 0.5), 4) AS median, round(quantile_cont(damage, 0.9), 4) AS p90 FROM lines GROUP BY 1, 2")

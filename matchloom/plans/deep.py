@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from matchloom.operators import feed, maps, metrics, ratings, resample, runs
+from matchloom.operators import feed, maps, ratings, resample, runs
 from matchloom.plans.aggregates import LINES, lines
 from matchloom.plans.models import _SCORED, ALIVE, CAREER, ELO, TRADES, box_lines, deaths, metric_layer, predictions, newton_sql, season_credit, series, teams
 from matchloom.plans.base import Tables, query
@@ -326,9 +326,3 @@ def qa_cov(t: Tables):
 def rt_contrast(t: Tables):
     y = F.col("won").cast("int")
     return predictions(t).groupBy("pool").agg(F.round(F.avg(F.pow(F.col("p") - y, F.lit(2.0)) - F.pow(F.lit(0.5) - y, F.lit(2.0))), 6).alias("gap"))
-
-
-@query("metric_catalogue")
-def metric_catalogue(t: Tables):
-    rows = [(m.key, m.value, m.denominator, m.least, m.rising, m.mode) for m in metrics.PLAYER_METRICS]
-    return t.spark.createDataFrame(rows, "metric string, value string, denominator string, least int, rising boolean, mode string")

@@ -150,17 +150,6 @@ def rp_export(t: Tables):
     return t.spark.createDataFrame(out, "n_nationkey int, n_name string, cut boolean, kind string")
 
 
-@query("rp_resolve", """SELECT * FROM (VALUES ('plain', 'kd', '', NULL, true, 'kd', true), ('preset', 'kd,accuracy', '2019,2020', 'hp', true, 'accuracy', true), ('over', 'kd', '2021', 'hp', false, 'kd', false),
-('bad', 'kd', '2020', NULL, true, 'kd', true)) AS r(name, metrics, years, mode, qualified, sort, descending)""")
-def rp_resolve(t: Tables):
-    """Parameters of a report by themselves, over a preset, and with unknown metrics and years."""
-    presets = {"p": {"metrics": "kd,accuracy", "years": "2020,2019", "mode": "hp", "sort": "accuracy"}}
-    asked = {"plain": {}, "preset": {"preset": "p"}, "over": {"preset": "p", "metrics": "kd,kd", "years": "2021", "qualified": "0", "dir": "asc"}, "bad": {"metrics": "no,kd", "years": "x,2020", "sort": "no"}}
-    found = [(name, reports.resolve(params, ["kd", "accuracy"], presets)) for name, params in asked.items()]
-    rows = [(name, ",".join(r.metrics), ",".join(map(str, r.years)), r.mode, r.qualified, r.sort, r.descending) for name, r in found]
-    return t.spark.createDataFrame(rows, "name string, metrics string, years string, mode string, qualified boolean, sort string, descending boolean")
-
-
 SOFT = [
     quality.Check("small order", lambda t: t["orders"].filter("o_totalprice < 1000"), hard=False),
     quality.Check("idle customer", lambda t: t["customer"].select(F.col("c_custkey").alias("o_custkey")).join(t["orders"], "o_custkey", "left_anti"), hard=False),

@@ -113,10 +113,11 @@ def fd_outlier(t: Tables):
     return findings.outliers(seasons).withColumn("score", F.round("score", 6))
 
 
-@query("fd_trend", COHORT + """, p AS (SELECT player, season, below / n AS pctl FROM c WHERE mode IS NULL AND n >= 2 AND s > 0), d AS (SELECT player, pctl, pctl - lag(pctl) OVER (PARTITION BY player ORDER BY season) AS step FROM p)
+@query("fd_trend", COHORT + """, p AS (SELECT player, season, below / n AS pctl FROM c WHERE mode IS NULL AND n >= 2 AND s > 0 AND season >= 1999), d AS (SELECT player, pctl, pctl - lag(pctl) OVER (PARTITION BY player ORDER BY season) AS step FROM p)
 SELECT player AS subject, 'trend' AS kind, round(least(abs(sum(step)), 1.0), 6) AS score FROM d GROUP BY player HAVING count(*) >= 3 AND (min(step) > 0 OR max(step) < 0) AND abs(sum(step)) >= 0.15""")
 def fd_trend(t: Tables):
-    return findings.trends(kd_scored(t).filter("mode is null")).withColumn("score", F.round("score", 6))
+    """Of the seasons from 1999 on."""
+    return findings.trends(kd_scored(t).filter("mode is null and season >= 1999")).withColumn("score", F.round("score", 6))
 
 
 @query("fd_shift", f"""WITH {LINES}, c AS (SELECT season, player % 20 AS loadout, count(*) AS n FROM lines GROUP BY 1, 2), s AS (SELECT season, loadout, n / CAST(sum(n) OVER (PARTITION BY season) AS DOUBLE) AS share FROM c)

@@ -188,3 +188,15 @@ def test_identity_candidates_of_short_handles(spark):
     names = spark.createDataFrame([(1, "scump"), (2, "skump"), (3, "scum"), (4, "scump"), (5, "other"), (6, "a"), (7, "b")], "player int, handle string")
     got = sorted(tuple(r) for r in identity_candidates(names).collect())
     assert got == [(1, 2, "one edit"), (1, 3, "one edit"), (1, 4, "same key"), (2, 4, "one edit"), (3, 4, "one edit"), (6, 7, "one edit")]
+
+
+def test_report_parameters():
+    from matchloom.operators import reports
+
+    presets = {"p": {"metrics": "kd,accuracy", "years": "2020,2019", "mode": "hp", "sort": "accuracy"}}
+    asked = {"plain": {}, "preset": {"preset": "p"}, "over": {"preset": "p", "metrics": "kd,kd", "years": "2021", "qualified": "0", "dir": "asc"}, "bad": {"metrics": "no,kd", "years": "x,2020", "sort": "no"}}
+    found = {name: reports.resolve(params, ["kd", "accuracy"], presets) for name, params in asked.items()}
+    got = {name: (",".join(r.metrics), ",".join(map(str, r.years)), r.mode, r.qualified, r.sort, r.descending) for name, r in found.items()}
+    assert got == {
+        "plain": ("kd", "", None, True, "kd", True), "preset": ("kd,accuracy", "2019,2020", "hp", True, "accuracy", True), "over": ("kd", "2021", "hp", False, "kd", False), "bad": ("kd", "2020", None, True, "kd", True)
+    }
