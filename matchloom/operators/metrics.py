@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchloom.operators.cohort import scored
+from matchloom.operators.hierarchy import same
 
 #: A column is tracked for a title once so many of its rows are not zero.
 TRACKED_ROWS = 20
@@ -170,15 +171,17 @@ def folded(lines: DataFrame, columns: list[str]) -> DataFrame:
     feed rates only those that report feed_deaths, the kill distance is weighted by kills, and shares are of the team's
     total on the same maps. The pooled rows are sums of the rows by mode, not of the lines anew.
     """
+    keys = ["player", "season", "mode"]
+    hill = ["hill_time"] if "hill_time" in columns else []
     team = Window.partitionBy("game", "team")
-    own = lines.withColumns({
-        "__tk": F.sum("kills").over(team),
-        **({"__th": F.sum("hill_time").over(team)} if "hill_time" in columns else {}),
-    })
+    narrow = lines.select(*keys, "game", "team", "kills", *hill)  # the other columns are summed where they lie
+    shares = narrow.withColumns({f"__{c}": F.sum(c).over(team) for c in ("kills", *hill)})
+    totals = [F.sum("__kills").cast("double").alias("team_kills_on_maps")]
+    if hill:
+        totals.append(F.sum(F.when(F.col("hill_time").isNotNull(), F.col("__hill_time"))).cast("double").alias("team_hill_on_maps"))
+    on_maps = shares.groupBy(*keys).agg(*totals)
     sums = [F.sum(c).cast("double").alias(c) for c in columns]
-    sums += [F.count(F.lit(1)).cast("double").alias("maps"), F.sum("__tk").cast("double").alias("team_kills_on_maps")]
-    if "hill_time" in columns:
-        sums.append(F.sum(F.when(F.col("hill_time").isNotNull(), F.col("__th"))).cast("double").alias("team_hill_on_maps"))
+    sums.append(F.count(F.lit(1)).cast("double").alias("maps"))
     if "damage" in columns:
         sums += [F.count("damage").cast("double").alias("damage_maps"), F.sum(F.when(F.col("damage").isNotNull(), F.col("duration_s"))).cast("double").alias("damage_duration_s")]
     if "avg_kill_dist" in columns:
@@ -187,7 +190,7 @@ def folded(lines: DataFrame, columns: list[str]) -> DataFrame:
     if "feed_deaths" in columns:
         fed = F.col("feed_deaths").isNotNull()
         sums += [F.count("feed_deaths").cast("double").alias("feed_maps"), F.sum(F.when(fed, F.col("duration_s"))).cast("double").alias("feed_duration_s")]
-    by_mode = own.groupBy("player", "season", "mode").agg(*sums)
+    by_mode = lines.groupBy(*keys).agg(*sums).alias("a").join(on_maps.alias("b"), same("a", "b", keys)).select("a.*", *(F.col(f"b.{c}") for c in on_maps.columns if c not in keys))
     names = [c for c in by_mode.columns if c not in ("player", "season", "mode")]
     sets = by_mode.groupingSets([["player", "season", "mode"], ["player", "season"]], "player", "season", "mode")
     return sets.agg(F.grouping("mode").alias("pooled"), *(F.sum(c).alias(c) for c in names))
@@ -200,12 +203,15 @@ def metric_rows(sums: DataFrame, metrics: list[Metric]) -> DataFrame:
     finite, leaves the row out. One pass makes all metrics long, and one window scores them in their cohorts.
     """
     here = [m for m in metrics if m.sources <= set(sums.columns)]
-    cells = [
-        F.struct(F.lit(m.key).alias("metric"), F.expr(guarded(m.value)).cast("double").alias("value"), F.expr(m.denominator).cast("double").alias("denom"), F.lit(float(m.least)).alias("least"), F.lit(m.mode).cast("string").alias("only"))
-        for m in here
-    ]
-    long = sums.select("player", "season", "mode", F.inline(F.array(*cells)))
-    rows = long.filter("(only is null or only = mode) and value is not null and not isnan(value) and abs(value) < double('infinity')")
+    cell = lambda m: F.struct(F.lit(m.key).alias("metric"), F.expr(guarded(m.value)).cast("double").alias("value"), F.expr(m.denominator).cast("double").alias("denom"), F.lit(float(m.least)).alias("least"))
+    everywhere = F.array(*(cell(m) for m in here if m.mode is None))
+    if not any(m.mode is None for m in here):
+        everywhere = F.slice(F.array(*map(cell, here)), 1, 0)
+    own = F.slice(everywhere, 1, 0)  # a row makes the metrics of its own mode alone
+    for mode in sorted({m.mode for m in here if m.mode is not None}):
+        own = F.when(F.col("mode") == mode, F.array(*(cell(m) for m in here if m.mode == mode))).otherwise(own)
+    long = sums.select("player", "season", "mode", F.inline(F.concat(everywhere, own)))
+    rows = long.filter("value is not null and not isnan(value) and abs(value) < double('infinity')")
     rows = rows.withColumn("qualified", F.coalesce(F.col("denom") >= F.col("least"), F.lit(False)))
     return scored(rows, ["metric", "season", "mode"]).select("player", "season", "mode", "metric", "value", "denom", "qualified", "z", "pctl")
 
