@@ -143,6 +143,17 @@ def test_findings_are_capped_and_trends_need_one_direction(spark):
     assert [r.subject for r in findings.trends(seasons).collect()] == [1]
 
 
+def test_trends_take_every_season(spark, tmp_path):
+    from matchloom.plans.registry import QUERIES
+
+    # of eight players one rises and one falls from season to season, all before 1999; each has eight lines a season
+    place = {1993: [0, 1, 2, 3, 4, 5, 6, 7], 1994: [3, 0, 1, 2, 5, 4, 7, 6], 1995: [7, 1, 0, 3, 2, 5, 4, 6]}
+    rows = [(p, 100 * year + game, f"{year}-05-0{game + 1}", "A", 10.0 + at, 1, 1.0, "O", 0.0) for year, order in place.items() for p, at in enumerate(order) for game in range(8)]
+    names = "l_suppkey long, l_orderkey long, l_shipdate string, l_returnflag string, l_quantity double, l_linenumber int, l_extendedprice double, l_linestatus string, l_discount double"
+    spark.createDataFrame(rows, names).withColumn("l_shipdate", F.to_timestamp("l_shipdate")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert sorted((r.subject, r.score) for r in QUERIES["fd_trend"](spark, str(tmp_path)).collect()) == [(0, 0.875), (2, 0.25)]
+
+
 def test_quality_checks_and_identity(spark):
     t = {"a": spark.createDataFrame([(1, 2), (1, -1), (9, 3)], "k int, v int"), "b": spark.createDataFrame([(1,)], "k int")}
     checks = [quality.Check("neg", quality.negative("a", ["v"])), quality.Check("dup", quality.duplicated("a", ["k"])), quality.Check("orphan", quality.orphaned("a", "k", "b", "k"), hard=False)]
