@@ -7,12 +7,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchloom.operators.maps import MAP_K
 from matchloom.operators.ratings import ELO_START, elo_expected, folded_in_order
-from matchloom.operators.resample import draw, unit_number
+from matchloom.operators.resample import draw, draws, unit_number
 
 #: Fixed values of the Plackett-Luce rating: first mean and deviation, spread of a map's result, growth of a deviation
 #: before a map, and the least share of a variance that a map leaves.
@@ -23,7 +25,7 @@ SEASON_MAPS = 8
 #: Maps from which a side's mode counts, cells a draw must have, and draws of the null.
 MODE_MAPS, LEAST_CELLS, PERMUTATIONS = 25, 10, 300
 #: Draws of the null that are folded together.
-BLOCK = 32
+BLOCK = 101
 
 
 def plackett_luce(winners: list[tuple[float, float]], losers: list[tuple[float, float]]) -> tuple[list[tuple[float, float]], list[tuple[float, float]], float]:
@@ -101,51 +103,71 @@ def permuted_modes(maps: DataFrame, event: str, permutations: int = PERMUTATIONS
     return placed.join(dealt, ["pool", event, "replicate", "drawn"]).select(*maps.columns, "replicate", "dealt")
 
 
-def mode_cells(maps: DataFrame) -> DataFrame:
+def dealt_modes(maps: DataFrame, event: str, kinds: list, permutations: int = PERMUTATIONS) -> DataFrame:
+    """pool, block, at, map, a, b, a_won, modes: the modes that permuted_modes() gives a map in the BLOCK replicates of a block, as places in kinds of two bytes each.
+
+    A task deals an event's modes in the replicates of one block, so a map is a row a block and not one a replicate. kinds: the different modes.
+    """
+
+    def deal(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("played")
+        codes = pc.index_in(rows["mode"].combine_chunks(), pa.array(kinds, rows["mode"].type)).to_numpy(zero_copy_only=False).astype(np.uint16)
+        numbers, first = rows["number"].to_numpy(), rows["block"][0].as_py() * BLOCK
+        dealt = np.empty((len(codes), min(BLOCK, permutations + 1 - first)), np.uint16)
+        for d in range(dealt.shape[1]):
+            order = np.argsort(draws(numbers, np.array([first + d]))[:, 0], kind="stable") if first + d else np.arange(len(codes))
+            dealt[order, d] = codes
+        return rows.select(["pool", "block", "at", "map", "a", "b", "a_won"]).append_column("modes", pa.array([row.tobytes() for row in dealt], pa.binary()))
+
+    types = dict(maps.dtypes)
+    played = F.row_number().over(Window.partitionBy("pool", event).orderBy("at", "map")).alias("played")
+    rows = maps.filter(F.col("pool").isNotNull() & F.col(event).isNotNull()).select("pool", F.col(event).alias("event"), "at", "map", "mode", "a", "b", "a_won", played, unit_number(F.col("map")).alias("number"))
+    each = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(permutations // BLOCK))))
+    return each.groupBy("pool", "event", "block").applyInArrow(deal, f"pool {types['pool']}, block int, at {types['at']}, map {types['map']}, a {types['a']}, b {types['b']}, a_won {types['a_won']}, modes binary")
+
+
+def mode_cells(dealt: DataFrame, kinds: list, kind: str, parts: int) -> DataFrame:
     """pool, block, draw, side, mode, n, lead: by replicate, the maps of each side and mode, and how far its own rating there ends above its rating over all modes.
 
-    maps: pool, block, at, map, modes, a, b, a_won; modes: the map's mode in each replicate of the block. A pool and block is folded in its order, all of its
-    replicates at once; the ratings are those of map_elo(), of which the one over all modes is the same in each.
+    dealt: dealt_modes(); kind: the type of a mode; parts: the tasks over which pools and blocks are dealt. A pool and block is folded in its order, all of its replicates at
+    once; the ratings are those of map_elo(), of which the one over all modes is the same in each.
     """
 
-    def ended(pool: object, block: int, plain: dict, own: dict, names: dict) -> pd.DataFrame:
+    def ended(pool: object, block: int, plain: dict, own: dict) -> pd.DataFrame:
         rows = []
         for side, (ratings, counts) in own.items():
-            for mode, m in names.items():
-                for d in np.flatnonzero(counts[:, m]):
-                    rows.append((pool, block, int(d), side, mode, int(counts[d, m]), float(ratings[d, m] - plain[side])))
+            for at in np.flatnonzero(counts):
+                rows.append((pool, block, int(at // len(kinds)), side, kinds[at % len(kinds)], int(counts[at]), float(ratings[at] - plain[side])))
         return pd.DataFrame(rows, columns=["pool", "block", "draw", "side", "mode", "n", "lead"])
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, plain, own, names, started = None, {}, {}, {}, False
+        key, plain, own, started = None, {}, {}, False
         for batch in batches:
             for pool, block, modes, a, b, won in batch[["pool", "block", "modes", "a", "b", "a_won"]].itertuples(index=False):
-                if not started or (pool, block) != at:
+                if not started or (pool, block) != key:
                     if started:
-                        yield ended(*at, plain, own, names)
-                    at, plain, own, names, started = (pool, block), {}, {}, {}, True
-                place = np.array([names.setdefault(m, len(names)) for m in modes])
-                draws = np.arange(len(place))
+                        yield ended(*key, plain, own)
+                    key, plain, own, started = (pool, block), {}, {}, True
+                    starts = np.arange(len(modes) // 2) * len(kinds)
+                at = starts + np.frombuffer(modes, np.uint16)
                 for side in (a, b):
                     if side not in own:
-                        own[side] = np.full((len(place), 4), ELO_START), np.zeros((len(place), 4), dtype=np.int64)
-                    if len(names) > own[side][0].shape[1]:
-                        wider = ((0, 0), (0, len(names)))
-                        own[side] = np.pad(own[side][0], wider, constant_values=ELO_START), np.pad(own[side][1], wider)
+                        own[side] = np.full(len(starts) * len(kinds), ELO_START), np.zeros(len(starts) * len(kinds), dtype=np.int64)
                 shift = MAP_K * (float(won) - elo_expected(plain.get(a, ELO_START), plain.get(b, ELO_START)))
                 plain[a], plain[b] = plain.get(a, ELO_START) + shift, plain.get(b, ELO_START) - shift
                 (ra, na), (rb, nb) = own[a], own[b]
-                shifts = MAP_K * (float(won) - elo_expected(ra[draws, place], rb[draws, place]))
-                ra[draws, place] += shifts
-                rb[draws, place] -= shifts
-                na[draws, place] += 1
-                nb[draws, place] += 1
+                own_a, own_b = ra[at], rb[at]
+                shifts = MAP_K * (float(won) - elo_expected(own_a, own_b))
+                if ra is not rb:
+                    ra[at], rb[at] = own_a + shifts, own_b - shifts
+                na[at] += 1
+                nb[at] += 1
         if started:
-            yield ended(*at, plain, own, names)
+            yield ended(*key, plain, own)
 
-    kinds = dict(maps.dtypes)
-    rated = maps.filter("a_won is not null").repartition("pool", "block").sortWithinPartitions("pool", "block", "at", "map")
-    return rated.mapInPandas(fold, f"pool {kinds['pool']}, block int, draw int, side {kinds['a']}, mode {kinds['modes'][6:-1]}, n long, lead double")
+    types = dict(dealt.dtypes)
+    rated = dealt.repartition(parts, "pool", "block").sortWithinPartitions("pool", "block", "at", "map")
+    return rated.select("pool", "block", "modes", "a", "b", "a_won").mapInPandas(fold, f"pool {types['pool']}, block int, draw int, side {types['a']}, mode {kind}, n long, lead double")
 
 
 def mode_null(maps: DataFrame, event: str, permutations: int = PERMUTATIONS, least: int = MODE_MAPS) -> DataFrame:
@@ -156,10 +178,10 @@ def mode_null(maps: DataFrame, event: str, permutations: int = PERMUTATIONS, lea
     LEAST_CELLS has no say. A block of BLOCK draws is a key beside the pool, so draws are folded side by side. p_value counts the observed value among its draws.
     Pools whose own maps have too few cells, or no usable draw, are left out.
     """
-    block = F.expr(f"cast(replicate div {BLOCK} as int)")
-    drawn = permuted_modes(maps.filter("a_won is not null"), event, permutations).withColumn("block", block)
-    whole = drawn.groupBy("pool", "block", "at", "map", "a", "b", "a_won").agg(F.array_sort(F.collect_list(F.struct("replicate", "dealt"))).alias("draws"))
-    folded = mode_cells(whole.withColumn("modes", F.transform("draws", lambda d: d["dealt"])).drop("draws"))
+    rated = maps.filter("a_won is not null")
+    kinds = [r["mode"] for r in rated.select("mode").distinct().orderBy("mode").collect()]  # a catalogue
+    groups = rated.select("pool").distinct().count() * (permutations // BLOCK + 1)
+    folded = mode_cells(dealt_modes(rated, event, kinds, permutations), kinds, dict(maps.dtypes)["mode"], min(4 * groups + 1, 1000))
     cells = folded.filter(F.col("n") >= least).withColumn("replicate", F.col("block") * BLOCK + F.col("draw"))
     spread = cells.groupBy("pool", "replicate").agg(F.count(F.lit(1)).alias("cells"), F.stddev_samp("lead").alias("sd")).filter(F.col("cells") >= LEAST_CELLS)
     own = spread.filter("replicate = 0").select("pool", "cells", F.col("sd").alias("observed"))

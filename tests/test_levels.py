@@ -224,6 +224,16 @@ def test_mode_null(spark):
     assert got["special"].exceeds and got["special"].p_value == pytest.approx(1 / 41) and got["even"].p_value > 0.02 and got["even"].draws == 40 and got["even"].cells == 18
 
 
+def test_modes_are_dealt_as_permuted_without_a_row_a_draw(spark, monkeypatch):
+    monkeypatch.setattr(skills, "BLOCK", 3)  # two blocks, the last one not full
+    rows = [(p, i, i // 7, i // 20, None if i % 9 == 0 else f"m{i * i % 4}", i % 5, (i + 1) % 5, i % 3 == 0) for p in "xy" for i in range(100)]
+    maps = spark.createDataFrame(rows, "pool string, map int, at int, event int, mode string, a int, b int, a_won boolean")
+    kinds, dealt = [None, "m0", "m1"], skills.dealt_modes(maps, "event", [None, "m0", "m1"], 4).collect()
+    assert len(dealt) == 2 * len(rows) and {(r.block, len(r.modes)) for r in dealt} == {(0, 6), (1, 4)}
+    got = {(r.pool, r.map, 3 * r.block + d): kinds[code] for r in dealt for d, code in enumerate(np.frombuffer(r.modes, np.uint16))}
+    assert got == {(r.pool, r.map, r.replicate): r.dealt for r in skills.permuted_modes(maps, "event", 4).collect()}
+
+
 # --- rounds -------------------------------------------------------------------------------------------------------
 
 
