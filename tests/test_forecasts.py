@@ -88,6 +88,23 @@ def test_backtest_and_sign_rules(spark):
     assert rules[2018, "hp", 0].accuracy >= 0.5 and rules[2018, "hp", 0].direction == 1
 
 
+def test_prefixes_are_fitted_without_a_row_a_term(spark, monkeypatch):
+    """Spans, blocks of rows and of fits that no prefix ends with, unsettled and absent rows: the weights of a regression of each prefix's rows."""
+    for name, value in (("SPAN", 37), ("SPANS", 9), ("ROWS_AT_ONCE", 16), ("FITS_AT_ONCE", 3)):
+        monkeypatch.setattr(ratings, name, value)
+    rng = np.random.default_rng(21)
+    x = rng.normal(size=(2, 400, 2))
+    rows = [(p, i, *map(float, x[k, i]), None if i % 11 == 3 else float(rng.random() < 1 / (1 + np.exp(-x[k, i, 0])))) for k, p in enumerate("uv") for i in range(400 - 150 * k)]
+    df = spark.createDataFrame(rows, "pool string, place int, f0 double, f1 double, y double")
+    ends = df.select("pool", F.expr("place div 25").alias("block")).filter("block > 0").distinct().withColumn("end", F.col("block") * 25)
+    want = ratings.logistic_by(df.join(ends, "pool").filter("place < end"), ["pool", "block"], ["f0", "f1"], "y")
+    got = {(r.pool, r.block): r for r in ratings.logistic_of_prefixes(df, ends, ["f0", "f1"], "y").collect()}
+    assert len(got) == ends.count()
+    for r in want.collect():
+        own = got[r.pool, r.block]
+        assert own.n == r.n and (own.intercept, own.f0, own.f1) == pytest.approx((r.intercept, r.f0, r.f1), abs=1e-8)
+
+
 def test_win_probability(spark):
     rng = np.random.default_rng(3)
     true = rng.normal(size=8)
