@@ -13,6 +13,8 @@ from matchloom.operators.hierarchy import same
 
 #: A column is tracked for a title once so many of its rows are not zero.
 TRACKED_ROWS = 20
+#: What a metric is scored among.
+COHORT = ["metric", "season", "mode"]
 
 
 @dataclass(frozen=True)
@@ -197,10 +199,15 @@ def folded(lines: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def metric_rows(sums: DataFrame, metrics: list[Metric]) -> DataFrame:
-    """player, season, mode, metric, value, denom, qualified, z, pctl from the sums of folded().
+    """player, season, mode, metric, value, denom, qualified, z, pctl from the sums of folded(): long_rows(), scored in their cohorts by one window."""
+    return scored(long_rows(sums, metrics), COHORT).select("player", "season", "mode", "metric", "value", "denom", "qualified", "z", "pctl")
+
+
+def long_rows(sums: DataFrame, metrics: list[Metric]) -> DataFrame:
+    """player, season, mode, metric, value, denom, qualified from the sums of folded().
 
     Only the metrics asked for are made, and only those whose columns the sums have. Metrics of one mode are given for that mode only. A missing or not positive divisor, or a value that is not
-    finite, leaves the row out. One pass makes all metrics long, and one window scores them in their cohorts.
+    finite, leaves the row out. One pass makes all metrics long.
     """
     here = [m for m in metrics if m.sources <= set(sums.columns)]
     cell = lambda m: F.struct(F.lit(m.key).alias("metric"), F.expr(guarded(m.value)).cast("double").alias("value"), F.expr(m.denominator).cast("double").alias("denom"), F.lit(float(m.least)).alias("least"))
@@ -212,8 +219,7 @@ def metric_rows(sums: DataFrame, metrics: list[Metric]) -> DataFrame:
         own = F.when(F.col("mode") == mode, F.array(*(cell(m) for m in here if m.mode == mode))).otherwise(own)
     long = sums.select("player", "season", "mode", F.inline(F.concat(everywhere, own)))
     rows = long.filter("value is not null and not isnan(value) and abs(value) < double('infinity')")
-    rows = rows.withColumn("qualified", F.coalesce(F.col("denom") >= F.col("least"), F.lit(False)))
-    return scored(rows, ["metric", "season", "mode"]).select("player", "season", "mode", "metric", "value", "denom", "qualified", "z", "pctl")
+    return rows.select("player", "season", "mode", "metric", "value", "denom", F.coalesce(F.col("denom") >= F.col("least"), F.lit(False)).alias("qualified"))
 
 
 def split_metric(rows: DataFrame) -> DataFrame:

@@ -24,6 +24,20 @@ def test_cohort_scores(spark):
     assert by[("c", 5.0)] == (None, None)
 
 
+def test_best_scores_without_moving_the_rows(spark):
+    rows = [(k, "s", float((i * 37 + n) % 101) / 7, i % 5 > 0) for n, k in enumerate(("a", "b", None)) for i in range(60)]
+    rows += [("few", "s", float(i), i < 14) for i in range(20)] + [("same", "s", 0.1, True) for _ in range(30)]
+    df = spark.createDataFrame(rows, "k string, s string, value double, qualified boolean").repartition(7)
+    want = {r.k: r for r in cohort.scored(df, ["k", "s"]).groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.count("z").alias("scored"), F.max("z").alias("best")).collect()}
+    best = cohort.best_scores(df, ["k", "s"])
+    got = {r.k: r for r in best.collect()}
+    assert got.keys() == want.keys() and (got["few"].scored, got["same"].scored, got["same"].best) == (0, 0, None)
+    for k in ("a", "b", None):
+        assert (got[k].n, got[k].scored, got[k].best) == (want[k].n, want[k].scored, pytest.approx(want[k].best))
+    plan = best._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan  # which would move and sort every row
+
+
 def test_elo_and_glicko_goldens(spark):
     series = spark.createDataFrame([("x", 1, 1, "a", "b", True), ("x", 2, 2, "a", "b", None), ("y", 3, 1, "a", "b", False)], "pool string, series int, at int, a string, b string, a_won boolean")
     got = {r.series: (r.p, r.rating_a, r.rating_b) for r in ratings.elo(series).collect()}
