@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,3 +45,15 @@ def forget(*tables: DataFrame) -> None:
         if path := table.__dict__.pop("scratch_path", None):
             jvm_path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
             jvm_path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(jvm_path, True)
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Within it, the shuffle files of a query go as soon as it has ended, not when the driver next collects its garbage: for rounds whose frames are used once."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

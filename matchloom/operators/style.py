@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchloom.operators.ordering import numbered
-from matchloom.operators.scratch import written
+from matchloom.operators.scratch import shuffles_removed, written
 
 #: The least share of a season's subjects that have a feature, replicates of the parallel analysis and their percentile, restarts and rounds of k-means.
 SEASON_SHARE, HORN_REPLICATES, HORN_PERCENTILE, RESTARTS, MOST_ROUNDS = 0.40, 200, 95.0, 20, 200
+#: Places of a dealt column that a task holds (8 bytes each a feature), and entries that are moved at once (650 MB).
+WIDTH, MOVED = 1 << 16, 50_000_000
 
 
 def basis(values: DataFrame, ratings: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -65,7 +67,11 @@ def _products(rows: DataFrame, key: str, size: int) -> dict[int, np.ndarray]:
                 total[k] = total.get(k, 0.0) + own.T @ own
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([t.ravel() for t in total.values()], pa.list_(pa.float64()))], ["k", "s"])
 
-    made = rows.select(F.col(key).cast("int"), *(f"x{i}" for i in range(size))).mapInArrow(add, "k int, s array<double>")
+    return _matrices(rows.select(F.col(key).cast("int"), *(f"x{i}" for i in range(size))).mapInArrow(add, "k int, s array<double>"), size)
+
+
+def _matrices(made: DataFrame, size: int) -> dict[int, np.ndarray]:
+    """The sums of the matrices (k, s) by key."""
     summed = made.select("k", F.posexplode("s").alias("i", "v")).groupBy("k", "i").agg(F.sum("v").alias("v"))
     out: dict[int, np.ndarray] = {}
     for r in summed.toLocalIterator():
@@ -73,6 +79,52 @@ def _products(rows: DataFrame, key: str, size: int) -> dict[int, np.ndarray]:
     return {k: v.reshape(size, size) for k, v in out.items()}
 
 
+def _dealt_products(placed: DataFrame, size: int, maps: list[tuple[int, int, int, int]], prime: int) -> dict[int, np.ndarray]:
+    """By replicate, the sums of products of all pairs of x0, ... after each column i of replicate k is dealt anew by its map (k, i, a, b) of the places, modulo prime.
+
+    A task sends each entry to the WIDTH places that hold its new one, packed by replicate; a task there lays them out and multiplies. So many replicates go at a time that at most
+    MOVED entries are on their way, whose files are removed before the next.
+    """
+    entry = np.dtype([("place", "<i4"), ("i", "u1"), ("v", "<f8")])
+    by_replicate: dict[int, list[tuple[int, int, int]]] = {}
+    for k, i, a, b in maps:
+        by_replicate.setdefault(k, []).append((i, a, b))
+
+    def deal(some: list[int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                place, x = batch.column(0).to_numpy() - 1, [batch.column(1 + i).to_numpy(zero_copy_only=False) for i in range(size)]
+                for k in some:
+                    keys, packed = [], []
+                    slot = np.concatenate([(a * place + b) % prime for _, a, b in by_replicate[k]])
+                    all_entries = np.empty(len(slot), entry)
+                    all_entries["place"], all_entries["i"] = slot % WIDTH, np.repeat([i for i, _, _ in by_replicate[k]], len(place))
+                    all_entries["v"] = np.concatenate([x[i] for i, _, _ in by_replicate[k]])
+                    order = np.argsort(slot // WIDTH, kind="stable")
+                    parts, starts = np.unique((slot // WIDTH)[order], return_index=True)
+                    for part, own in zip(parts.tolist(), np.split(all_entries[order], starts[1:])):
+                        keys.append(part)
+                        packed.append(own.tobytes())
+                    yield pa.RecordBatch.from_arrays([pa.array([k] * len(keys), pa.int32()), pa.array(keys, pa.int64()), pa.array(packed, pa.binary())], ["k", "part", "entries"])
+
+        return run
+
+    def multiply(rows: pa.Table) -> pa.Table:
+        x = np.zeros((WIDTH, size))
+        for one in rows["entries"]:
+            own = np.frombuffer(one.as_py(), entry)
+            x[own["place"], own["i"]] = own["v"]
+        return pa.table({"k": rows["k"][:1], "s": pa.array([(x.T @ x).ravel()], pa.list_(pa.float64()))})
+
+    out: dict[int, np.ndarray] = {}
+    numbers, at_once = list(by_replicate), max(1, MOVED // max(1, prime * size))
+    for start in range(0, len(numbers), at_once):
+        moved = placed.select("place", *(f"x{i}" for i in range(size))).mapInArrow(deal(numbers[start : start + at_once]), "k int, part long, entries binary")
+        with shuffles_removed(placed.sparkSession):
+            out |= _matrices(moved.groupBy("k", "part").applyInArrow(multiply, "k int, s array<double>"), size)
+    return out
+
+
 def next_prime(n: int) -> int:
     while n < 2 or any(n % d == 0 for d in range(2, math.isqrt(n) + 1)):
         n += 1
@@ -92,11 +144,7 @@ def components(rows: DataFrame, size: int, replicates: int = HORN_REPLICATES) ->
     values, axes = np.linalg.eigh(_products(placed.withColumn("k", F.lit(0)), "k", size)[0] / max(1, n - 1))
     values, axes = values[::-1], axes[:, ::-1].T
     maps = [(r, i, int(rng.integers(1, prime)), int(rng.integers(0, prime))) for r in range(replicates) for i in range(size)]
-    table = rows.sparkSession.createDataFrame(maps, "k int, i int, a long, b long")
-    long = placed.select((F.col("place") - 1).alias("place"), F.posexplode(F.array(*(f"x{i}" for i in range(size)))).alias("i", "v")).join(F.broadcast(table), "i")
-    slot = (F.col("a") * F.col("place") + F.col("b")) % prime
-    dealt = long.withColumn("slot", slot).groupBy("k", "slot").agg(*(F.coalesce(F.max(F.when(F.col("i") == i, F.col("v"))), F.lit(0.0)).alias(f"x{i}") for i in range(size)))
-    null = np.array([np.linalg.eigvalsh(c / max(1, n - 1))[::-1] for c in _products(dealt, "k", size).values()])
+    null = np.array([np.linalg.eigvalsh(c / max(1, n - 1))[::-1] for c in _dealt_products(placed, size, maps, prime).values()])
     bound = np.percentile(null, HORN_PERCENTILE, axis=0)
     kept = max(1, int((values > bound).sum()))
     loadings = axes[:kept] * np.sign(np.take_along_axis(axes[:kept], np.abs(axes[:kept]).argmax(axis=1)[:, None], axis=1))

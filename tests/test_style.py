@@ -4,6 +4,25 @@ import pytest
 from matchloom.operators import style
 
 
+def test_columns_are_dealt_in_parts_and_some_replicates_at_a_time(spark, monkeypatch):
+    """The products are those of the columns laid out whole, and no more than MOVED entries are moved at once."""
+    monkeypatch.setattr(style, "WIDTH", 16)
+    monkeypatch.setattr(style, "MOVED", 2 * 101 * 3)
+    rounds, plain = [], style._matrices
+    monkeypatch.setattr(style, "_matrices", lambda made, size: rounds.append(1) or plain(made, size))
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(97, 3))
+    placed = spark.createDataFrame([(p + 1, *map(float, x[p])) for p in range(97)], "place long, x0 double, x1 double, x2 double").repartition(5)
+    maps = [(k, i, int(rng.integers(1, 101)), int(rng.integers(0, 101))) for k in range(5) for i in range(3)]
+    got = style._dealt_products(placed, 3, maps, 101)
+    assert sorted(got) == list(range(5)) and len(rounds) == 3
+    for k in range(5):
+        laid = np.zeros((101, 3))
+        for _, i, a, b in (m for m in maps if m[0] == k):
+            laid[(a * np.arange(97) + b) % 101, i] = x[:, i]
+        assert got[k] == pytest.approx(laid.T @ laid)
+
+
 def test_basis_residuals_and_components(spark):
     rng = np.random.default_rng(1)
     n = 240
