@@ -74,7 +74,7 @@ def _matrices(made: DataFrame, size: int) -> dict[int, np.ndarray]:
     """The sums of the matrices (k, s) by key."""
     summed = made.select("k", F.posexplode("s").alias("i", "v")).groupBy("k", "i").agg(F.sum("v").alias("v"))
     out: dict[int, np.ndarray] = {}
-    for r in summed.toLocalIterator():
+    for r in summed.collect():
         out.setdefault(r["k"], np.zeros(size * size))[r["i"]] = r["v"]
     return {k: v.reshape(size, size) for k, v in out.items()}
 
